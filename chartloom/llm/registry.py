@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, url_filter
+from chartloom.llm import decontaminate, simhash, url_filter
 from chartloom.llm.base import table
 
 
@@ -14,5 +14,9 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination)}
+def op7_simhash(spark, sf_dir):
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination, op7_simhash)}
 ORACLES = {"op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}
