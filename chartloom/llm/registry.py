@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, simhash, url_filter
+from chartloom.llm import decontaminate, quality_rules, simhash, url_filter
 from chartloom.llm.base import table
 
 
@@ -14,9 +14,13 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination, op6_quality_rules, op7_simhash)}
 ORACLES = {"op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}
