@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, quality_rules, secret_scan, simhash, url_filter
+from chartloom.llm import decontaminate, pii, quality_rules, secret_scan, simhash, url_filter
 from chartloom.llm.base import table
 
 
@@ -22,9 +22,13 @@ def op7_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination, op6_quality_rules, op7_simhash, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op10_secret_scan)}
 ORACLES = {"op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}
