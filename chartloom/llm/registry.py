@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, pii, quality_rules, secret_scan, simhash, url_filter
+from chartloom.llm import decontaminate, pii, quality_rules, secret_scan, simhash, toxicity, url_filter
 from chartloom.llm.base import table
 
 
@@ -10,6 +10,10 @@ def op3_url_filters(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +34,5 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op10_secret_scan)}
 ORACLES = {"op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}
