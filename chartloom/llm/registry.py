@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
+from chartloom.llm import decontaminate, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from chartloom.llm.base import table
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,5 +42,5 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op10_secret_scan)}
-ORACLES = {"op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op10_secret_scan)}
+ORACLES = {"op1_suffix_array_dedup": substring_dedup.ORACLE, "op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}
