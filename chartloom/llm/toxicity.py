@@ -1,10 +1,12 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-Document counts of every n-gram bucket, by class, are gathered over all training
-rows: each task sums its own, then one aggregation adds them.  The log-count
+The model is fitted on a bounded sample of labelled rows (``MAX_ROWS`` of each
+class).  Document counts of every n-gram bucket, by class, are gathered where the
+texts are: each task sums its own, then one aggregation adds them.  The log-count
 ratio scales a bucket's feature, log(1 + occurrences).  The weights come from a
-logistic regression on a bounded sample of labelled rows, over the ``KEPT`` buckets
-whose counts differ most surely between the classes; other buckets weigh nothing.
+logistic regression over the ``KEPT`` buckets whose counts differ most surely
+between the classes; other buckets weigh nothing.  The intercept is moved to the
+classes' shares among all labelled rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ BUCKETS = 1 << 20
 #: Buckets that get a weight, and what the log-count ratio must reach, plainly and in standard errors.
 KEPT = 8192
 LEAST_RATIO, LEAST_SURE = 0.7, 3.0
-#: Bound of the labelled rows of each class that the weights are fitted on.
-MAX_ROWS = 8_000
+#: Bound of the labelled rows of each class that the model is fitted on.
+MAX_ROWS = 10_000
 TOXIC_AT = 0.7
 
 
@@ -104,18 +106,19 @@ def logistic(row: np.ndarray, x: np.ndarray, value: np.ndarray, y: np.ndarray, s
 def train(documents: DataFrame, labels: DataFrame, where: Column | None = None, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
     """(weight of each bucket, intercept).
 
-    ``where`` selects the rows of ``labels`` that may be learnt from.  The counts
-    are over all of them; the regression sees at most ``max_rows`` of each class.
+    ``where`` selects the rows of ``labels`` that may be learnt from; at most
+    ``max_rows`` of each class are.  With one class only the model is a constant.
     """
-    ids = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).dropna()
-    if where is not None:
-        ids = ids.where(where)
-    ids = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
-    texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    counts = class_counts(texts.join(ids, "doc_id").select("label", "text"))
-    sizes = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
+    usable = F.col("label").isin(0, 1) if where is None else where & F.col("label").isin(0, 1)
+    some = [labelled_sample(labels, "toxic", max_rows, usable & (F.col("label") == c)) for c in (0, 1)]
+    sample = F.broadcast(some[0].union(some[1]))  # at most 2 * max_rows rows of 12 bytes
+    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
+    shares = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).dropna().where(usable).groupBy("label").count()
+    total = {r.label: r["count"] for r in shares.collect()}
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return np.zeros(BUCKETS), 6.0 if sizes.get(1) else -6.0
+    counts = class_counts(rows)
     p = (F.col("positive") + 1) / (sizes[1] + 2)
     q = (F.col("negative") + 1) / (sizes[0] + 2)
     ratio = F.log(p / q)
@@ -124,15 +127,11 @@ def train(documents: DataFrame, labels: DataFrame, where: Column | None = None,
     telling = (F.abs("ratio") >= LEAST_RATIO) & (F.col("sure") >= LEAST_SURE)
     best = counts.select("bucket", ratio.alias("ratio"), sure.alias("sure")).where(telling).orderBy(F.desc("sure"), "bucket").limit(KEPT).collect()
     kept, scale = np.array([r.bucket for r in best], np.int64), np.array([r.ratio for r in best])
-    some = [labelled_sample(labels, "toxic", max_rows, (F.col("label") == c) if where is None else where & (F.col("label") == c)) for c in (0, 1)]
-    sample = F.broadcast(some[0].union(some[1]))  # at most 2 * max_rows rows of 12 bytes
-    row, x, value, y = sample_features(texts.join(sample, "doc_id").select("label", "text"), kept)
-    weights = np.zeros(BUCKETS)
-    if not len(y):
-        return weights, -6.0
+    row, x, value, y = sample_features(rows, kept)
     w, b = logistic(row, x, value * scale[x], y, len(kept))
+    weights = np.zeros(BUCKETS)
     weights[kept] = w * scale
-    return weights, b
+    return weights, b + float(np.log(total[1] / total[0]) - np.log(sizes[1] / sizes[0]))
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
