@@ -55,6 +55,12 @@ class Hasher:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return (h >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
 
+    def slices64(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The whole hash of each slice."""
+        h = (self.sums[end] - self.sums[start]) * self.inverses[start]
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(32)
+
     def grams(self, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, bucket) of the n-grams that have a space at their ends at most."""
         space = self.points == SPACE

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from chartloom.llm import decontaminate, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_sampling, simhash, substring_dedup, toxicity, url_filter
 from chartloom.llm.base import table
 
 
@@ -38,9 +38,13 @@ def op8_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return sentencepiece_sampling.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op9_sentencepiece, op10_secret_scan)}
 ORACLES = {"op1_suffix_array_dedup": substring_dedup.ORACLE, "op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE}

@@ -48,15 +48,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) for each row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -82,7 +83,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``documents``.
+    """(doc_id, text_hash, fp, root, component_id) for each row of ``documents``; root is the component's least fingerprint.
 
     component_id is the least doc_id that links reach (null ids don't count; if a
     component has no other, it is null).  Null, empty and wordless texts have the
@@ -93,8 +94,9 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     found = components(links(nodes, threshold))
     linked = cut(nodes.join(found, nodes.fp == found.node).select("fp", "root", "least"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = linked.join(roots, "root").select("fp", "component_id")
-    named = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    joined = linked.join(roots, "root").select("fp", "root", "component_id", F.lit(True).alias("linked"))
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
+    named = nodes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
     return rows.join(named, "fp")
 
 
@@ -105,7 +107,10 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One row of each component: the one with the least doc_id (of repeated ones, any)."""
-    found = near_duplicates(documents).select("doc_id", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct()
-    kept = documents.join(found.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component: that of the least doc_id (a null one comes last), and of those the least text hash."""
+    no_id = F.lit(-(1 << 63))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    winners = near_duplicates(documents).groupBy("root").agg(first)
+    winners = winners.select(F.coalesce("first.doc_id", no_id).alias("_id"), F.col("first.text_hash").alias("_hash"))
+    keyed = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), no_id), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(winners, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*documents.columns)
