@@ -1,10 +1,364 @@
-"""One query for each operator over the driver's tables, and its DuckDB equivalent."""
+"""One query for each operator over the driver's tables, and its DuckDB equivalent.
+
+The tables stand in for the record's: events for the log (a user is a device),
+conversations for pages, documents for page texts (a source is a provider),
+orders and line items for dated records and measurements of patients, parts for
+the dictionary.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chartloom.functions import text as T
+from chartloom.functions.columns import let
+from chartloom.operators import clinical, ordering, records, replay
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Register a function of a table reader under its name."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, user_id, event_id) AS place FROM events")
+def merge_order(t):
+    bucket = F.date_trunc("hour", F.col("ts"))
+    return ordering.numbered(t("events").select("event_id", "ts", "user_id"), bucket, [F.col("ts"), F.col("user_id"), F.col("event_id")], "place").select("event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def cas_dedup(t):
+    rows = t("documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("content_hash"), "doc_id")
+    return rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 'objects/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) AS path FROM documents")
+def object_path(t):
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("h")).select("doc_id", T.object_path(F.col("h")).alias("path"))
+
+
+@query("""WITH mark AS (SELECT user_id, CAST(floor(avg(event_id)) AS BIGINT) AS applied FROM events WHERE user_id % 4 <> 0 GROUP BY user_id)
+    SELECT e.user_id, e.event_id FROM events e LEFT JOIN mark m ON e.user_id = m.user_id WHERE e.event_id > coalesce(m.applied, 0)""")
+def pending_after_watermark(t):
+    events = t("events").select("user_id", "event_id")
+    marks = events.where("user_id % 4 <> 0").groupBy("user_id").agg(F.floor(F.avg("event_id")).alias("applied"))
+    return replay.pending(events, marks, "user_id", "event_id")
+
+
+@query("SELECT user_id, max(event_id) AS applied FROM events GROUP BY user_id")
+def watermark_advance(t):
+    return replay.advanced(t("events"), "user_id", "event_id")
+
+
+@query("""SELECT e.event_id, e.user_id, e.event_type FROM events e WHERE event_type <> 'error'
+    AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'error' AND x.user_id = e.user_id AND x.ts > e.ts)""")
+def tombstone_anti(t):
+    events = t("events")
+    last = events.where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("gone"))
+    kept = events.where("event_type <> 'error'").join(last, "user_id", "left").where("gone IS NULL OR NOT gone > ts")
+    return kept.select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def first_wins_projection(t):
+    return replay.first_wins(t("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("""WITH stop AS (SELECT user_id, min(struct_pack(ts := ts, event_id := event_id)) AS s FROM events WHERE event_type = 'error' GROUP BY user_id)
+    SELECT e.user_id, e.event_id FROM events e LEFT JOIN stop USING (user_id) WHERE s IS NULL OR struct_pack(ts := e.ts, event_id := e.event_id) < s""")
+def deferral_cut(t):
+    events = t("events").select("user_id", "ts", "event_id", "event_type")
+    return replay.before_first(events, F.col("event_type") == "error", "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS place FROM orders")
+def timeline(t):
+    w = Window.partitionBy("o_custkey").orderBy(*records.timeline_order("o_orderdate", "o_orderkey"))
+    return t("orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(r"""SELECT doc_id, lang FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'the')
+    AND list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'that') ORDER BY doc_id LIMIT 50""")
+def search_and(t):
+    return records.search(t("documents"), "The that", 50).select("doc_id", "lang")
+
+
+@query("""SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def phrase_hits(t):
+    # a document that has the phrase has the phrase's second to seventh word: found by equality, then the whole phrase is looked for
+    opening = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 6), " ")
+    items = t("benchmark").select("item_id", F.col("text").alias("phrase"), opening(F.col("text")).alias("opening"))
+    docs = t("documents").select("doc_id", "text").where("text IS NOT NULL")
+    windows = let(F.split("text", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 5, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 6), " ")))
+    grams = docs.select("doc_id", F.explode(windows).alias("opening")).distinct()
+    near = grams.join(items, "opening").select("doc_id", "item_id", "phrase").distinct()
+    return near.join(docs, "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+
+
+@query("SELECT c.conv_id, c.turn, l.quality FROM conversations c JOIN labels l ON l.doc_id = c.conv_id")
+def search_join(t):
+    return t("conversations").join(t("labels"), F.col("conv_id") == F.col("doc_id")).select("conv_id", "turn", "quality")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def ocr_text(t):
+    return records.page_texts(t("conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS backend FROM conversations GROUP BY conv_id")
+def ocr_backend(t):
+    return t("conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("backend"))
+
+
+@query("SELECT user_id, min(value) AS confidence, coalesce(avg(value), 0) AS mean_confidence FROM events GROUP BY user_id")
+def ocr_confidence(t):
+    return t("events").groupBy("user_id").agg(F.min("value").alias("confidence"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_confidence"))
+
+
+def _stays(t):
+    """Orders as documents; an urgent one opens a window of 60 days."""
+    orders = t("orders").select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("doc"), F.col("o_orderdate").alias("date"), "o_orderpriority")
+    order = F.row_number().over(Window.partitionBy("patient").orderBy("date", "doc"))
+    windows = orders.where("o_orderpriority = '1-URGENT'").select("patient", F.col("doc").alias("window"), order.alias("window_order"), F.col("date").alias("start"), (F.col("date") + F.expr("INTERVAL 60 DAYS")).alias("end"))
+    return orders, windows
+
+
+WINDOWS = "win AS (SELECT o_custkey AS patient, o_orderkey AS win, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e FROM orders WHERE o_orderpriority = '1-URGENT'), claim AS (SELECT o.o_custkey AS patient, o.o_orderkey AS doc, arg_min(w.win, struct_pack(s := w.s, k := w.win)) AS win FROM orders o JOIN win w ON w.patient = o.o_custkey AND o.o_orderdate BETWEEN w.s AND w.e GROUP BY 1, 2)"
+
+
+@query(f"WITH {WINDOWS} SELECT o_custkey AS patient, o_orderkey AS doc, claim.win AS \"window\" FROM orders LEFT JOIN claim ON claim.doc = o_orderkey AND claim.patient = o_custkey")
+def encounters_inpatient(t):
+    orders, windows = _stays(t)
+    return records.inpatient_windows(orders, windows, "patient").select("patient", "doc", "window")
+
+
+@query("SELECT o_custkey AS patient, CAST(o_orderdate AS DATE) AS day, count(*) AS n_docs, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'emergency' ELSE 'outpatient' END AS kind FROM orders GROUP BY 1, 2")
+def encounters_sameday(t):
+    return records.same_day(_stays(t)[0], "patient", F.col("o_orderpriority") == "1-URGENT")
+
+
+@query("""WITH n AS (SELECT conv_id, role, count(*) AS n, min(turn) AS pos FROM conversations GROUP BY 1, 2)
+    SELECT conv_id, arg_min(role, struct_pack(a := -n, b := pos)) AS role, arg_min(n, struct_pack(a := -n, b := pos)) AS n, count(*) >= 2 AS transferred FROM n GROUP BY conv_id""")
+def provider_mode(t):
+    return records.mode_of(t("conversations"), ["conv_id"], "role", "turn").select("conv_id", "role", "n", (F.col("n_kinds") >= 2).alias("transferred"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_docs, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def encounter_docs(t):
+    joined = t("customer").select("c_custkey").join(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), F.col("c_custkey") == F.col("o_custkey"))
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_docs"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def standalone(t):
+    return t("customer").select("c_custkey").join(t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query(f"""WITH {WINDOWS},
+    stay AS (SELECT win.patient, 'inpatient' AS kind, CAST(s AS DATE) AS start, CAST(e AS DATE) AS "end", '住院 · ' || strftime(s, '%Y-%m-%d') || ' → ' || strftime(e, '%Y-%m-%d') AS title, count(claim.doc) AS n_docs
+        FROM win LEFT JOIN claim ON claim.win = win.win AND claim.patient = win.patient GROUP BY win.patient, win.win, s, e),
+    day AS (SELECT o_custkey AS patient, CAST(o_orderdate AS DATE) AS d, count(*) AS n_docs, bool_or(o_orderpriority = '1-URGENT') AS em FROM orders LEFT JOIN claim ON claim.doc = o_orderkey AND claim.patient = o_custkey WHERE claim.win IS NULL GROUP BY 1, 2)
+    SELECT * FROM stay UNION ALL SELECT patient, CASE WHEN em THEN 'emergency' ELSE 'outpatient' END, d, NULL, CASE WHEN em THEN '急诊 · ' ELSE '门诊 · ' END || strftime(d, '%Y-%m-%d'), n_docs FROM day""")
+def grouped_timeline(t):
+    orders, windows = _stays(t)
+    return records.encounters(orders, "patient", F.col("o_orderpriority") == "1-URGENT", windows)
+
+
+@query("""SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY l.quality ASC NULLS LAST, d.doc_id) - 1 AS place FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def gather_records(t):
+    joined = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    w = Window.partitionBy("source").orderBy(*records.gather_order("quality", "doc_id"))
+    return joined.select("source", "doc_id", (F.row_number().over(w) - 1).cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-09-30'")
+def range_filter(t):
+    return records.in_range(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "1996-03-01", "1996-09-30")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS LAST, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS place FROM lineitem")
+def slice_order(t):
+    w = Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_linenumber"), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'signup' THEN '导入' WHEN 'purchase' THEN '分享' WHEN 'error' THEN '删除' END AS action,
+    CASE WHEN event_type = 'purchase' THEN CAST(value AS VARCHAR) ELSE event_type END IS NOT NULL AS has_detail,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type IN ('signup', 'purchase', 'error')""")
+def audit_log(t):
+    kinds = {"signup": "FileImported", "purchase": "ShareCreated", "error": "DocumentDeleted"}
+    kind = F.lit(None).cast("string")
+    for own, name in kinds.items():
+        kind = F.when(F.col("event_type") == own, name).otherwise(kind)
+    text = F.col("value").cast("string")
+    log = t("events").select("ts", F.col("user_id").alias("device_id"), F.col("event_id").alias("seq"), kind.alias("type"), text.alias("original_name"), F.lit("x").alias("kind"), F.lit(1).alias("record_count"), text.alias("expires"), text.alias("source_file_hash"), text.alias("sha256"))
+    w = Window.partitionBy("device_id").orderBy(F.desc("ts"), F.desc("seq"))
+    return records.audit(log).select(F.col("seq").alias("event_id"), "action", F.col("detail").isNotNull().alias("has_detail"), F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, arg_min(event_type, struct_pack(a := -n, b := event_type)) AS event_type, max(n) AS n, sum(n) AS record_count FROM n GROUP BY user_id""")
+def profile_mode(t):
+    events = t("events")
+    return records.mode_of(events, ["user_id"], "event_type").drop("n_kinds").join(events.groupBy("user_id").agg(F.count("*").alias("record_count")), "user_id")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[À-ÿ]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[À-ÿ]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' END AS language FROM documents")
+def detect_language(t):
+    return t("documents").select("doc_id", T.language(F.col("text"), own="[À-ÿ]").alias("language"))
+
+
+@query(r"""SELECT page_id, CAST(make_date(y, 1 + (n % 12), 1 + (n % 28)) AS DATE) AS first_date FROM
+    (SELECT page_id, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS n, 1990 + CAST(page_id % 30 AS INTEGER) AS y FROM pages WHERE regexp_matches(url, '/[0-9]+'))""")
+def date_in_text(t):
+    n = F.regexp_extract("url", "/([0-9]+)", 1).cast("long")
+    pages = t("pages").where(F.col("url").rlike("/[0-9]+")).select("page_id", n.alias("n"), (1990 + F.col("page_id") % 30).cast("string").alias("y"))
+    text = F.concat(F.lit("no. 12345 seen on "), F.col("y"), F.lit("-"), (1 + F.col("n") % 12).cast("string"), F.lit("-"), (1 + F.col("n") % 28).cast("string"), F.lit(" and 2023-02-30"))
+    return pages.select("page_id", T.first_date(text).alias("first_date"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN contains(lower(text), 'disgust') THEN 'discharge_summary' WHEN contains(lower(text), 'apache') THEN 'prescription'
+    WHEN contains(lower(text), 'token') OR list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'password') THEN 'lab_report' ELSE 'unknown' END AS doc_type FROM documents WHERE text IS NOT NULL""")
+def classify_cascade(t):
+    rules = (("discharge_summary", ("disgust",), ()), ("prescription", ("apache",), ()), ("lab_report", ("token",), ("password",)))
+    return t("documents").where("text IS NOT NULL").select("doc_id", T.classify(F.col("text"), rules).alias("doc_type"))
+
+
+@query(r"""WITH line AS (SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+    hit AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM line WHERE contains(line, ','))
+    SELECT doc_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines FROM hit GROUP BY doc_id, run HAVING count(*) >= 3""")
+def line_rows(t):
+    lines = records.line_rows(t("documents").select("doc_id", "text"), "doc_id")
+    found = records.islands(lines, "doc_id", F.col("line").contains(","), 3)
+    return found.select("doc_id", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"), "n_lines")
+
+
+@query(r"""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]{1,40})', 1), '') AS title, nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), '') AS lang FROM pages""")
+def key_value_lines(t):
+    none = lambda c: F.when(c != "", c)
+    return t("pages").select("page_id", none(F.regexp_extract("html", "<title>([^<]{1,40})", 1)).alias("title"), none(F.regexp_extract("html", 'lang="([a-z]+)"', 1)).alias("lang"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE p_type WHEN 'ECONOMY' THEN 88.42 * l_quantity WHEN 'PROMO' THEN 0.09148 * l_quantity + 2.152 END AS canonical
+    FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def unit_convert(t):
+    from chartloom.operators import terms
+
+    part = t("part").select("p_partkey", F.col("p_type").alias("key"), F.lit("mg/dL").alias("unit"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    table = rows.sparkSession.createDataFrame([("ECONOMY", "mg/dL", 88.42, 0.0), ("PROMO", "mg/dL", 0.09148, 2.152)], "key string, unit_norm string, slope double, intercept double")
+    return terms.convert(rows, table, "l_quantity", "unit").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "canonical")
+
+
+@query(r"SELECT p_partkey, lower(regexp_replace(p_brand || ' ' || p_name, '\s', '', 'g')) AS term FROM part")
+def normalize_term(t):
+    return t("part").select("p_partkey", T.normal_term(F.concat_ws(" ", "p_brand", "p_name")).alias("term"))
+
+
+@query("""WITH dict AS (SELECT p_brand AS alias, min(p_partkey) AS key FROM part GROUP BY 1), word AS (SELECT DISTINCT p_type AS alias FROM part)
+    SELECT p.p_partkey, CASE WHEN w.alias IS NOT NULL AND length(w.alias) > length(d.alias) THEN -1 ELSE d.key END AS key FROM part p JOIN dict d ON d.alias = p.p_brand LEFT JOIN word w ON w.alias = p.p_type""")
+def dict_resolve(t):
+    from chartloom.operators import terms
+
+    part = t("part")
+    none = F.array().cast("array<string>")
+    brands = part.groupBy("p_brand").agg(F.min("p_partkey").alias("key")).select("key", F.lit("lab").alias("category"), F.array("p_brand").alias("aliases"), none.alias("confusions"))
+    types = part.select("p_type").distinct().select(F.lit(-1).cast("long").alias("key"), F.lit("drug").alias("category"), F.array("p_type").alias("aliases"), none.alias("confusions"))
+    rows = part.select("p_partkey", F.concat(F.col("p_brand"), F.lit(" ("), F.col("p_type"), F.lit(")")).alias("term"))
+    return terms.resolve(rows, terms.alias_index(brands.union(types)), "p_partkey", "term").select("p_partkey", "key")
+
+
+@query("""SELECT o_custkey, count(*) AS n_points, string_agg(strftime(o_orderdate, '%Y-%m') || '=' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ';' ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_quantity) AS points, bool_or(l_returnflag = 'R') AS any_abnormal
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey""")
+def series_points(t):
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    flag = F.when(F.col("l_returnflag") == "R", "H").otherwise("N")
+    points = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", flag.alias("flag")).join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    found = clinical.series(points, ["o_custkey"], "o_orderdate", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"])
+    text = F.transform("points", lambda p: F.concat(F.date_format(p["date"], "yyyy-MM"), F.lit("="), T.plain_number(p["value"])))
+    return found.select("o_custkey", "n_points", F.array_join(text, ";").alias("points"), "any_abnormal")
+
+
+@query("""SELECT l_partkey, arg_max(l_tax, struct_pack(a := l_shipdate, b := -l_orderkey, c := -l_linenumber, d := -l_extendedprice)) AS low FROM lineitem WHERE l_discount > 0.03 GROUP BY l_partkey""")
+def latest_range(t):
+    rows = t("lineitem").withColumn("low", F.col("l_tax"))
+    return clinical.latest(rows, ["l_partkey"], "l_shipdate", ["l_orderkey", "l_linenumber", "l_extendedprice"], ["low"], F.col("l_discount") > 0.03)
+
+
+@query("SELECT l_partkey, bool_or(l_returnflag IN ('A', 'R') AND l_quantity > 45) AS any_abnormal FROM lineitem GROUP BY l_partkey")
+def any_abnormal(t):
+    return t("lineitem").groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag").isin("A", "R") & (F.col("l_quantity") > 45)).alias("any_abnormal"))
+
+
+@query("""SELECT o_custkey, min(o_orderdate) AS start, max(o_orderdate) AS "end", arg_max(o_orderpriority, struct_pack(a := o_orderdate, b := -o_orderkey)) AS dose,
+    array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS sources FROM orders GROUP BY o_custkey""")
+def med_span(t):
+    found = clinical.spans(t("orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"], "o_orderpriority", "o_orderstatus")
+    return found.select("o_custkey", "start", "end", "dose", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""SELECT substr(p_brand, 1, 7) AS key, arg_min(p_name, struct_pack(a := length(p_name), b := p_name)) AS term, min(p_size) AS onset, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS sources FROM part GROUP BY 1""")
+def condition_merge(t):
+    found = clinical.merge_problems(t("part"), F.substring("p_brand", 1, 7), "p_name", "p_size", "p_type")
+    return found.select("key", "term", "onset", F.array_join("sources", ",").alias("sources"))
+
+
+PREFIXES = [("economy", "ECO*"), ("promo", "PROMO"), ("small things", "S*"), ("nothing", "*"), ("small", "SMALL")]
+PREFIX_SQL = "(VALUES " + ", ".join(f"('{a}', '{b.rstrip('*')}')" for a, b in PREFIXES) + ") AS x(problem, prefix)"
+
+
+@query(f"SELECT p_partkey, problem FROM part JOIN {PREFIX_SQL} ON prefix <> '' AND starts_with(p_type, prefix)")
+def prefix_attach(t):
+    part = t("part").select("p_partkey", "p_type")
+    rules = part.sparkSession.createDataFrame(PREFIXES, "problem string, atc string")
+    return clinical.attach_by_prefix(part, rules, "p_type", "atc").select("p_partkey", "problem")
+
+
+@query(f"SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM {PREFIX_SQL} WHERE prefix <> '' AND starts_with(p_type, prefix))")
+def other_bucket(t):
+    part = t("part").select("p_partkey", "p_type")
+    return part.select("p_partkey").join(prefix_attach(t).select("p_partkey"), "p_partkey", "left_anti")
+
+
+@query("""WITH ends AS (SELECT o_custkey, o_orderpriority, arg_min(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS f, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS l, count(*) AS n FROM orders GROUP BY 1, 2),
+    r AS (SELECT *, CASE WHEN f = 0 THEN abs(l - f) ELSE abs(l - f) / abs(f) END AS change FROM ends WHERE n >= 2)
+    SELECT o_custkey, o_orderpriority, f AS first, l AS last, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY change DESC, o_orderpriority) AS rank FROM r) WHERE rank <= 4""")
+def notable_changes(t):
+    found = clinical.notable(t("orders"), ["o_custkey"], "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey")
+    return found.select("o_custkey", "o_orderpriority", "first", "last", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 6""")
+def top_k_trim(t):
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
+    return records.top_k(t("lineitem"), ["l_suppkey"], order, 6).select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    f AS (SELECT source, doc_id, i, CASE WHEN n_chars <= 8000 THEN n_chars ELSE 0 END AS total, n_chars <= 8000 AS full_size FROM o WHERE i = 1
+        UNION ALL SELECT o.source, o.doc_id, o.i, f.total + CASE WHEN o.n_chars <= 8000 AND f.total + o.n_chars <= 60000 THEN o.n_chars ELSE 0 END, o.n_chars <= 8000 AND f.total + o.n_chars <= 60000 FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
+    SELECT source, doc_id, CASE WHEN full_size THEN 'full' ELSE 'image' END AS tier FROM f""")
+def share_tier_fold(t):
+    return clinical.share_tiers(t("documents"), "source", ["doc_id"], "n_chars", 8000, 60000)
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS n_hit, count(*) FILTER (WHERE quality = 1) AS n_exact, round(100.0 * count(*) FILTER (WHERE l.doc_id IS NOT NULL) / count(*), 3) AS percent
+    FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
+def coverage_report(t):
+    rows = t("documents").select("doc_id", "lang").join(t("labels").select("doc_id", "quality").withColumn("hit", F.lit(True)), "doc_id", "left")
+    hits = F.count_if("hit")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), hits.alias("n_hit"), F.count_if(F.col("quality") == 1).alias("n_exact"), F.round(100.0 * hits / F.count("*"), 3).alias("percent"))
