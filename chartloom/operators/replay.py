@@ -81,7 +81,7 @@ def project(log: DataFrame, objects: DataFrame) -> dict[str, DataFrame]:
         .union(waiting(placed.where("_known AND status = 'missing'"), "object"))
         .union(waiting(slices.join(known, "source_file_hash", "left_anti"), "document"))
     )
-    return {"source_file": files, "document": documents, "ocr_result": ocr, "imaging_instance": imaging, "deferred": deferred}
+    return {"source_file": files, "document": documents, "ocr_result": ocr, "imaging_instance": imaging, "deferred": deferred.distinct()}
 
 
 def ids(documents: DataFrame) -> DataFrame:
