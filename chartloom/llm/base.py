@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +51,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: for tables too large to checkpoint row by row.
+class Scratch:
+    """Parquet tables in a folder of the shared one, for results too large to checkpoint row by row."""
 
-    Afterwards the driver's garbage is collected, so that the shuffle files of
-    what has been written are let go of.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/chartloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/chartloom-{uuid.uuid4().hex}", 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """Cut the lineage with a table.
+
+        Afterwards the driver's garbage is collected, so that the shuffle files of
+        what has been written are let go of.
+        """
+        path, schema = f"{self.folder}/{self.n}", df.schema
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(path)
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all tables; only when everything made from them has been stored elsewhere."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: what a worker holds as Python objects at a time."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
 
 
 def labelled_sample(labels: DataFrame, label: str, limit: int, where: Column | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import ngrams
-from chartloom.llm.base import labelled_sample
+from chartloom.llm.base import labelled_sample, small
 
 ORDERS = (3, 5)
 BUCKETS = 1 << 17
@@ -51,19 +51,17 @@ def sample_features(rows: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]
     """For each row (buckets, share of each), and the labels; the caller bounds ``rows`` (label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                ids, shares = [], []
-                for _, points, starts in ngrams.chunks(part.column(1).to_pylist()):
-                    text, bucket = (np.concatenate(x) for x in zip(*features(points, starts), strict=True))
-                    key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
-                    cut = np.searchsorted(key, np.arange(len(starts) + 1) * BUCKETS)
-                    total = np.maximum(1, np.add.reduceat(np.append(count, 0), cut[:-1]) * (cut[1:] > cut[:-1]))
-                    for a, b, n in zip(cut[:-1], cut[1:], total, strict=True):
-                        ids.append((key[a:b] % BUCKETS).astype(np.uint32).tobytes())
-                        shares.append((count[a:b] / n).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "ids", "shares"])
+        for batch in small(batches):
+            ids, shares = [], []
+            for _, points, starts in ngrams.chunks(batch.column(1).to_pylist()):
+                text, bucket = (np.concatenate(x) for x in zip(*features(points, starts), strict=True))
+                key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
+                cut = np.searchsorted(key, np.arange(len(starts) + 1) * BUCKETS)
+                total = np.maximum(1, np.add.reduceat(np.append(count, 0), cut[:-1]) * (cut[1:] > cut[:-1]))
+                for a, b, n in zip(cut[:-1], cut[1:], total, strict=True):
+                    ids.append((key[a:b] % BUCKETS).astype(np.uint32).tobytes())
+                    shares.append((count[a:b] / n).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "ids", "shares"])
 
     got = rows.mapInArrow(run, "label int, ids binary, shares binary").toPandas()
     read = [(np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(s, np.float32)) for i, s in zip(got["ids"], got["shares"], strict=True)]
@@ -111,7 +109,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     rows = documents.select(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             total, count = np.zeros(len(batch)), np.zeros(len(batch))
             for first, points, starts in ngrams.chunks(batch.column(batch.schema.get_field_index("text")).to_pylist()):
                 here = slice(first, first + len(starts))

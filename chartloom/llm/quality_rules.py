@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import gbdt
-from chartloom.llm.base import labelled_sample
+from chartloom.llm.base import labelled_sample, small
 
 #: Bound of the labelled rows that the trees are trained on.
 MAX_ROWS = 20_000
@@ -88,7 +88,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     sample = F.broadcast(labelled_sample(labels, "quality", max_rows))  # max_rows rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [statistics(t)[1] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -111,7 +111,7 @@ def judge(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) ->
     own = [c for c in documents.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [statistics(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
             x = np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import ngrams
+from chartloom.llm.base import small
 
 SPACE = "▁"
 #: Stands for the letter U+2581 itself, which is spelt in bytes; a surrogate is in no text.
@@ -37,9 +38,9 @@ OWN_SPACE = "\udc81"
 #: log-probability of a piece, up to a constant: -SHARPNESS * log(rank + SHIFT).
 SHARPNESS, SHIFT = 1.0, 8.0
 #: Distinct units whose lattices a worker keeps; all are dropped when it has more.
-MOST_UNITS = 250_000
+MOST_UNITS = 100_000
 #: Characters of a run of texts that are stepped together (a longer text is a run of its own).
-RUN_CHARACTERS = 600_000
+RUN_CHARACTERS = 250_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -390,14 +391,14 @@ def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary(path))
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple[int, int, dict]] = []
             size = 0
             for i, found in encode_texts(texts, [f"{seed}:{d}" for d in ids], lattices, k):
-                rows += [(ids[i], r, s) for r, s in enumerate(found)]
+                rows += [(ids[i], r, {c: s[c] for c in ("log_prob", "perturbed", "inclusion", "ids")}) for r, s in enumerate(found)]
                 size += sum(len(s["ids"]) for s in found)
-                if size > 1 << 21 or i == len(texts) - 1:
+                if size > 1 << 20 or i == len(texts) - 1:
                     yield _batch(rows)
                     rows, size = [], 0
 
@@ -420,7 +421,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in small(batches):
             found = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if i is None else words.decode(i) for i in found], pa.string())], [*batch.schema.names, "text"])
 

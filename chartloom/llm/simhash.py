@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import covering
-from chartloom.llm.base import cut
+from chartloom.llm.base import cut, small
 from chartloom.llm.components import components
 
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) for each row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 

@@ -17,7 +17,8 @@ two equal strings of ``length`` bytes are sure to meet in one task without that:
    goes by the longer text that all its windows share.  Halving ends at single windows, which are counted.
    No row is dropped, and no task gets more than ``most`` contexts of a bucket.
 
-Intermediate tables are written to the shared checkpoint folder.
+Intermediate tables are written to the shared checkpoint folder and deleted once
+used.  Texts are shuffled compressed.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import suffix_array
-from chartloom.llm.base import store
+from chartloom.llm.base import Scratch, small
 from chartloom.llm.ngrams import INVERSE, MULTIPLIER, _powers
 
 LENGTH = 200
@@ -105,6 +107,18 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", text.alias("text")).withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "k2": F.xxhash64("text")})
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(k1, k2, packed): the texts' bytes, compressed, to be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in small(batches):
+            packed = [pack(t.encode("utf-8", "replace")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["k1", "k2", "packed"])
+
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, packed binary")
+
+
 def occurrences(rows: DataFrame, length: int) -> DataFrame:
     """(anchor, context, k1, k2, at): every context of every text; ``at`` packs where it is.
 
@@ -112,7 +126,7 @@ def occurrences(rows: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t.encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)])
             for where, data, ends in _pieces(texts, length):
@@ -137,10 +151,11 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     low = GRAM - length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace")
+            for packed, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = unpack(packed)
                 for c in found:
                     first, more, offset = c["at"] >> 24, c["at"] >> 12 & 0xFFF, c["at"] & 0xFFF
                     for to, value in zip(out, (c["anchor"], c["context"], more, offset, raw[first : first + more + length]), strict=True):
@@ -150,11 +165,11 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([anchor, anchor, context, same(0), more, offset, same(low), same(0), data], ["bucket", "anchor", "context", "lo", "hi", "offset", "low", "high", "bytes"])
 
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "at")).alias("found"))
-    joined = rows.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "found")
+    joined = _packed(rows).join(lists, ["k1", "k2"]).select("packed", "found")
     return joined.mapInArrow(run, "bucket long, anchor long, context long, lo int, hi int, offset int, low int, high int, bytes binary")
 
 
-def split_hot(texts: DataFrame, length: int, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+def split_hot(texts: DataFrame, length: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows of buckets of at most ``most``, repeated single windows as (anchor, context, lo, hi))."""
     done = []
     while True:
@@ -172,8 +187,8 @@ def split_hot(texts: DataFrame, length: int, most: int = MOST) -> tuple[DataFram
         halves = halves.withColumn("bucket", F.xxhash64("low", "high", shared))
         singles = marked.where("hot AND low = high").select("anchor", "context", "lo", "hi", F.sha2(F.expr(f"substring(bytes, lo + 1, {length})"), 256).alias("window"))
         counts = singles.groupBy("window").count().where("count > 1").select("window")
-        done.append(store(singles.join(counts, "window", "left_semi").select("anchor", "context", "lo", "hi")))
-        texts = store(calm.unionByName(halves.select(*calm.columns)))
+        done.append(scratch.store(singles.join(counts, "window", "left_semi").select("anchor", "context", "lo", "hi")))
+        texts = scratch.store(calm.unionByName(halves.select(*calm.columns)))
     if not done:
         return texts, texts.select("anchor", "context", "lo", "hi").limit(0)
     repeated = done[0]
@@ -227,23 +242,29 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(doc_id, text, runs) for each row: runs are (first, last) window starts, in bytes, that also begin anywhere else."""
+    """(doc_id, packed, runs) for each row: runs are (first, last) window starts, in bytes, that also begin anywhere else.
+
+    ``packed`` is the text's bytes, compressed.
+    """
     rows = _rows(documents)
+    scratch, last = Scratch(documents.sparkSession), Scratch(documents.sparkSession)
     every = occurrences(rows, length)
     often = every.groupBy("anchor").count().where("count > 1").select("anchor")
-    seen = store(every.join(often, "anchor"))
-    kinds = store(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
+    seen = scratch.store(every.join(often, "anchor"))
+    kinds = scratch.store(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
     mixed = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = kinds.join(mixed, "anchor").select("anchor", "context", "one.*")
-    texts, single = split_hot(store(_texts_of(rows, wanted, length)), length, most)
+    texts, single = split_hot(scratch.store(_texts_of(rows, wanted, length)), length, most, scratch)
     windows = repeated_windows(texts, length).union(single)
     runs = windows.groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.shiftright("one.at", 12).bitwiseAND(F.lit(0xFFF)).cast("int").alias("hi")))
     verdicts = kinds.join(runs, ["anchor", "context"], "left").select("anchor", "context", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
     hits = seen.join(verdicts.where("runs IS NOT NULL"), ["anchor", "context"]).select("k1", "k2", F.shiftright("at", 24).alias("at"), "runs")
     shifted = F.transform("runs", lambda r: F.struct((F.col("at") + r["lo"]).alias("lo"), (F.col("at") + r["hi"]).alias("hi")))
-    by_row = store(hits.select("k1", "k2", shifted.alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    return rows.join(by_row, ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    by_row = last.store(hits.select("k1", "k2", shifted.alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    scratch.drop()
+    ids = F.when(F.col("k1") != NO_ID, F.col("k1"))
+    return _packed(rows).join(by_row, ["k1", "k2"], "left").select(ids.cast(documents.schema["doc_id"].dataType).alias("doc_id"), "packed", "runs")
 
 
 def cut_runs(raw: bytes, runs: list | None, length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -270,10 +291,11 @@ def remove(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace")
+            for packed, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = unpack(packed)
                 spans, kept = cut_runs(raw, runs, length)
                 for to, value in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     to.append(value)

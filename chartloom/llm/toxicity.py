@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import ngrams
-from chartloom.llm.base import labelled_sample
+from chartloom.llm.base import labelled_sample, small
 
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -51,7 +51,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             labels = batch.column(0).to_numpy(zero_copy_only=False)
             for _, text, bucket in buckets_of(batch.column(1).to_pylist()):
                 text, bucket, _ = _counted(text, bucket)
@@ -72,7 +72,7 @@ def sample_features(rows: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.n
     place[kept] = np.arange(len(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             parts = [(np.zeros(0, np.int64),) * 3]
             for _, text, bucket in buckets_of(batch.column(1).to_pylist()):
                 hit = place[bucket] >= 0
@@ -142,7 +142,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     table = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             z = np.full(len(batch), intercept)
             for _, text, bucket in buckets_of(batch.column(batch.schema.get_field_index("text")).to_pylist()):
                 hit = table[bucket] != 0
