@@ -25,6 +25,8 @@ from chartloom.llm.components import components
 
 SEED = 42
 THRESHOLD = 2
+#: A fingerprint that has more than 1 / HOT of all rows is hot.
+HOT = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -90,14 +92,18 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     fingerprint 0 and so share a component.  Repeated rows come back repeated.
     """
     rows = cut(fingerprints(documents))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = components(links(nodes, threshold))
     linked = cut(nodes.join(found, nodes.fp == found.node).select("fp", "root", "least"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.join(roots, "root").select("fp", "root", "component_id", F.lit(True).alias("linked"))
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
-    named = nodes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
-    return rows.join(named, "fp")
+    named = nodes.join(joined, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
+    # fewer than HOT fingerprints can have more than one row in HOT, so they can be broadcast and are never dealt by key
+    many = rows.count() // HOT
+    hot = F.broadcast(named.where(F.col("n") > many).drop("n"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(named.where(F.col("n") <= many).drop("n"), "fp")
+    return rows.join(hot, "fp").unionByName(rest)
 
 
 def digest(documents: DataFrame) -> DataFrame:

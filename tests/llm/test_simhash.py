@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from chartloom.llm import components, covering, simhash
@@ -69,7 +70,9 @@ def test_components_of_a_random_graph(spark):
     assert got == {k: root[k] for k in touched}
 
 
-def test_groups_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(200)]
     rows = []
