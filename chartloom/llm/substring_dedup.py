@@ -242,27 +242,33 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(doc_id, packed, runs) for each row: runs are (first, last) window starts, in bytes, that also begin anywhere else.
+    """(doc_id, packed, runs) for each row: the windows, by their start in bytes, that also begin anywhere else.
 
-    ``packed`` is the text's bytes, compressed.
+    ``packed`` is the text's bytes, compressed; a run is its first start << 16 and
+    the number of starts that follow.
     """
-    rows = _rows(documents)
-    scratch, last = Scratch(documents.sparkSession), Scratch(documents.sparkSession)
+    rows, spark = _rows(documents), documents.sparkSession
+    first, second, third, last = (Scratch(spark) for _ in range(4))
     every = occurrences(rows, length)
     often = every.groupBy("anchor").count().where("count > 1").select("anchor")
-    seen = scratch.store(every.join(often, "anchor"))
-    kinds = scratch.store(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
+    seen = first.store(every.join(often, "anchor"))
+    kinds = second.store(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
+    first.drop()
     mixed = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = kinds.join(mixed, "anchor").select("anchor", "context", "one.*")
-    texts, single = split_hot(scratch.store(_texts_of(rows, wanted, length)), length, most, scratch)
-    windows = repeated_windows(texts, length).union(single)
-    runs = windows.groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.shiftright("one.at", 12).bitwiseAND(F.lit(0xFFF)).cast("int").alias("hi")))
+    texts, single = split_hot(third.store(_texts_of(rows, wanted, length)), length, most, third)
+    windows = second.store(repeated_windows(texts, length).union(single))
+    third.drop()
+    # a run of windows is packed as its first start << 16 | how many follow
+    packed = lambda start, more: F.shiftleft(start.cast("long"), 16).bitwiseOR(more.cast("long"))
+    runs = windows.groupBy("anchor", "context").agg(F.collect_set(packed(F.col("lo"), F.col("hi") - F.col("lo"))).alias("runs"))
+    whole = F.array(F.shiftright("one.at", 12).bitwiseAND(F.lit(0xFFF)))
     verdicts = kinds.join(runs, ["anchor", "context"], "left").select("anchor", "context", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
-    hits = seen.join(verdicts.where("runs IS NOT NULL"), ["anchor", "context"]).select("k1", "k2", F.shiftright("at", 24).alias("at"), "runs")
-    shifted = F.transform("runs", lambda r: F.struct((F.col("at") + r["lo"]).alias("lo"), (F.col("at") + r["hi"]).alias("hi")))
-    by_row = last.store(hits.select("k1", "k2", shifted.alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    scratch.drop()
+    # the occurrences are made once more: cheaper than to keep them all this time
+    hits = occurrences(rows, length).join(verdicts.where("runs IS NOT NULL"), ["anchor", "context"])
+    moved = hits.select("k1", "k2", F.explode("runs").alias("run"), "at").select("k1", "k2", (F.col("run") + F.shiftleft(F.shiftright("at", 24), 16)).alias("run"))
+    by_row = last.store(moved.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")))
+    second.drop()
     ids = F.when(F.col("k1") != NO_ID, F.col("k1"))
     return _packed(rows).join(by_row, ["k1", "k2"], "left").select(ids.cast(documents.schema["doc_id"].dataType).alias("doc_id"), "packed", "runs")
 
@@ -270,7 +276,8 @@ def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFr
 def cut_runs(raw: bytes, runs: list | None, length: int) -> tuple[list[tuple[int, int]], bytes]:
     """(maximal removed spans, what is left)."""
     spans: list[list[int]] = []
-    for first, last in sorted((r["lo"], r["hi"]) for r in runs or ()):
+    for first, more in sorted((r >> 16, r & 0xFFFF) for r in runs or ()):
+        last = first + more
         if spans and first <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], last + length)
         else:
