@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm import covering
+from chartloom.llm import covering, similar
 from chartloom.llm.base import cut, small
 from chartloom.llm.components import components
 
@@ -84,16 +84,22 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return homes.join(visitors, "anchor").where(near).select("u", "v")
 
 
-def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, similar_shingle: int | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) for each row of ``documents``; root is the component's least fingerprint.
 
     component_id is the least doc_id that links reach (null ids don't count; if a
     component has no other, it is null).  Null, empty and wordless texts have the
     fingerprint 0 and so share a component.  Repeated rows come back repeated.
+    With ``similar_shingle``, texts whose shingles of so many words have a Jaccard
+    similarity of 0.8 or more are linked as well (``similar``).
     """
     rows = cut(fingerprints(documents))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    found = components(links(nodes, threshold))
+    edges = links(nodes, threshold)
+    if similar_shingle:
+        edges = cut(edges)
+        edges = edges.unionByName(similar.links(documents, rows, edges, similar_shingle))
+    found = components(edges)
     linked = cut(nodes.join(found, nodes.fp == found.node).select("fp", "root", "least"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.join(roots, "root").select("fp", "root", "component_id", F.lit(True).alias("linked"))
@@ -112,11 +118,11 @@ def digest(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
+def keep_first(documents: DataFrame, similar_shingle: int | None = None) -> DataFrame:
     """One row of each component: that of the least doc_id (a null one comes last), and of those the least text hash."""
     no_id = F.lit(-(1 << 63))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    winners = near_duplicates(documents).groupBy("root").agg(first)
+    winners = near_duplicates(documents, similar_shingle=similar_shingle).groupBy("root").agg(first)
     winners = winners.select(F.coalesce("first.doc_id", no_id).alias("_id"), F.col("first.text_hash").alias("_hash"))
     keyed = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), no_id), "_hash": F.xxhash64(F.col("text").cast("string"))})
     return keyed.join(winners, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*documents.columns)
