@@ -1,9 +1,11 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Every pattern rule names the literal tokens that a matching URL must contain.
-The index keeps each rule under the one of them that is rarest among the URLs,
-so a URL's tokens fetch few candidate rules and only those run their regular
-expression.  Host/path rules are decided first and in the row.
+Every pattern rule names the literal tokens that a matching URL must contain as
+whole tokens; where one of several is enough, they are alternatives.  The index
+keeps each rule under the token (or all its alternatives) that is rarest among
+the URLs, so a URL's tokens fetch few candidate rules and only those run their
+regular expression.  A rule that is sure of no whole token runs on every URL.
+Host/path rules are decided first and in the row.
 
 All of it is DataFrame code; the rules are broadcast only when their number is
 below ``broadcast_rules``, otherwise the token join is a shuffled one.
@@ -35,12 +37,12 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the lower-cased URL that needs all of ``tokens``."""
+    """A regular expression over the lower-cased URL that needs all of ``tokens``, each a whole token or a tuple of alternatives."""
 
     name: str
     action: str
     regex: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str | tuple[str, ...], ...] = ()
 
 
 HOST_RULES = (
@@ -52,13 +54,13 @@ HOST_RULES = (
 )
 
 PATTERN_RULES = (
-    PatternRule("bets", "block", r"^[a-z]+://([a-z0-9-]+\.)*(free|best|online)-bets?\.", ("bets",)),
+    PatternRule("bets", "block", r"^[a-z]+://([a-z0-9-]+\.)*(free|best|online)-bets?\.", (("bet", "bets"), ("free", "best", "online"))),
     PatternRule("casino", "block", r"[/.-]casino([/.-]|$)", ("casino",)),
     PatternRule("poker", "block", r"[/.-](online-)?poker([/.-]|$)", ("poker",)),
-    PatternRule("adult", "block", r"^[a-z]+://([a-z0-9-]+\.)*(xxx|porn)([a-z0-9-]*\.)", ("xxx",)),
-    PatternRule("adult_tube", "block", r"[/.-]porn[/.-]tube", ("porn", "tube")),
-    PatternRule("pills", "block", r"cheap-pills", ("cheap", "pills")),
-    PatternRule("replica", "block", r"replica-watch(es)?[./-]", ("replica",)),
+    PatternRule("adult", "block", r"^[a-z]+://([a-z0-9-]+\.)*(xxx|porn)([a-z0-9-]*\.)"),
+    PatternRule("adult_tube", "block", r"[/.-]porn[/.-]tube", ("porn",)),
+    PatternRule("pills", "block", r"cheap-pills"),
+    PatternRule("replica", "block", r"replica-watch(es)?[./-]", (("watch", "watches"),)),
     PatternRule("warez", "block", r"[/.-]warez[/.-]", ("warez",)),
     PatternRule("click_farm", "block", r"[?&]clickid=[0-9a-f]{16,}", ("clickid",)),
     PatternRule("docs_of_farm", "allow", r"://docs\.[a-z0-9.-]+/.*[?&]clickid=", ("docs", "clickid")),
@@ -91,22 +93,22 @@ def url_tokens(url: Column) -> Column:
 
 
 def rule_index(spark: SparkSession, urls: DataFrame, rules: tuple[PatternRule, ...]) -> DataFrame:
-    """(token, position, regex, action) with each rule under its rarest token.
+    """(position, token, regex, action) with each rule that has tokens under its rarest one, or under all alternatives of the rarest.
 
     Token counts come from every distinct url; only tokens that rules name are
     counted, so the counts are no larger than the rules.
     """
-    schema = "position int, regex string, action string, token string"
-    named = spark.createDataFrame([(i, r.regex, r.action, t) for i, r in enumerate(rules) for t in r.tokens], schema)
+    schema = "position int, part int, regex string, action string, token string"
+    parts = [(i, k, r, t) for i, r in enumerate(rules) for k, t in enumerate(r.tokens)]
+    named = spark.createDataFrame([(i, k, r.regex, r.action, t) for i, k, r, part in parts for t in ((part,) if isinstance(part, str) else part)], schema)
     if len(rules) <= BROADCAST_RULES:
         named = F.broadcast(named)
     tokens = urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
     counts = tokens.join(named.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     # no more rows than there are tokens in the rules
-    best = named.join(counts, "token", "left").groupBy("position").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "regex", "action")).alias("r")
-    )
-    return best.select("position", "r.token", "r.regex", "r.action")
+    sums = named.join(counts, "token", "left").groupBy("position", "part", "regex", "action").agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"), F.sort_array(F.collect_set("token")).alias("tokens"))
+    best = sums.groupBy("position").agg(F.min(F.struct("n", "part", "tokens", "regex", "action")).alias("r"))
+    return best.select("position", F.explode("r.tokens").alias("token"), "r.regex", "r.action")
 
 
 def pattern_verdicts(spark: SparkSession, urls: DataFrame, rules: tuple[PatternRule, ...]) -> DataFrame:
@@ -115,7 +117,10 @@ def pattern_verdicts(spark: SparkSession, urls: DataFrame, rules: tuple[PatternR
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
     fetched = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(index, "token")
-    hits = fetched.where(F.expr("translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike regex"))
+    hits = fetched.where(F.expr("translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike regex")).select("url", "action")
+    if always := [r for r in rules if not r.tokens]:
+        action = F.array_min(F.array(*(F.when(ascii_lower(F.col("url")).rlike(r.regex), r.action) for r in always)))
+        hits = hits.unionByName(urls.select("url", action.alias("action")).where(F.col("action").isNotNull()))
     return hits.groupBy("url").agg(F.min("action").alias("action"))
 
 
