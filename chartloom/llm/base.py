@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: A key that has more than 1 / HOT of all rows is hot.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,42 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(i, rows)
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column has, whatever the case of its letters."""
+    used, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``values``, which has one row for each key and its number of rows ``n``.
+
+    ``total`` is the number of ``rows``.  Fewer than HOT keys can have more than
+    ``total`` / HOT of them, so the values of those are broadcast and their rows
+    stay where they are; only the rest is dealt out by key.
+    """
+    many = total // HOT
+    hot = F.broadcast(values.where(F.col(n) > many).drop(n))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(n) <= many).drop(n), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def labelled_texts(documents: DataFrame, sample: DataFrame) -> DataFrame:
+    """(place, label, text): one text, the least, for each id of the ``sample`` (doc_id, label) that has any.
+
+    So repeated rows of an id don't exceed the sample's bound.  ``place`` is a
+    hash of the id: a fit that takes rows in its order doesn't depend on how the
+    documents were partitioned.
+    """
+    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    one = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    return one.select(F.xxhash64("doc_id").alias("place"), "label", "text")
+
+
 def labelled_sample(labels: DataFrame, label: str, limit: int, where: Column | None = None) -> DataFrame:
     """At most ``limit`` rows (doc_id, label), chosen by a hash of the id.
 

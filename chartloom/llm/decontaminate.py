@@ -18,9 +18,10 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.base import ascii_lower, let
+from chartloom.llm.base import ascii_lower, cut, fresh, let
 
 WINDOW = 13
+ADDED = ("n_words", "n_hit", "n_items", "item_ids", "contaminated", "hit_positions")
 #: Some 150 bytes a window: about 8 MB of constants.
 MAX_WINDOWS = 50_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,20 +70,28 @@ def _by_constants(words: Column, rows: list, buckets: int) -> Column:
 
 
 def _by_join(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """(text, words, hits) for the distinct texts, by a shuffled join on the window."""
+    """(key, hits) for the distinct texts (text, key) that have hits, by a shuffled join on the windows' hashes.
+
+    Only hashes and places are shuffled; equal hashes are then verified word by
+    word in the row, as with constants.
+    """
     sizes = [r[0] for r in windows.select(F.size("words")).distinct().collect()]  # at most WINDOW values
-    texts = texts.where(F.col("text").isNotNull()).distinct().withColumn("key", F.sha2("text", 256))
-    split = texts.select("key", "text", words_of(F.col("text")).alias("words"))
-    grams = None
-    for size in sizes:
-        one = split.where(F.size("words") >= size).select(
-            "key", F.lit(size).alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i, s=size: F.slice("words", i, s))).alias("start", "words")
-        )
-        grams = one if grams is None else grams.union(one)
-    if grams is None:
-        return split.select("text", "words", F.array().cast(HIT).alias("hits"))
-    hits = grams.join(windows, "words").groupBy("key").agg(F.collect_list(F.struct((F.col("start") + 1).alias("start"), "size", "items")).alias("hits"))
-    return split.join(hits, "key", "left").select("text", "words", F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
+    split = texts.dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
+
+    def grams_of(size: int) -> Column:
+        """struct(size, start, hash) of each window of ``size`` words."""
+        starts = F.when(F.size("words") >= size, F.sequence(F.lit(1), F.size("words") - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return let(F.col("words"), lambda w: F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), F.xxhash64(F.slice(w, i, size)).alias("hash"))))
+
+    if not sizes:
+        return split.select("key", F.array().cast(HIT).alias("hits")).limit(0)
+    grams = split.select("key", F.explode(F.concat(*map(grams_of, sizes))).alias("g")).select("key", "g.*")
+    hashed = windows.select(F.xxhash64("words").alias("hash"), F.size("words").alias("of"), F.col("words").alias("w"), "items")
+    near = grams.join(hashed, "hash").where(F.col("size") == F.col("of"))
+    found = near.groupBy("key").agg(F.collect_list(F.struct("start", "size", "w", "items")).alias("found"))
+    checked = let(F.struct("words", "found"), lambda x: F.filter(x["found"], lambda f: F.slice(x["words"], f["start"], f["size"]) == f["w"]))
+    hits = F.transform(checked, lambda f: F.struct(f["start"].alias("start"), f["size"].alias("size"), f["items"].alias("items")))
+    return split.join(found, "key").select("key", hits.alias("hits"))
 
 
 def hit_words(hits: Column) -> Column:
@@ -90,33 +99,50 @@ def hit_words(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
 
 
-def match(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Adds n_words, n_hit, n_items, item_ids, contaminated and hit_positions to each row of ``documents``.
-
-    Null and wordless texts have no hits; an empty benchmark hits nothing;
-    repeated rows are judged alike.  ``contaminated``: at least one word in
-    twenty is hit.  A text is read whole, whatever its length.
-    """
+def _judged(documents: DataFrame, benchmark: DataFrame, name: str, window: int, max_windows: int) -> DataFrame:
+    """``documents`` with the struct ``name`` of n_words, n_hit, n_items, item_ids, contaminated and hit_positions."""
     windows = windows_of(benchmark, window)
     n = windows.limit(max_windows + 1).count()
-    own = [c for c in documents.columns if c not in ("n_words", "n_hit", "n_items", "item_ids", "contaminated", "hit_positions")]
-    documents = documents.select(*own)
+    text = F.col("text").cast("string")
     if n <= max_windows:
         buckets = max(16, 2 * n)
         rows = windows.select("words", "items", F.pmod(F.xxhash64("words"), F.lit(buckets)).alias("bucket")).collect()
-        judge = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), _by_constants(w, rows, buckets).alias("hits")))
-        judged = documents.withColumn("_j", judge).select(*own, "_j.n_words", "_j.hits")
+        found = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), _by_constants(w, rows, buckets).alias("hits")))
     else:
-        found = _by_join(documents.select("text"), windows).select(F.col("text").alias("_text"), F.size("words").alias("n_words"), "hits")
-        joined = documents.join(found, F.col("text") == F.col("_text"), "left")
-        judged = joined.select(*own, F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
-    items = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = judged.select(*own, F.col("n_words").cast("long").alias("n_words"), hit_words(F.col("hits")).alias("hit_positions"), items.alias("item_ids"))
-    n_hit = F.size("hit_positions").cast("long")
-    return out.select(
-        *own, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "hit_positions",
-    )
+        key, hits = fresh([*documents.columns, name], "key", "hits")
+        keyed = documents.withColumn(key, F.sha2(text, 256))
+        # stored, so that the join below reads it anew and a text with very many copies can be split
+        matched = cut(_by_join(keyed.where(text.isNotNull()).select(text.alias("text"), F.col(key).alias("key")), windows))
+        documents = keyed.join(matched.select(F.col("key").alias(key), F.col("hits").alias(hits)), key, "left")
+        found = F.struct(F.size(words_of(text)).alias("n"), F.coalesce(F.col(hits), F.array().cast(HIT)).alias("hits"))
+
+    def counted(x: Column) -> Column:
+        items = F.sort_array(F.array_distinct(F.flatten(F.transform(x["hits"], lambda h: h["items"]))))
+        return F.struct(x["n"].cast("long").alias("n_words"), items.alias("item_ids"), hit_words(x["hits"]).alias("hit_positions"))
+
+    def verdict(x: Column) -> Column:
+        n_hit = F.size(x["hit_positions"]).cast("long")
+        return F.struct(
+            x["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.size(x["item_ids"]).cast("long").alias("n_items"), x["item_ids"].alias("item_ids"),
+            ((n_hit > 0) & (20 * n_hit >= x["n_words"])).alias("contaminated"), x["hit_positions"].alias("hit_positions"),
+        )
+
+    return documents.withColumn(name, let(let(found, counted), verdict))
+
+
+def match(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Adds n_words, n_hit, n_items, item_ids, contaminated and hit_positions to each row of ``documents``.
+
+    Null and wordless texts have no hits; an empty benchmark hits nothing and an
+    empty table gives no rows; repeated rows are judged alike.  ``contaminated``:
+    at least one word in twenty is hit.  A text is read whole, whatever its
+    length.  Columns of the input with a name of the result are replaced, all
+    others come back as they are.
+    """
+    own = [c for c in documents.columns if c.lower() not in ADDED]
+    (name,) = fresh(documents.columns, "judged")
+    judged = _judged(documents, benchmark, name, window, max_windows)
+    return judged.select(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{name}`.{c}") for c in ADDED))
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,17 +152,38 @@ def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated")
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, what: str = "documents") -> DataFrame:
-    """The documents without contaminated ones, or (``what="spans"``) all of them without their hit words."""
-    found = match(documents, benchmark)
+def _without(x: Column) -> Column:
+    """The text of words ``w`` between gaps ``g`` without the words at the sorted places ``at`` (from 1); gaps stay."""
+    some = lambda what, a, b: F.slice(x[what], a + 1, b - a)
+    woven = lambda a, b: F.array_join(F.zip_with(some("g", a, b), some("w", a, b), lambda g, w: F.concat(g, w)), "")
+    heads = F.filter(F.sequence(F.lit(0), F.size(x["at"]) - 1), lambda i: (i == 0) | (F.get(x["at"], i) > F.get(x["at"], i - 1) + 1))
+    last = lambda h, j: F.get(x["at"], F.coalesce(F.get(h, j + 1), F.size(x["at"])) - 1)
+    runs = let(heads, lambda h: F.transform(h, lambda i, j: F.struct((F.get(x["at"], i) - 1).alias("start"), last(h, j).alias("end"))))
+
+    def build(r: Column) -> Column:
+        before = lambda j: F.when(j > 0, F.get(r, j - 1)["end"]).otherwise(0)
+        pieces = F.transform(r, lambda s, j: F.concat(woven(before(j), s["start"]), F.array_join(some("g", s["start"], s["end"]), "")))
+        return F.concat(F.array_join(pieces, ""), woven(F.element_at(r, -1)["end"], F.size(x["w"])), F.element_at(x["g"], -1))
+
+    return let(runs, build)
+
+
+def remove(documents: DataFrame, benchmark: DataFrame, what: str = "documents", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The documents without contaminated ones, or (``what="spans"``) all of them without their hit words.
+
+    All columns but the text come back as they are, whatever their names.
+    """
+    (name,) = fresh(documents.columns, "judged")
+    found = _judged(documents, benchmark, name, window, max_windows)
+    own = [F.col(f"`{c}`") for c in documents.columns]
     if what == "documents":
-        return found.where(~F.col("contaminated")).select(*documents.columns)
-    words = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
-    gaps = F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    kept = let(F.struct(words.alias("w"), gaps.alias("g"), F.col("hit_positions").alias("p")), lambda x: F.concat(
-        F.array_join(F.transform(x["w"], lambda w, i: F.concat(x["g"][i], F.when(F.array_contains(x["p"], i + 1), "").otherwise(w))), ""), F.element_at(x["g"], -1)))
-    text = F.when(F.size("hit_positions") > 0, kept).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*documents.columns)
+        return found.where(~F.col(f"`{name}`.contaminated")).select(*own)
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    places = F.col(f"`{name}`.hit_positions")
+    parts = F.struct(F.regexp_extract_all("text", F.lit(word), 0).alias("w"), F.split("text", word, -1).alias("g"), F.array_sort(places).alias("at"))
+    kept = let(parts, _without)
+    text = F.when(F.size(places) > 0, kept).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*own)
 
 
 ORACLE = r"""
