@@ -4,8 +4,9 @@ Generators with high recall propose spans that may overlap: runs of digits and
 separators, codes of letters and digits, and obfuscated addresses.  Boosted
 trees score each from its format and its context (the words before it); a
 threshold calibrated for precision selects.  The trees are trained on
-``labelled_samples``, once a process, and scored as one SQL expression, so a
-scan is built-in functions only and has no shuffle.
+``labelled_samples`` of one half of the sentences and calibrated on the other
+half, once a process, and scored as one SQL expression, so a scan is built-in
+functions only and has no shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import gbdt, spans
-from chartloom.llm.base import let
+from chartloom.llm.base import fresh, let
 
 # Possessive quantifiers and the start condition keep every scan linear: a run of
 # address characters is tried only at its beginning or where a match has ended.
@@ -30,9 +31,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "number", "code", "address")
 #: The generators and the kind that a selected span gets.
 GENERATORS = {
-    "number": r"(?:(?<![0-9A-Za-z.,/-])|\G)[(]?[0-9](?:[\x20./()-]{0,2}[0-9]){5,40}+(?![0-9A-Za-z])",
-    "code": r"(?<![0-9A-Za-z-])[A-Z]{1,3}[0-9]{2}(?:\x20?[0-9A-Z]{2,4}){2,8}+(?![0-9A-Za-z])",
-    "address": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}+){1,4}+",
+    "number": r"(?:(?<![0-9A-Za-z.,/-])|\G)[(]?[0-9](?:[\x20./()-]{0,2}[0-9]){5,}+(?![0-9A-Za-z])",
+    "code": r"(?<![0-9A-Za-z-])[A-Z]{1,3}[0-9]{2}(?:\x20?[0-9A-Z]{2,4}){2,}+(?![0-9A-Za-z])",
+    "address": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,}+)++",
 }
 MAY = {"number": r"[0-9](?:[\x20./()-]{0,2}[0-9]){5}", "code": r"[A-Z][0-9]{2}", "address": r"(?:\(at\)|\[at\]|\x20at\x20)"}
 BEFORE = 32
@@ -44,7 +45,7 @@ CONTEXT = {
     "names_birth": "born birth dob geboren geburtsdatum né née naissance nacido nacimiento",
     "names_order": "order invoice version isbn issn page chapter part item ticket build room line figure table seite rechnung facture pedido",
 }
-FEATURES = ("digits", "letters", "separators", "length", "groups", "dashes", "dots", "slashes", "brackets", "ssn_shape", "date_shape", "iban_shape", "at_shape", *CONTEXT)
+FEATURES = ("digits", "letters", "separators", "length", "groups", "dashes", "dots", "slashes", "brackets", "ssn_shape", "date_shape", "iban_shape", "at_shape", "phone_shape", *CONTEXT)
 #: The share of selected samples that must be right, for the calibrated threshold.
 PRECISION = 0.995
 
@@ -57,6 +58,7 @@ SHAPES = {
     "ssn_shape": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
     "date_shape": r"^(?:[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9])$",
     "iban_shape": r"^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,4})?$",
+    "phone_shape": r"^(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|0[0-9]{1,4}(?:[ /][0-9]{2,8}){1,4})$",
     "at_shape": r"(?:\(at\)|\[at\]).*(?:\(dot\)|\[dot\]|\.)|\bat\b.*\bdot\b",
 }
 COUNTS = {"digits": "[0-9]", "letters": "[A-Za-z]", "separators": r"[\x20./()-]", "dashes": "-", "dots": r"\.", "slashes": "/", "brackets": r"[()\[\]]", "groups": "[0-9A-Za-z]+"}
@@ -69,46 +71,70 @@ def features(found: str, before: str) -> list[float]:
     return [float(value[f]) for f in FEATURES]
 
 
-def labelled_samples(n: int, seed: int) -> tuple[list[tuple[str, str]], list[int]]:
-    """((span, context before it), 1 for personal data), n of them, half of each class."""
+# Sentences around spans that are personal data and around spans that are not, written apart from CONTEXT:
+# most of their words are in no feature.  Every second one trains, the others calibrate.
+PERSONAL = {
+    "phone": ("ring me on {}", "call {} after six", "Sie erreichen uns unter {}", "meine Nummer ist {}", "Tel. {}", "phone: {}", "appelez le {}", "joignable au {}", "mon portable : {}", "llámame al {}",
+              "mi número es {}", "teléfono {}", "contact {}", "mobile {}", "fax {}", "reach her at {}", "text {}", "Rückruf bitte an {}", "dial {}", "WhatsApp {}"),
+    "ssn": ("my social security number is {}", "SSN {}", "ssn: {}", "the applicant, {}, signed", "tax id {}", "employee {} was hired", "taxpayer {}", "she gave {} to the clerk"),
+    "identity": ("passport no. {}", "patient {}", "Ausweis {}", "dni {}", "licence {}", "member {}", "insurance number {}", "national identity {}", "Personalausweis Nr. {}", "mrn {}", "Steuernummer {}", "numéro de sécu {}"),
+    "birth": ("born on {}", "date of birth: {}", "DOB {}", "geboren am {}", "né le {}", "née le {}", "nacido el {}", "Geburtsdatum {}", "birthday {}", "fecha de nacimiento {}"),
+    "iban": ("IBAN {}", "pay to {}", "account {}", "Konto {}", "compte {}", "cuenta {}", "transfer the rent to {}", "überweisen Sie auf {}", "virement sur {}", "bank details {}"),
+    "address": ("write to {}", "mail {}", "contact {} for details", "Anfragen an {}", "écrivez à {}", "escribe a {}", "reach us: {}", "e-mail: {}", "from {}", "say hello to {}"),
+}
+OTHER = {
+    "long": ("order {}", "invoice no. {}", "isbn {}", "tracking {}", "population {}", "id {}", "the sum of {}", "sample {} was kept", "article {}", "Rechnung {}", "facture {}", "pedido {}", "serial {}", "checksum {}"),
+    "date": ("published on {}", "updated {}", "the meeting of {}", "version {}", "am {} eröffnet", "le {} à midi", "el {} en la plaza", "on {} the bridge opened", "released {}", "battle of {}"),
+    "version": ("version {}", "release {}", "build {}", "section {}", "firmware {}", "kernel {}", "v {}", "chapter {}"),
+    "list": ("scores {}", "figures {}", "values {}", "lottery: {}", "rows {}", "Zahlen {}", "chiffres {}", "the series {}"),
+    "code": ("model {}", "part {}", "room {}", "type {}", "flight {}", "item {}", "aircraft {}", "Artikel {}", "référence {}", "catalogue {}"),
+    "words": ("we will {} again", "they {} later", "look {} now", "she works {} today", "staying {} until noon", "laugh {} twice"),
+}
+
+
+def labelled_samples(n: int, seed: int, part: int | None = None) -> tuple[list[tuple[str, str]], list[int]]:
+    """((span, context before it), 1 for personal data), n of them, half of each class.
+
+    ``part`` 0 or 1 takes every second sentence only, None all.
+    """
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choices("0123456789", k=k))
     word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwz", k=rng.randrange(3, 9)))
-    filler = lambda: " ".join(word() for _ in range(rng.randrange(0, 5)))
-    said = lambda name: f"{filler()} {rng.choice(CONTEXT[name].split())}{rng.choice([': ', ' ', ' no. ', ' is '])}"
     date = lambda: rng.choice([f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.{rng.randrange(1930, 2024)}", f"{rng.randrange(1930, 2024)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}", f"{rng.randrange(1, 13)}/{rng.randrange(1, 29)}/{rng.randrange(1930, 2024)}"])
-    phone = lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(4)}", f"0{d(3)}/{d(6)}", f"{d(3)}.{d(3)}.{d(4)}"])
-    iban = lambda: "".join(rng.choices("ABCDEFGHINOPST", k=2)) + d(2) + rng.choice([" ", ""]).join(["", *(d(4) for _ in range(4)), d(2)])
     joins = lambda: rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", ".")])
+    make = {
+        "phone": lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(4)}", f"0{d(3)}/{d(6)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]),
+        "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "identity": lambda: d(rng.randrange(7, 12)),
+        "birth": date,
+        "iban": lambda: "".join(rng.choices("ABCDEFGHINOPST", k=2)) + d(2) + rng.choice([" ", ""]).join(["", *(d(4) for _ in range(4)), d(2)]),
+        "address": lambda: "{0}.{1}{a}{2}{b}com".format(word(), word(), word(), **dict(zip("ab", joins(), strict=True))),
+        "long": lambda: d(rng.randrange(6, 24)),
+        "date": date,
+        "version": lambda: f"{d(2)}.{d(2)}.{d(3)}",
+        "list": lambda: " ".join(d(rng.randrange(1, 5)) for _ in range(rng.randrange(4, 9))),
+        "code": lambda: "".join(rng.choices("ABCDEFGHKLMX", k=rng.randrange(1, 4))) + d(2) + " " + d(2) + rng.choice([" ", ""]) + d(3),
+        "words": lambda: f"{word()} at {word()}.{word()}",
+    }
     rows, classes = [], []
     for i in range(n):
-        kind, plain = rng.randrange(6), filler() + " "
-        if i % 2:
-            a, b = joins()
-            found, before = [
-                lambda: (phone(), said("calls")), lambda: (f"{d(3)}-{d(2)}-{d(4)}", rng.choice([plain, said("names_id")])), lambda: (d(rng.randrange(7, 12)), said("names_id")),
-                lambda: (date(), said("names_birth")), lambda: (iban(), rng.choice([plain, said("names_bank")])), lambda: (f"{word()}.{word()}{a}{word()}{b}com", plain),
-            ][kind]()
-        else:
-            found, before = [
-                lambda: (d(rng.randrange(6, 24)), rng.choice([plain, said("names_order")])), lambda: (date(), rng.choice([plain, said("names_order")])),
-                lambda: (f"{d(2)}.{d(2)}.{d(3)}", rng.choice([plain, said("names_order")])), lambda: (" ".join(d(rng.randrange(1, 5)) for _ in range(rng.randrange(4, 9))), plain),
-                lambda: ("".join(rng.choices("ABCDEFGHKLMX", k=rng.randrange(1, 4))) + d(2) + " " + d(2) + rng.choice([" ", ""]) + d(3), rng.choice([plain, said("names_order")])),
-                lambda: (f"{word()} at {word()}.{word()}", plain),
-            ][kind]()
-        rows.append((found, before[-BEFORE:]))
+        said = PERSONAL if i % 2 else OTHER
+        kind = rng.choice(list(said))
+        filler = " ".join(word() for _ in range(rng.randrange(0, 5)))
+        before = f"{filler} {rng.choice(said[kind][part or 0 :: 1 if part is None else 2])}".split("{}")[0]
+        rows.append((make[kind](), before[-BEFORE:]))
         classes.append(i % 2)
     return rows, classes
 
 
 @lru_cache(2)
 def model(samples: int = 6000, seed: int = 5) -> tuple[gbdt.Trees, float]:
-    """The trees, and the least margin at which the selected part of other samples has PRECISION."""
+    """The trees, and the least margin at which the selected part of samples of other sentences has PRECISION."""
     sets = []
-    for s in (seed, seed + 1):
-        rows, classes = labelled_samples(samples, s)
+    for part in (0, 1):
+        rows, classes = labelled_samples(samples, seed + part, part)
         sets.append((np.array([features(*r) for r in rows]), np.array(classes, float)))
-    sign = np.array([1 if f in ("ssn_shape", "iban_shape", "at_shape", "calls", "names_id", "names_bank", "names_birth") else -1 if f == "names_order" else 0 for f in FEATURES])
+    sign = np.array([1 if f in ("ssn_shape", "iban_shape", "at_shape", "phone_shape", "calls", "names_id", "names_bank", "names_birth") else -1 if f == "names_order" else 0 for f in FEATURES])
     trees = gbdt.train(*sets[0], rounds=24, depth=3, rate=0.3, bins=24, monotone=sign)
     margin, truth = trees.margin(sets[1][0]), sets[1][1]
     order = np.argsort(-margin, kind="stable")
@@ -155,48 +181,63 @@ def _features_sql(found: str, before: str) -> str:
 
 
 def select_spans(text: str, proposals: str) -> Column:
-    """The proposals (columns by name) that the trees accept."""
+    """The proposals (columns by name, ``text`` being its blocks) that the trees accept."""
     trees, threshold = model()
-    before = f"substring({text}, greatest(p.start - {BEFORE}, 0) + 1, least(p.start, {BEFORE}))"
+    n, start, end = spans.BLOCK, f"greatest(p.start - {BEFORE}, 0)", "p.start"
+    first = f"int({start} div {n})"
+    joined = f"array_join(slice({text}, {first} + 1, int(floor(({end} - 1) / {n})) - {first} + 1), '')"
+    before = f"substring({joined}, {start} - {first} * {n} + 1, {end} - {start})"
     described = f"transform({proposals}, p -> transform(array({before}), b -> struct(p.start AS start, p.end AS end, p.found AS found, {_features_sql('p.found', 'b')}))[0])"
     score = trees.sql([f"f.{name}" for name in FEATURES])
     return F.expr(f"transform(filter({described}, f -> {score} >= {threshold!r}D), f -> struct(f.start AS start, f.end AS end, f.found AS found))")
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """Adds n_email, n_ip, n_card, n_phone, base (marked spans) and personal (base and selected spans) to each row.
-
-    Null texts are empty.  Texts are read whole; repeated rows are scanned alike;
-    columns of the input with a name of the result are replaced.  A selected span
-    inside a base span is not added again.
-    """
-    counts = [f"n_{k}" for k in KINDS[:4]]
-    own = [c for c in documents.columns if c not in (*counts, "base", "personal")]
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _scanned(documents: DataFrame, name: str) -> DataFrame:
+    """``documents`` with the struct ``name`` of n_email, n_ip, n_card, n_phone, base and personal, all columns of the input untouched."""
+    (found_name,) = fresh([*documents.columns, name], "found")
 
     def found(t: Column) -> Column:
         proposals = {k: spans.find_if(t.rlike(MAY[k]), t, p) for k, p in GENERATORS.items()}
-        return F.struct(t.alias("t"), *(c.alias(k) for k, c in (base_spans(t) | proposals).items()))
+        blocks = F.when(F.exists(F.array(*(F.size(p) > 0 for p in proposals.values())), lambda x: x), spans.blocks(t)).otherwise(F.array().cast("array<string>"))
+        return F.struct(blocks.alias("t"), *(c.alias(k) for k, c in (base_spans(t) | proposals).items()))
+
+    rows = documents.withColumn(found_name, let(F.coalesce(F.col("text").cast("string"), F.lit("")), found))
+    f = f"`{found_name}`"
+    marks = [spans.mark(F.col(f"{f}.{k}"), k, i) for i, k in enumerate(KINDS[:4])]
+    more = [spans.mark(select_spans(f"{f}.t", f"{f}.{k}"), k, 4 + i) for i, k in enumerate(GENERATORS)]
+    sizes = [F.size(F.col(f"{f}.{k}")).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    both = F.struct(F.array_sort(F.concat(*marks)).alias("base"), F.concat(*more).alias("more"), *sizes)
+    counts = [f"n_{k}" for k in KINDS[:4]]
+    joined = lambda b: F.struct(*(b[c].alias(c) for c in counts), b["base"].alias("base"), F.array_sort(F.concat(b["base"], spans.outside(b["base"], b["more"]))).alias("personal"))
+    return rows.select(*(F.col(f"`{c}`") for c in documents.columns), let(both, joined).alias(name))
+
 
-    rows = documents.select(*own).withColumn("_f", let(text, found))
-    chosen = {k: select_spans("_f.t", f"_f.{k}") for k in GENERATORS}
-    marks = [spans.mark(F.col(f"_f.{k}"), k, i) for i, k in enumerate(KINDS[:4])]
-    more = [spans.mark(chosen[k], k, 4 + i) for i, k in enumerate(GENERATORS)]
-    both = F.struct(F.array_sort(F.concat(*marks)).alias("base"), F.concat(*more).alias("more"))
-    outside = lambda b: F.filter(b["more"], lambda s: ~F.exists(b["base"], lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])))
-    result = let(both, lambda b: F.struct(b["base"].alias("base"), F.array_sort(F.concat(b["base"], outside(b))).alias("personal")))
-    sizes = [F.size(f"_f.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return rows.select(*own, *sizes, result.alias("_r")).select(*own, *counts, "_r.*")
+def scan(documents: DataFrame) -> DataFrame:
+    """Adds n_email, n_ip, n_card, n_phone, base (marked spans) and personal (base and selected spans) to each row.
+
+    Null texts are empty.  Texts are read whole, in time that grows with their
+    length and (n log n) with their spans; repeated rows are scanned alike; an
+    empty table gives none.  Columns of the input with a name of the result are
+    replaced, all others come back as they are.  A selected span that overlaps a
+    base span is not added.
+    """
+    added = [*(f"n_{k}" for k in KINDS[:4]), "base", "personal"]
+    own = [c for c in documents.columns if c.lower() not in added]
+    (name,) = fresh(documents.columns, "scanned")
+    return _scanned(documents, name).select(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{name}`.{c}") for c in added))
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The columns that the contract of op8 fixes."""
+    """The columns that the contract of op8 fixes, and the number of all spans."""
     found = scan(documents.select("doc_id", "text"))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(F.col("personal")).alias("spans"))
+    return found.select(
+        "doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"),
+        spans.listed(F.col("personal")).alias("spans"), F.size("personal").cast("long").alias("n_spans"),
+    )
 
 
 def redact(documents: DataFrame, by: str = "<personal>") -> DataFrame:
-    """The same rows with every found span replaced; null texts stay null."""
-    found = scan(documents)
-    text = F.when(F.size("personal") > 0, spans.replaced(F.col("text"), F.col("personal"), by)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*documents.columns)
+    """The same rows with every found span replaced; null texts stay null and all other columns as they are, whatever their names."""
+    (name,) = fresh(documents.columns, "scanned")
+    text = F.when(F.size(F.col(f"`{name}`.personal")) > 0, spans.replaced(F.col("text"), F.col(f"`{name}`.personal"), by)).otherwise(F.col("text"))
+    return _scanned(documents, name).withColumn("text", text).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import spans
-from chartloom.llm.base import let
+from chartloom.llm.base import fresh, let
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Runs below this length are left to the patterns.
@@ -81,7 +81,8 @@ def markov(samples: int = 4000, seed: int = 11, at_most_wrong: float = 0.0005) -
     """(log-likelihood ratios by [last][next], threshold on their mean).
 
     The threshold is the least at which no more than ``at_most_wrong`` of other
-    ordinary samples pass, and 0 at least.
+    ordinary samples pass, and 0 at least: below it a run is likelier to be an
+    ordinary identifier.
     """
     size = len(ALPHABET)
     where = {c: i for i, c in enumerate(ALPHABET)}
@@ -114,14 +115,11 @@ def _is_random(run: Column) -> Column:
     return let(ids, lambda x: F.aggregate(pairs(x), F.lit(0.0), lambda a, r: a + r) / (F.size(x) - 1) >= threshold)
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """Adds n_assign, n_access, n_hex, base (marked spans) and secrets (base and the models' spans) to each row.
+ADDED = ("n_assign", "n_access", "n_hex", "base", "secrets")
 
-    Null texts are empty.  Texts are read whole; repeated rows are scanned alike;
-    columns of the input with a name of the result are replaced.
-    """
-    own = [c for c in documents.columns if c not in ("n_assign", "n_access", "n_hex", "base", "secrets")]
-    text = F.coalesce(F.col("text"), F.lit(""))
+
+def scanned(text: Column) -> Column:
+    """The struct of n_assign, n_access, n_hex, base and secrets of a text, null being empty."""
 
     def found(t: Column) -> Column:
         assigns = t.contains(":") | t.contains("=")
@@ -132,25 +130,41 @@ def scan(documents: DataFrame) -> DataFrame:
         return F.struct(values.alias("assign"), access.alias("access"), hexes.alias("hex"), runs.alias("random"))
 
     def marks(f: Column) -> Column:
-        base = F.concat(*(spans.mark(f[k], k, i) for i, k in enumerate(KINDS[:3])))
+        base = F.array_sort(F.concat(*(spans.mark(f[k], k, i) for i, k in enumerate(KINDS[:3]))))
         return F.struct(*(F.size(f[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]), base.alias("base"), spans.mark(f["random"], "random", 3).alias("random"))
 
     def joined(m: Column) -> Column:
-        new = F.filter(m["random"], lambda s: ~F.exists(m["base"], lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-        return F.struct(*(m[f"n_{k}"].alias(f"n_{k}") for k in KINDS[:3]), F.array_sort(m["base"]).alias("base"), F.array_sort(F.concat(m["base"], new)).alias("secrets"))
+        both = F.array_sort(F.concat(m["base"], spans.uncovered(m["base"], m["random"])))
+        return F.struct(*(m[f"n_{k}"].alias(f"n_{k}") for k in KINDS[:3]), m["base"].alias("base"), both.alias("secrets"))
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(found(t), lambda f: let(marks(f), joined)))
 
-    scanned = let(text, lambda t: let(found(t), lambda f: let(marks(f), joined)))
-    return documents.select(*own).withColumn("_s", scanned).select(*own, "_s.*")
+
+def scan(documents: DataFrame) -> DataFrame:
+    """Adds n_assign, n_access, n_hex, base (marked spans) and secrets (base and the models' spans) to each row.
+
+    Null texts are empty.  Texts are read whole, in time that grows with their
+    length and (n log n) with their spans; repeated rows are scanned alike; an
+    empty table gives none.  Columns of the input with a name of the result are
+    replaced, all others come back as they are.  A random run inside a base span
+    is not added.
+    """
+    own = [c for c in documents.columns if c.lower() not in ADDED]
+    (name,) = fresh(documents.columns, "scanned")
+    rows = documents.withColumn(name, scanned(F.col("text")))
+    return rows.select(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{name}`.{c}") for c in ADDED))
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The columns that the contract of op10 fixes."""
+    """The columns that the contract of op10 fixes, and the number of all spans."""
     found = scan(documents.select("doc_id", "text"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(F.col("secrets")).alias("spans"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"),
+        spans.listed(F.col("secrets")).alias("spans"), F.size("secrets").cast("long").alias("n_spans"),
+    )
 
 
 def redact(documents: DataFrame, by: str = "<secret>") -> DataFrame:
-    """The same rows with every found secret replaced; null texts stay null."""
-    found = scan(documents)
-    text = F.when(F.size("secrets") > 0, spans.replaced(F.col("text"), F.col("secrets"), by)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*documents.columns)
+    """The same rows with every found secret replaced; null texts stay null and all other columns as they are, whatever their names."""
+    text = let(F.struct(F.col("text").alias("t"), scanned(F.col("text"))["secrets"].alias("s")), lambda x: F.when(F.size(x["s"]) > 0, spans.replaced(x["t"], x["s"], by)).otherwise(x["t"]))
+    return documents.withColumn("text", text).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -35,8 +36,9 @@ def brute(text):
             x = np.array([pii.features(m[0], text[max(0, m.start() - pii.BEFORE) : m.start()])])
             if trees.margin(x)[0] >= threshold and not any(a < m.end() and b > m.start() for _, a, b in base):
                 more.append((k, m.start(), m.end()))
+    added = len(more)
     say = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2])))
-    return (*(sum(s[0] == k for s in base) for k in PYTHON), hashlib.sha256(say(base).encode()).hexdigest(), say(base + more))
+    return (*(sum(s[0] == k for s in base) for k in PYTHON), hashlib.sha256(say(base).encode()).hexdigest(), say(base + more), len(base) + added)
 
 
 def texts():
@@ -60,14 +62,30 @@ def test_spans_are_those_of_brute_force(spark):
 
 
 def test_selected_spans_have_the_calibrated_precision():
+    """Trees of one half of the sentences, judged on samples of the other half that calibration didn't see."""
     trees, threshold = pii.model()
-    rows, classes = pii.labelled_samples(4000, 77)
+    rows, classes = pii.labelled_samples(4000, 77, part=1)
     chosen = trees.margin(np.array([pii.features(*r) for r in rows])) >= threshold
     truth = np.array(classes, bool)
-    assert truth[chosen].mean() > 0.98 and chosen[truth].mean() > 0.8
+    assert truth[chosen].mean() > 0.98 and chosen[truth].mean() > 0.5
 
 
 def test_redaction(spark):
-    documents = spark.createDataFrame([(1, "ü x@y.z and my ssn is 123-45-6789."), (2, None), (3, "clean")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.redact(documents).collect()}
-    assert got == {1: "ü <personal> and my ssn is <personal>.", 2: None, 3: "clean"}
+    names = ("_r", "_f", "n_ip", "base", "scanned", "found", "personal")
+    documents = spark.createDataFrame([(1, "ü x@y.z and my ssn is 123-45-6789.", *names), (2, None, *names), (3, "clean", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = pii.redact(documents)
+    assert got.schema == documents.schema
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "ü <personal> and my ssn is <personal>.", 2: None, 3: "clean"}
+    assert all(tuple(r)[2:] == names for r in got.collect())
+
+
+def test_time_grows_with_the_matches(spark):
+    took = []
+    for n in (3_000, 30_000):
+        documents = spark.createDataFrame([(1, "é call (415) 555-0199 or a@b.co " * n)], "doc_id long, text string").cache()
+        documents.count()
+        began = time.time()
+        row = pii.digest(documents).first()
+        assert row.n_email == n and row.n_spans == 2 * n
+        took.append(time.time() - began)
+    assert took[1] < 20 * took[0] + 5

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from chartloom.llm import secret_scan
 from chartloom.llm.secret_scan import ALPHABET, labelled_samples, markov, mean_ratio
@@ -37,6 +38,7 @@ def test_spans_are_those_of_brute_force(spark):
     documents = spark.createDataFrame(rows, "doc_id long, text string, n_hex int, base string")
     got = secret_scan.digest(documents).collect()
     want = [(r[0], *brute(r[1])) for r in rows]
+    want = [(*w, len(w[-1].split(",")) if w[-1] else 0) for w in want]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert secret_scan.digest(documents.limit(0)).collect() == []
 
@@ -47,6 +49,29 @@ def test_redaction_replaces_whole_runs(spark):
     assert got == {1: "é a <secret> b <secret>", 2: None, 3: "clean text"}
 
 
+def test_columns_of_any_name_stay_and_long_texts_are_cut_whole(spark):
+    names = ("_s", "base", "secrets", "n_hex", "scanned", "found")
+    value = "password=abcdefabcdefabcdef99"
+    many = "".join(f"é{i} {value} " for i in range(12_000))
+    documents = spark.createDataFrame([(1, many, *names), (2, "x", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = secret_scan.redact(documents)
+    assert got.schema == documents.schema
+    rows = {r.doc_id: r for r in got.collect()}
+    assert tuple(rows[1])[2:] == names and rows[1].text == many.replace(value, "<secret>") and rows[2].text == "x"
+    assert [c for c in secret_scan.scan(documents).columns if c in names] == ["_s", "scanned", "found", "n_hex", "base", "secrets"]
+
+
+def test_time_grows_with_the_matches(spark):
+    took = []
+    for n in (5_000, 50_000):
+        documents = spark.createDataFrame([(1, "token=abcdefghijklmnop1 " * n)], "doc_id long, text string").cache()
+        documents.count()
+        began = time.time()
+        assert secret_scan.digest(documents).first().n_assign == n
+        took.append(time.time() - began)
+    assert took[1] < 20 * took[0] + 5
+
+
 def test_the_models_tell_random_from_ordinary():
     ratios, threshold = markov()
     secrets, ordinary = labelled_samples(2000, 99)
