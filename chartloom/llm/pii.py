@@ -139,8 +139,10 @@ def model(samples: int = 6000, seed: int = 5) -> tuple[gbdt.Trees, float]:
     margin, truth = trees.margin(sets[1][0]), sets[1][1]
     order = np.argsort(-margin, kind="stable")
     right = truth[order].cumsum() / np.arange(1, len(order) + 1)
-    last = np.flatnonzero(right >= PRECISION)
-    return trees, max(0.0, round(float(margin[order][last[-1]]), 6)) if len(last) else np.inf
+    # a threshold takes or leaves all samples of one margin
+    whole = np.append(margin[order][1:] < margin[order][:-1], True)
+    last = np.flatnonzero((right >= PRECISION) & whole)
+    return trees, max(0.0, round(float(margin[order][last[-1]]) - 1e-6, 6)) if len(last) else np.inf
 
 
 def luhn(digits: Column) -> Column:

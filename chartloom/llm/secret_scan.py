@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -64,14 +65,16 @@ def labelled_samples(n: int, seed: int) -> tuple[list[str], list[str]]:
     words = [w for w in WORDS if w.isascii()]
 
     def plain() -> str:
-        out, style = "", rng.randrange(6)
+        out, style = "", rng.randrange(8)
         while len(out) < rng.randrange(20, 50):
             w = rng.choice(words)
-            w = w.capitalize() if style == 1 or style == 2 and out else w.upper() if style == 3 else w
-            out += (rng.choice(["_", "-", "/"]) if style in (0, 3, 4) and out else "") + w
+            if style > 5 and rng.random() < 0.7:  # names of constants: abbreviations and numbered parts
+                w = w[: rng.randrange(2, 5)] if rng.random() < 0.5 else w[0] + re.sub("[aeiou]", "", w[1:])[: rng.randrange(1, 4)] + rng.choice(["", "", "", "2", "32"])
+            w = w.capitalize() if style == 1 or style == 2 and out else w.upper() if style in (3, 6) else w
+            out += (rng.choice(["_", "-", "/"]) if style in (0, 3, 4, 6, 7) and out else "") + w
             if rng.random() < 0.08:
                 out += rng.choice(["1", "2", "3", "10", "64", "2024", "v2"])
-        return out[:60] if style < 5 else rng.choice("=-_") * rng.randrange(20, 60)
+        return out[:60] if style != 5 else rng.choice("=-_") * rng.randrange(20, 60)
 
     return secrets, [plain() for _ in range(n)]
 
