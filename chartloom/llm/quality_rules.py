@@ -2,7 +2,7 @@
 
 Statistics are computed text by text in Arrow batches.  The trees are trained on
 the driver from the statistics of at most ``MAX_ROWS`` labelled documents, chosen
-by a hash of their id, and are scored from flat numpy arrays in the same pass
+by a hash of their id and taken in its order, and are scored from flat numpy arrays in the same pass
 that computes the statistics.  More repetition, symbols or repeated lines can
 only lower a document's score (monotonic constraints).
 """
@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import gbdt
-from chartloom.llm.base import labelled_sample, small
+from chartloom.llm.base import labelled_sample, labelled_texts, small
 
 #: Bound of the labelled rows that the trees are trained on.
 MAX_ROWS = 20_000
@@ -83,46 +83,58 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     return [n, word_chars, n_symbols, n_dup, repeats], [float(x) for x in features]
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> gbdt.Trees:
-    """Trees for the chance of ``labels.quality`` = 1; a constant where no labelled document is found."""
-    sample = F.broadcast(labelled_sample(labels, "quality", max_rows))  # max_rows rows of 12 bytes
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, where: Column | None = None) -> gbdt.Trees:
+    """Trees for the chance of ``labels.quality`` = 1; a constant where no labelled document is found.
+
+    ``where`` selects the rows of ``labels`` that may be learnt from.
+    """
+    sample = F.broadcast(labelled_sample(labels, "quality", max_rows, where))  # max_rows rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            rows = [statistics(t)[1] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+            rows = [statistics(t)[1] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["place", "label", "x"])
 
-    found = documents.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
-    rows = found.mapInArrow(run, "label int, x array<double>").toPandas()
-    if not len(rows):
+    found = labelled_texts(documents, sample).mapInArrow(run, "place long, label int, x array<double>").toPandas()
+    if not len(found):
         return gbdt.train(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return gbdt.train(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(np.float64), monotone=np.array(list(FEATURES.values())))
+    x, y = np.stack(found["x"].to_numpy()), found["label"].to_numpy(np.float64)
+    order = np.lexsort((*x.T, y, found["place"].to_numpy()))
+    return gbdt.train(x[order], y[order], monotone=np.array(list(FEATURES.values())))
+
+
+def _verdicts(texts: list[str | None], trees: gbdt.Trees, keep_at: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(base counts, base_failed, score, kept) of each text."""
+    found = [statistics(t) for t in texts]
+    base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
+    failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
+    score = trees.score(np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES)))
+    return base, failed, score, ~failed & (score >= keep_at)
+
+
+def _schema(rows: DataFrame, *added: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *added])
 
 
 def judge(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """Adds the base counts, ``base_failed``, ``quality_score`` and ``kept`` to each row.
 
-    Null and wordless texts fail the base rule.  Repeated rows are judged alike;
-    columns of the input with a name of the result are replaced.
+    Null and wordless texts fail the base rule.  Texts are read whole.  Repeated
+    rows are judged alike, an empty table gives no rows; columns of the input with
+    a name of the result are replaced, all others come back as they are.
     """
     trees = train(documents, labels)
     added = [*(f"{c} long" for c in BASE), "base_failed boolean", "quality_score double", "kept boolean"]
     names = [a.split()[0] for a in added]
-    own = [c for c in documents.columns if c not in names]
+    rows = documents.select(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = [statistics(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
-            x = np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))
-            failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
-            score = trees.score(x)
-            columns = [*batch.columns, *(pa.array(base[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep_at))]
+            base, failed, score, kept = _verdicts(batch.column(batch.schema.get_field_index("text")).to_pylist(), trees, keep_at)
+            columns = [*batch.columns, *(pa.array(base[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
-    rows = documents.select(*own)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *added])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, _schema(rows, *added))
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,5 +142,16 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(documents.select("doc_id", "text"), labels).select("doc_id", *BASE, "base_failed", "kept", "quality_score")
 
 
-def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(documents, labels).where("kept").select(*documents.columns)
+def keep(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows that ``judge`` would keep, with all their columns as they are, whatever their names.
+
+    Null, empty and wordless texts go; of repeated rows all stay or all go; an
+    empty table gives no rows; without labels only the base rule counts.
+    """
+    trees = train(documents, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            yield batch.filter(pa.array(_verdicts(batch.column(batch.schema.get_field_index("text")).to_pylist(), trees, keep_at)[3]))
+
+    return documents.mapInArrow(run, _schema(documents))

@@ -6,7 +6,9 @@ texts are: each task sums its own, then one aggregation adds them.  The log-coun
 ratio scales a bucket's feature, log(1 + occurrences).  The weights come from a
 logistic regression over the ``KEPT`` buckets whose counts differ most surely
 between the classes; other buckets weigh nothing.  The intercept is moved to the
-classes' shares among all labelled rows.
+classes' shares among all labelled rows.  ``KEPT`` bounds features, never rows.
+Rows are taken in the order of a hash of their ids, so the partitioning of the
+documents changes nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import ngrams
-from chartloom.llm.base import labelled_sample, small
+from chartloom.llm.base import labelled_sample, labelled_texts, small
 
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -47,13 +49,13 @@ def _counted(texts: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
-    """(bucket, positive, negative): the documents of each class that have the bucket, over all ``rows`` (label, text)."""
+    """(bucket, positive, negative): the documents of each class that have the bucket, over all ``rows`` (place, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in small(batches):
-            labels = batch.column(0).to_numpy(zero_copy_only=False)
-            for _, text, bucket in buckets_of(batch.column(1).to_pylist()):
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            for _, text, bucket in buckets_of(batch.column(2).to_pylist()):
                 text, bucket, _ = _counted(text, bucket)
                 for c in (0, 1):
                     counts[c] += np.bincount(bucket[labels[text] == c], minlength=BUCKETS)
@@ -67,23 +69,23 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
 
 def sample_features(rows: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position in ``kept``, log(1 + occurrences)) of each feature, and the rows' labels; the caller bounds ``rows``."""
+    """(row, position in ``kept``, log(1 + occurrences)) of each feature, and the rows' labels, in order of ``place``; the caller bounds ``rows``."""
     place = np.full(BUCKETS, -1, np.int64)
     place[kept] = np.arange(len(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             parts = [(np.zeros(0, np.int64),) * 3]
-            for _, text, bucket in buckets_of(batch.column(1).to_pylist()):
+            for _, text, bucket in buckets_of(batch.column(2).to_pylist()):
                 hit = place[bucket] >= 0
                 parts.append(_counted(text[hit], bucket[hit]))
             text, bucket, count = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.argsort(text, kind="stable")
             offsets = pa.array(np.searchsorted(text[order], np.arange(len(batch) + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for x in (place[bucket], count)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["label", "x", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["place", "label", "x", "n"])
 
-    got = rows.mapInArrow(run, "label int, x array<int>, n array<int>").toPandas()
+    got = rows.mapInArrow(run, "place long, label int, x array<int>, n array<int>").toPandas().sort_values(["place", "label"], ignore_index=True)
     row = np.repeat(np.arange(len(got)), [len(x) for x in got["x"]])
     flat = lambda c: np.concatenate([np.zeros(0, np.int64), *got[c]]).astype(np.int64)
     return row, flat("x"), np.log1p(flat("n")), got["label"].to_numpy(np.float64)
@@ -112,7 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, where: Column | None = None,
     usable = F.col("label").isin(0, 1) if where is None else where & F.col("label").isin(0, 1)
     some = [labelled_sample(labels, "toxic", max_rows, usable & (F.col("label") == c)) for c in (0, 1)]
     sample = F.broadcast(some[0].union(some[1]))  # at most 2 * max_rows rows of 12 bytes
-    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
+    rows = labelled_texts(documents, sample)
     shares = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).dropna().where(usable).groupBy("label").count()
     total = {r.label: r["count"] for r in shares.collect()}
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -135,10 +137,16 @@ def train(documents: DataFrame, labels: DataFrame, where: Column | None = None,
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """Adds ``score`` to each row; null and empty texts get the intercept's chance."""
+    """Adds ``score`` to each row; null and empty texts get the intercept's chance.
+
+    Repeated rows are scored alike, an empty table gives no rows.  Texts are read
+    whole, in chunks of about 2**18 characters or one text, so a very long text
+    costs memory in proportion to it.  A column of the input called ``score`` is
+    replaced, all others come back as they are.
+    """
     weights, intercept = model
-    own = [c for c in documents.columns if c != "score"]
-    rows = documents.select(*own)
+    own = [c for c in documents.columns if c.lower() != "score"]
+    rows = documents.select(*(F.col(f"`{c}`") for c in own))
     table = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,13 +18,50 @@ def sample(n=300, seed=5):
     return rows
 
 
+def forward(text, vectors, output, bias):
+    """A document's chance of class 1, feature by feature through the unfolded network."""
+    hidden, n = np.zeros(quality_classifier.WIDTH), 0
+    for _, points, starts in ngrams.chunks([text]):
+        for _, bucket in quality_classifier.features(points, starts):
+            for b in bucket.tolist():
+                hidden, n = hidden + vectors[b], n + 1
+    z = output.astype(float) @ (hidden / max(n, 1)) + bias
+    e = np.exp(z - z.max())
+    return e[1] / e.sum()
+
+
 def test_folded_scores_are_those_of_the_network(spark):
-    rng = np.random.default_rng(0)
-    rows = [(np.sort(rng.choice(5000, 30, replace=False)), np.full(30, 1 / 30, np.float32)) for _ in range(60)]
-    y = np.array([int(r[0].mean() > 2500) for r in rows])
-    weights, intercept = quality_classifier.fit(rows, y, epochs=30)
-    z = np.array([intercept + weights[i] @ s for i, s in rows])
-    assert ((z > 0) == y).mean() > 0.9
+    """The whole query against plain loops: sample, order, training and the network's own forward pass."""
+    rows = sample(120) + [(500, None, "k", 0), (501, "", "k", 1), (502, "x " * 3000, "k", 1)]
+    documents = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.digest(documents, labels).collect()}
+    places = {r.doc_id: r.place for r in documents.selectExpr("doc_id", "xxhash64(doc_id) AS place").collect()}
+    learnt = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0), key=lambda r: places[r[0]])
+    seen = []
+    for r in learnt:
+        counts = {}
+        for _, points, starts in ngrams.chunks([r[1]]):
+            for _, bucket in quality_classifier.features(points, starts):
+                for b in bucket.tolist():
+                    counts[b] = counts.get(b, 0) + 1
+        ids = sorted(counts)
+        seen.append((np.array(ids, np.int64), np.array([counts[i] for i in ids], np.float32) / max(1, sum(counts.values()))))
+    net = quality_classifier.network(seen, np.array([r[3] for r in learnt]))
+    for r in rows:
+        assert abs(got[r[0]] - forward(r[1], *net)) < 1e-4
+
+
+def test_partitions_and_repeated_rows_change_nothing(spark):
+    rows = sample(150)
+    documents = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    got = [{r.doc_id: r.score for r in quality_classifier.digest(d, labels).collect()} for d in (documents.coalesce(1), documents.repartition(7), documents.union(documents))]
+    assert got[0] == got[1] == got[2]
+    many = documents.union(documents).union(documents)
+    from chartloom.llm.base import labelled_sample, labelled_texts
+
+    assert labelled_texts(many, labelled_sample(labels, "quality", 20)).count() == 20
 
 
 def test_features_are_whole_words_pairs_and_grams():
