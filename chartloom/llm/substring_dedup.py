@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import suffix_array
-from chartloom.llm.base import Scratch, small
+from chartloom.llm.base import HOT, Scratch, small
 from chartloom.llm.ngrams import INVERSE, MULTIPLIER, _powers
 
 LENGTH = 200
@@ -248,26 +248,36 @@ def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFr
     the number of starts that follow.
     """
     rows, spark = _rows(documents), documents.sparkSession
-    first, second, third, last = (Scratch(spark) for _ in range(4))
-    every = occurrences(rows, length)
-    often = every.groupBy("anchor").count().where("count > 1").select("anchor")
-    seen = first.store(every.join(often, "anchor"))
-    kinds = second.store(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
-    first.drop()
-    mixed = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = kinds.join(mixed, "anchor").select("anchor", "context", "one.*")
+    second, third, last = (Scratch(spark) for _ in range(3))
+    # of each context its number and one place; the three first values are of one row
+    found = [F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at"))]
+    kinds = occurrences(rows, length).groupBy("anchor", "context").agg(*found)
+    mixed = third.store(kinds.groupBy("anchor").count().where("count > 1").select("anchor"))
+    marked = kinds.join(mixed.withColumn("mixed", F.lit(True)), "anchor", "left").where("mixed OR n > 1")
+    kinds = second.store(marked)
+    wanted = kinds.where("mixed").select("anchor", "context", "k1", "k2", "at")
     texts, single = split_hot(third.store(_texts_of(rows, wanted, length)), length, most, third)
     windows = second.store(repeated_windows(texts, length).union(single))
     third.drop()
     # a run of windows is packed as its first start << 16 | how many follow
     packed = lambda start, more: F.shiftleft(start.cast("long"), 16).bitwiseOR(more.cast("long"))
     runs = windows.groupBy("anchor", "context").agg(F.collect_set(packed(F.col("lo"), F.col("hi") - F.col("lo"))).alias("runs"))
-    whole = F.array(F.shiftright("one.at", 12).bitwiseAND(F.lit(0xFFF)))
-    verdicts = kinds.join(runs, ["anchor", "context"], "left").select("anchor", "context", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    whole = F.array(F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)))
+    verdicts = kinds.join(runs, ["anchor", "context"], "left").select("anchor", "context", "n", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    verdicts = second.store(verdicts.where("runs IS NOT NULL"))
     # the occurrences are made once more: cheaper than to keep them all this time
-    hits = occurrences(rows, length).join(verdicts.where("runs IS NOT NULL"), ["anchor", "context"])
+    again = occurrences(rows, length)
+    # fewer than HOT contexts can have more than one in HOT of those that repeat: their verdicts (one run each) are broadcast
+    many = (verdicts.agg(F.sum("n")).first()[0] or 0) // HOT
+    often = F.broadcast(verdicts.where((F.col("n") > many) & (F.col("n") > 1)).drop("n"))
+    rarely = verdicts.where((F.col("n") <= many) | (F.col("n") == 1)).drop("n")
+    keys = ["anchor", "context"]
+    known = again.join(often.withColumnRenamed("runs", "known"), keys, "left")
+    # what is known already is dealt out evenly, it has no match there
+    dealt = known.withColumn("anchor", F.when(F.col("known").isNotNull(), F.xxhash64("k1", "k2", "at")).otherwise(F.col("anchor")))
+    hits = dealt.join(rarely, keys, "left").withColumn("runs", F.coalesce("known", "runs")).where("runs IS NOT NULL")
     moved = hits.select("k1", "k2", F.explode("runs").alias("run"), "at").select("k1", "k2", (F.col("run") + F.shiftleft(F.shiftright("at", 24), 16)).alias("run"))
-    by_row = last.store(moved.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")))
+    by_row = last.store(moved.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")))
     second.drop()
     ids = F.when(F.col("k1") != NO_ID, F.col("k1"))
     return _packed(rows).join(by_row, ["k1", "k2"], "left").select(ids.cast(documents.schema["doc_id"].dataType).alias("doc_id"), "packed", "runs")
@@ -294,7 +304,9 @@ def remove(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
 
     Null texts are empty; texts shorter than ``length`` bytes lose nothing; of
     repeated rows and equal texts every one loses all.  ``kept`` is the bytes that
-    remain, which need not be valid UTF-8.  An empty table gives no rows.
+    remain, which need not be valid UTF-8.  An empty table gives no rows.  Texts
+    are read whole, in overlapping pieces of PIECE bytes.  Other columns of the
+    input are not read, so their names don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

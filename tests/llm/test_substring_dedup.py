@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from chartloom.llm import substring_dedup, suffix_array
 
@@ -83,7 +84,22 @@ def test_long_texts_are_cut_into_overlapping_pieces(monkeypatch):
     assert sorted(windows) == [(t, i) for t in (0, 1) for i in range(801)]
 
 
-def test_rows_are_those_of_brute_force(spark):
+def test_a_text_of_several_pieces_loses_what_repeats(spark):
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé ", k=n))
+    passage = letters(700)
+    whole = letters(substring_dedup.PIECE - 900) + passage + letters(200_000) + passage + letters(substring_dedup.PIECE)
+    rows = [(1, whole, "a", "b"), (2, letters(5000), "a", "b"), (3, "#" + passage[100:400], "a", "b")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, anchor string, context string")
+    got = {r.doc_id: r for r in substring_dedup.remove(documents).collect()}
+    n = len(passage.encode())
+    assert got[1].n_removed == 2 * n and got[1].n_spans == 2 and bytes(got[1].kept).decode() == whole.replace(passage, "")
+    assert got[2].n_removed == 0 and bytes(got[3].kept) == b"#" and got[3].n_spans == 1
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_rows_are_those_of_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     texts = corpus()
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     rows += [rows[25], (None, texts[40], "x"), (None, "unique text", "x")]
