@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import covering, similar
-from chartloom.llm.base import cut, small
+from chartloom.llm.base import cut, fresh, join_hot, small
 from chartloom.llm.components import components
 
 SEED = 42
 THRESHOLD = 2
-#: A fingerprint that has more than 1 / HOT of all rows is hot.
-HOT = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -78,8 +76,10 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 rows, anchors = covering.anchors_within(part.view(np.uint64), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(part[rows])], ["anchor", "v"])
 
-    homes = nodes.select("fp").mapInArrow(own, "anchor long, u long")
-    visitors = nodes.select("fp").mapInArrow(replicas, "anchor long, v long")
+    # a checkpoint of few rows has few partitions, and each row becomes some 60: they are dealt out again
+    dealt = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    homes = dealt.mapInArrow(own, "anchor long, u long")
+    visitors = dealt.mapInArrow(replicas, "anchor long, v long")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold)
     return homes.join(visitors, "anchor").where(near).select("u", "v")
 
@@ -105,11 +105,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, similar_sh
     joined = linked.join(roots, "root").select("fp", "root", "component_id", F.lit(True).alias("linked"))
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
     named = nodes.join(joined, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
-    # fewer than HOT fingerprints can have more than one row in HOT, so they can be broadcast and are never dealt by key
-    many = rows.count() // HOT
-    hot = F.broadcast(named.where(F.col("n") > many).drop("n"))
-    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(named.where(F.col("n") <= many).drop("n"), "fp")
-    return rows.join(hot, "fp").unionByName(rest)
+    return join_hot(rows, named, "fp", "n", rows.count())
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -119,10 +115,16 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, similar_shingle: int | None = None) -> DataFrame:
-    """One row of each component: that of the least doc_id (a null one comes last), and of those the least text hash."""
+    """One row of each component: that of the least doc_id (a null one comes last), and of those the least text hash.
+
+    Null, empty and wordless texts are one component.  Of repeated rows one stays;
+    an empty table gives none.  Texts are read whole.  All columns come back as
+    they are, whatever their names.
+    """
     no_id = F.lit(-(1 << 63))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     winners = near_duplicates(documents, similar_shingle=similar_shingle).groupBy("root").agg(first)
-    winners = winners.select(F.coalesce("first.doc_id", no_id).alias("_id"), F.col("first.text_hash").alias("_hash"))
-    keyed = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), no_id), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(winners, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*documents.columns)
+    own, text = fresh(documents.columns, "id", "hash")
+    winners = winners.select(F.coalesce("first.doc_id", no_id).alias(own), F.col("first.text_hash").alias(text))
+    keyed = documents.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), no_id), text: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(winners, [own, text], "left_semi").dropDuplicates([own, text]).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from chartloom.llm import components, covering, simhash
+from chartloom.llm import base, components, covering, simhash
 
 
 def brute_fingerprint(text):
@@ -52,9 +52,11 @@ def test_fingerprint_is_that_of_brute_force():
         assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-def test_components_of_a_random_graph(spark):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components_of_a_random_graph(spark, monkeypatch, hot):
+    monkeypatch.setattr(base, "HOT", hot)
     rng = random.Random(5)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)] + [(1000, 1001 + i) for i in range(300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     root = {}
     for u, v in edges:
@@ -72,17 +74,17 @@ def test_components_of_a_random_graph(spark):
 
 @pytest.mark.parametrize("hot", [1000, 4])
 def test_groups_are_those_of_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(base, "HOT", hot)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(200)]
     rows = []
-    for base in range(12):
+    for group in range(12):
         words = [rng.choice(vocabulary) for _ in range(220)]
         for _ in range(6):
             copy = list(words)
             for _ in range(rng.randrange(3)):
                 copy[rng.randrange(len(copy))] = "changed"
-            rows.append((len(rows), " ".join(copy), f"s{base}"))
+            rows.append((len(rows), " ".join(copy), f"s{group}"))
     rows += [(len(rows) + i, t, "s") for i, t in enumerate([None, "", "one", "one", "ONE"])]
     rows.append(rows[0])
     documents = spark.createDataFrame(rows, "doc_id long, text string, fp string")
@@ -90,8 +92,9 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, hot):
     fps = {r[0]: brute_fingerprint(r[1]) for r in rows}
     want = brute_components(fps)
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((r[0], f"{fps[r[0]]:016x}", want[r[0]]) for r in rows)
-    kept = simhash.keep_first(documents)
-    assert kept.columns == documents.columns
+    named = documents.selectExpr("*", "fp AS id", "fp AS hash", "fp AS _id", "fp AS root")
+    kept = simhash.keep_first(named)
+    assert kept.schema == named.schema and all(r.id == r.hash == r._id == r.root == r.fp for r in kept.collect())
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
