@@ -1,7 +1,8 @@
+import os
 import random
 
 import corpus_pipeline
-from chartloom.llm import secret_scan, sentencepiece_sampling
+from chartloom.llm import sentencepiece_sampling
 from tests.llm.test_quality_rules import brute as counts
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -45,6 +46,33 @@ def test_stages_do_what_brute_force_does(spark, tmp_path):
         assert t == rows[i][1].replace("password=abcdef0123456789abcdef", "<secret>")
     decoded = sentencepiece_sampling.decode(seen["sentencepiece"]).collect()
     assert {r.doc_id for r in decoded} == set(left) and all(r.text == texts[r.doc_id] for r in decoded)
-    assert secret_scan.KINDS
     run = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, run.collect())) == sorted(map(str, seen["sentencepiece"].collect()))
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    left = {p for p in os.listdir(shared) if p.startswith("chartloom-")}
+    run = corpus_pipeline.run(spark, folder)
+    assert len({p for p in os.listdir(shared) if p.startswith("chartloom-")} - left) == 1  # the result's own table
+
+
+def test_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = write(spark, folder)
+    names = ("_s", "_f", "_r", "_j", "base", "kept", "_id", "_hash", "contaminated", "n_words", "n_ip", "root", "fp", "h", "place", "label", "judged", "scanned")
+    wide = [(*r, *(f"{n}{r[0]}" for n in names)) for r in rows]
+    wide += [wide[0], wide[0], (None, rows[3][1] + " and more", None, None, None, *(None for _ in names))]
+    documents = spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.schema == documents.schema, name
+        docs.write.parquet(f"{folder}/wide-{name}")
+        docs = spark.read.schema(documents.schema).parquet(f"{folder}/wide-{name}")
+    got = {r.doc_id: r for r in docs.collect()}
+    assert docs.count() == len(got) and 0 in got and all(r[n] == f"{n}{i}" for i, r in got.items() if i is not None for n in names)
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+    assert {i for i in got if i is not None} == plain
+    empty = documents.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, folder)
+        assert empty.collect() == [], name
+        empty = empty.limit(0) if name == "sentencepiece" else documents.limit(0)
