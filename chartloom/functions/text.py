@@ -31,6 +31,9 @@ FREQUENCIES = (
     ("q8h", r"(?i)每8小时|\bq8h\b"), ("bid", r"(?i)每日两次|每日2次|一日两次|一日2次|每天两次|\bbid\b"), ("tid", r"(?i)每日三次|一日三次|每天三次|\btid\b"),
     ("qid", r"(?i)每日四次|一日四次|每天四次|\bqid\b"), ("qd", r"(?i)每日一次|一日一次|每天一次|每日1次|\bqd\b"), ("prn", r"(?i)必要时|按需|\bprn\b"),
 )
+# full-width forms and what they stand for
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
+NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 MIME_TYPES = {"pdf": "application/pdf", "txt": "text/plain", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "heic": "image/heic", "dcm": "application/dicom", "tif": "image/tiff", "tiff": "image/tiff"}
 
 
@@ -131,16 +134,14 @@ def dose_unit(unit: Column) -> Column:
 
 def normal_term(term: Column) -> Column:
     """Half-width, without white space, lower-cased: what terms are compared by."""
-    wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-    narrow = "".join(map(chr, range(0x21, 0x7F))) + " "
-    return F.lower(F.regexp_replace(F.translate(term, wide, narrow), r"(?U)\s", ""))
+    return F.lower(F.regexp_replace(F.translate(term, WIDE, NARROW), r"(?U)\s", ""))
 
 
 def normal_unit(unit: Column) -> Column:
-    """Spellings of a unit folded together; the case of letters is kept."""
-    folded = F.translate(F.regexp_replace(unit, r"(?U)\s", ""), "µμ×^²³", "uux*23")
-    folded = F.regexp_replace(folded, "10E", "10*")
-    return F.regexp_replace(folded, "^x", "")
+    """Spellings of a unit folded together; the case of letters is kept, as it tells milli from mega."""
+    narrow = F.regexp_replace(F.translate(unit, WIDE, NARROW), r"(?U)\s", "")
+    folded = F.regexp_replace(F.translate(narrow, "µμ×✕^²³", "uuxx*23"), "10[Ee]", "10*")
+    return F.regexp_replace(folded, "^[xX]", "")
 
 
 def plain_number(value: Column) -> Column:

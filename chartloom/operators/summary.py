@@ -36,7 +36,7 @@ def observations(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame)
     labs = terms.resolve(labs, index, "row", "raw_name", conversions, "unit").where("has_evidence OR key IS NOT NULL")
     labs = terms.convert(labs, conversions, "value", "unit").join(names, "key", "left").join(about, "doc")
     meds = L.medication_rows(lines.where(whole("prescription") | (F.col("section") == "meds")), "doc").withColumn("row", row_id)
-    meds = terms.resolve(meds, terms.alias_index(dictionary.where("category = 'drug'")), "row", "raw_name").where("has_evidence OR key IS NOT NULL")
+    meds = terms.resolve(meds, index, "row", "raw_name", drugs_only=True).where("has_evidence OR key IS NOT NULL")
     return labs, meds.join(names, "key", "left").join(about, "doc")
 
 

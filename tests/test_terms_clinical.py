@@ -16,7 +16,44 @@ def test_resolution_prefers_units_then_confidence_then_length(spark):
     rows = [(1, "血糖(GLU)", "mmol/L"), (2, "血塘", None), (3, "盐酸二甲双胍", None), (4, "二甲双胍缓释片0.5g", None), (5, "葡萄糖", "mg"), (6, "unknown", None), (7, "糖化血红蛋白 血糖", "mmol/L")]
     accepted = spark.createDataFrame([("glucose", "mmol/L")], "key string, unit_norm string")
     got = {r.i: (r.key, r.confidence) for r in terms.resolve(spark.createDataFrame(rows, "i int, t string, u string"), index, "i", "t", accepted, "u").collect()}
-    assert got == {1: ("glucose", 1.0), 2: ("glucose", 0.5), 3: (None, None), 4: ("metformin", 0.8), 5: ("glucose_urine", 1.0), 6: (None, None), 7: ("glucose", 1.0)}
+    assert got == {1: ("glucose", 1.0), 2: ("glucose", 0.5), 3: ("metformin", 0.8), 4: ("metformin", 0.8), 5: ("glucose_urine", 1.0), 6: (None, None), 7: ("glucose", 1.0)}
+
+
+def test_candidates_of_brackets_and_slashes(spark):
+    names = ["AST/ALT 复查", "检验【尿蛋白】", "检验(尿蛋白", "肌酐 Cr(Scr)", "甲泼尼龙片(美卓乐)4mg", "外（内（里）外内）", "醋酸泼尼松片5mg", "5mg", "青霉素80万单位", "片g"]
+    got = {r.n: r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", terms.candidates(F.col("n")).alias("c")).collect()}
+    assert got == {
+        "AST/ALT 复查": ["AST/ALT 复查", "AST/ALT", "复查"], "检验【尿蛋白】": ["检验【尿蛋白】", "检验", "尿蛋白"], "检验(尿蛋白": ["检验(尿蛋白", "检验", "尿蛋白"],
+        "肌酐 Cr(Scr)": ["肌酐 Cr(Scr)", "肌酐 Cr", "肌酐", "Cr(Scr)", "Cr", "Scr"], "甲泼尼龙片(美卓乐)4mg": ["甲泼尼龙片(美卓乐)4mg", "甲泼尼龙片4mg", "美卓乐", "甲泼尼龙片(美卓乐)", "甲泼尼龙片"],
+        "外（内（里）外内）": ["外（内（里）外内）", "外", "内里外内"], "醋酸泼尼松片5mg": ["醋酸泼尼松片5mg", "醋酸泼尼松片"], "5mg": ["5mg"], "青霉素80万单位": ["青霉素80万单位", "青霉素"], "片g": ["片g"],
+    }
+
+
+def test_stems_lose_form_carrier_and_salt(spark):
+    names = ["盐酸二甲双胍片", "阿托伐他汀钙片", "注射用泮托拉唑钠", "10%氯化钾注射液", "左氧氟沙星氯化钠注射液", "琥珀酸亚铁片", "碳酸氢钠", "甲泼尼龙琥珀酸钠"]
+    got = {r.n: r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", terms.drug_stems(F.col("n")).alias("c")).collect()}
+    assert got == {
+        "盐酸二甲双胍片": ["盐酸二甲双胍", "二甲双胍"], "阿托伐他汀钙片": ["阿托伐他汀钙", "阿托伐他汀"], "注射用泮托拉唑钠": ["泮托拉唑钠", "泮托拉唑", "泮托拉唑钠", "泮托拉唑"],
+        "10%氯化钾注射液": ["氯化钾注射液", "氯化钾", "氯化"], "左氧氟沙星氯化钠注射液": ["左氧氟沙星氯化钠", "左氧氟沙星氯化", "左氧氟沙星"], "琥珀酸亚铁片": ["琥珀酸亚铁", "亚铁"],
+        "碳酸氢钠": ["碳酸氢", "碳酸氢"], "甲泼尼龙琥珀酸钠": ["甲泼尼龙", "甲泼尼龙"],
+    }
+
+
+def test_a_confusion_comes_before_a_stem_and_drugs_have_a_space_of_their_own(spark):
+    entries = [("a", "lab", [], ["药片"]), ("b", "drug", ["药物", "叶酸", "药x"], []), ("c", "lab", ["叶酸"], []), ("d", "drug", ["药"], [])]
+    index = terms.alias_index(spark.createDataFrame(entries, "key string, category string, aliases array<string>, confusions array<string>"))
+    rows = spark.createDataFrame([(1, "药物片"), (2, "叶酸"), (3, "叶酸片"), (4, "药片")], "i int, t string")
+    got = {r.i: (r.key, r.confidence) for r in terms.resolve(rows, index, "i", "t").collect()}
+    assert got == {1: ("b", 0.8), 2: ("c", 1.0), 3: ("b", 0.8), 4: ("a", 0.5)}
+    assert {r.i: r.key for r in terms.resolve(rows, index, "i", "t", drugs_only=True).collect()} == {1: "b", 2: "b", 3: "b", 4: None}
+
+
+def test_coverage_and_enumeration(spark):
+    rows = spark.createDataFrame([("lab", "x", 1.0, True, "X"), ("lab", "y", 0.8, False, "Y"), ("lab", None, None, None, "Z"), ("drug", None, None, None, "Q")], "g string, key string, confidence double, ok boolean, name string")
+    got = {r.g: tuple(r)[1:] for r in terms.coverage(rows, "g", "key", "confidence", "ok", "name").collect()}
+    assert got == {"lab": (3, 2, 1, 66.667, 1, ["Z"]), "drug": (1, 0, 0, 0.0, 0, ["Q"])}
+    dictionary = spark.createDataFrame([("k", "lab", "K"), ("k", "lab", "K"), ("m", "drug", "M")], "key string, category string, name string")
+    assert sorted(map(tuple, terms.entries(dictionary).collect())) == [("k", "lab", "K"), ("m", "drug", "M")] and terms.entries(dictionary, "drug").count() == 1
 
 
 def test_unit_conversion(spark):
