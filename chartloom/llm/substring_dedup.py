@@ -7,8 +7,11 @@ two equal strings of ``length`` bytes are sure to meet in one task without that:
    32-byte grams (the leftmost on ties), so equal windows select equal grams.
    Consecutive windows with one anchor form a *context*, about 280 bytes of text.
    Anchors that occur once in the corpus cannot lie in a repeated window.
-2. *Contexts.*  Equal contexts of an anchor are counted as one.  A context that
-   occurs twice repeats in full; an anchor with one context needs no more.
+2. *Contexts.*  Of each anchor the number of occurrences and the least and
+   greatest hash of its contexts are aggregated where texts are read.  An anchor
+   with a single context that occurs twice or more repeats in full; only anchors
+   with several contexts need more, and their equal contexts are counted as one.
+   Rows of anchors with very many occurrences are never dealt out by anchor.
 3. *Suffix order.*  The distinct contexts of the other anchors are dealt out by
    anchor and ordered by ``suffix_array`` (sorted sampled triples, recursion on
    names, merging); neighbours are compared over ``length`` bytes.
@@ -41,6 +44,8 @@ LENGTH = 200
 GRAM = 32
 #: Distinct contexts of a bucket that are ordered together; some 300 bytes each.
 MOST = 3000
+#: Buckets to be split that are broadcast, 8 bytes each.
+MOST_HOT = 1_000_000
 #: Bytes hashed at a time; a longer text is cut into pieces that overlap by length - 1.
 PIECE = 1 << 20
 NO_ID = -(1 << 63)
@@ -173,10 +178,12 @@ def split_hot(texts: DataFrame, length: int, most: int, scratch: Scratch) -> tup
     """(rows of buckets of at most ``most``, repeated single windows as (anchor, context, lo, hi))."""
     done = []
     while True:
-        hot = texts.groupBy("bucket").count().where(F.col("count") > most).select("bucket")
-        if hot.isEmpty():
+        hot = scratch.store(texts.groupBy("bucket").count().where(F.col("count") > most).select("bucket"))
+        n = hot.count()
+        if not n:
             break
-        # hot buckets are few (rows / most) but unbounded: a plain join, split by AQE where skewed
+        # broadcast up to a checked size; beyond it a plain join of two tables, split where skewed
+        hot = F.broadcast(hot) if n <= MOST_HOT else hot
         marked = texts.join(hot.withColumn("hot", F.lit(True)), "bucket", "left")
         calm = marked.where(F.col("hot").isNull()).drop("hot")
         half = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
@@ -241,6 +248,22 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, context long, lo int, hi int")
 
 
+def _matched(found: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of occurrences with ``values``, which has one row for each of its keys and their number of occurrences ``n``.
+
+    Fewer than HOT keys can have more than one in HOT of the occurrences that
+    match: those are broadcast, and what they match is dealt out evenly.
+    """
+    many = (values.agg(F.sum("n")).first()[0] or 0) // HOT
+    packed = F.struct(*(c for c in values.columns if c not in (*keys, "n")), F.lit(True).alias("hit"))
+    hot = F.broadcast(values.where(F.col("n") > many).select(*keys, packed.alias("hot")))
+    cold = values.where(F.col("n") <= many).select(F.col(keys[0]).alias("key"), *keys[1:], packed.alias("cold"))
+    known = found.join(hot, keys, "left")
+    dealt = known.withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64("k1", "k2", "at")).otherwise(F.col(keys[0])))
+    joined = dealt.join(cold, ["key", *keys[1:]], "left").withColumn("value", F.coalesce("hot", "cold")).where("value IS NOT NULL")
+    return joined.select(*found.columns, "value.*").drop("hit")
+
+
 def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(doc_id, packed, runs) for each row: the windows, by their start in bytes, that also begin anywhere else.
 
@@ -249,34 +272,26 @@ def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFr
     """
     rows, spark = _rows(documents), documents.sparkSession
     second, third, last = (Scratch(spark) for _ in range(3))
+    stats = occurrences(rows, length).groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+    anchors = second.store(stats.where("n > 1"))
     # of each context its number and one place; the three first values are of one row
     found = [F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at"))]
-    kinds = occurrences(rows, length).groupBy("anchor", "context").agg(*found)
-    mixed = third.store(kinds.groupBy("anchor").count().where("count > 1").select("anchor"))
-    marked = kinds.join(mixed.withColumn("mixed", F.lit(True)), "anchor", "left").where("mixed OR n > 1")
-    kinds = second.store(marked)
-    wanted = kinds.where("mixed").select("anchor", "context", "k1", "k2", "at")
-    texts, single = split_hot(third.store(_texts_of(rows, wanted, length)), length, most, third)
+    kinds = second.store(_matched(occurrences(rows, length), anchors.where("a <> b").select("anchor", "n"), ["anchor"]).groupBy("anchor", "context").agg(*found))
+    texts, single = split_hot(third.store(_texts_of(rows, kinds.drop("n"), length)), length, most, third)
     windows = second.store(repeated_windows(texts, length).union(single))
     third.drop()
     # a run of windows is packed as its first start << 16 | how many follow
     packed = lambda start, more: F.shiftleft(start.cast("long"), 16).bitwiseOR(more.cast("long"))
     runs = windows.groupBy("anchor", "context").agg(F.collect_set(packed(F.col("lo"), F.col("hi") - F.col("lo"))).alias("runs"))
-    whole = F.array(F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)))
-    verdicts = kinds.join(runs, ["anchor", "context"], "left").select("anchor", "context", "n", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
-    verdicts = second.store(verdicts.where("runs IS NOT NULL"))
-    # the occurrences are made once more: cheaper than to keep them all this time
-    again = occurrences(rows, length)
-    # fewer than HOT contexts can have more than one in HOT of those that repeat: their verdicts (one run each) are broadcast
-    many = (verdicts.agg(F.sum("n")).first()[0] or 0) // HOT
-    often = F.broadcast(verdicts.where((F.col("n") > many) & (F.col("n") > 1)).drop("n"))
-    rarely = verdicts.where((F.col("n") <= many) | (F.col("n") == 1)).drop("n")
-    keys = ["anchor", "context"]
-    known = again.join(often.withColumnRenamed("runs", "known"), keys, "left")
-    # what is known already is dealt out evenly, it has no match there
-    dealt = known.withColumn("anchor", F.when(F.col("known").isNotNull(), F.xxhash64("k1", "k2", "at")).otherwise(F.col("anchor")))
-    hits = dealt.join(rarely, keys, "left").withColumn("runs", F.coalesce("known", "runs")).where("runs IS NOT NULL")
-    moved = hits.select("k1", "k2", F.explode("runs").alias("run"), "at").select("k1", "k2", (F.col("run") + F.shiftleft(F.shiftright("at", 24), 16)).alias("run"))
+    whole = F.array().cast("array<long>")  # stands for all windows of a context
+    parts = kinds.join(runs, ["anchor", "context"], "left").select("anchor", "context", "n", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    alone = anchors.where("a = b").select("anchor", F.col("a").alias("context"), "n", whole.alias("runs"))
+    verdicts = second.store(parts.where("runs IS NOT NULL").unionByName(alone))
+    # the occurrences are made again each time: cheaper than to keep them all
+    hits = _matched(occurrences(rows, length), verdicts, ["anchor", "context"])
+    every = F.array(F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)))
+    moved = hits.select("k1", "k2", F.explode(F.when(F.size("runs") == 0, every).otherwise(F.col("runs"))).alias("run"), "at")
+    moved = moved.select("k1", "k2", (F.col("run") + F.shiftleft(F.shiftright("at", 24), 16)).alias("run"))
     by_row = last.store(moved.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")))
     second.drop()
     ids = F.when(F.col("k1") != NO_ID, F.col("k1"))
