@@ -176,5 +176,40 @@ def decoded_bytes(rows: Column, columns: Column, bits: Column, samples: Column,
     return size
 
 
+MOST_DECODED = 512 * 1024 * 1024
+# fixed values: what part a list of medications and the verbs in front of one, longer before shorter
+LIST_MARKS = "、；;，,。"
+USAGE_VERBS = "继续口服 继续服用 继续 口服 服用 给予 予".split()
+
+
+def decodable(rows: Column, columns: Column, bits: Column, samples: Column, frames: Column) -> Column:
+    """Whether decoded pixels stay within 512 MiB."""
+    return F.coalesce(decoded_bytes(rows, columns, bits, samples, frames) <= MOST_DECODED, F.lit(False))
+
+
+def medication_lines(text: Column) -> Column:
+    """array<string>: the text at its list marks and line ends, each part without a verb of usage in front of it."""
+    parts = F.split(F.translate(text, LIST_MARKS, "\n" * len(LIST_MARKS)), "\n")
+    return F.transform(parts, lambda p: F.regexp_replace(p, r"^\s*(?:" + "|".join(USAGE_VERBS) + ")", ""))
+
+
+def dose_text(dose: Column, unit: Column, frequency: Column) -> Column:
+    """Dose with unit and frequency, of what there is; null without any."""
+    text = F.concat_ws(" ", F.concat(plain_number(dose), F.coalesce(unit, F.lit(""))), frequency)
+    return F.when(text != "", text)
+
+
+def span_text(start: Column, end: Column) -> Column:
+    """The months of a medication's first and last mention: one if they are the same, null without dates."""
+    month = lambda d: F.date_format(d, "yyyy-MM")
+    return F.when(start.isNull(), month(end)).when(end.isNull() | (month(start) == month(end)), month(start)).otherwise(F.concat(month(start), F.lit(" → "), month(end)))
+
+
+def byte_size(n: Column) -> Column:
+    """B, KB or MB, the latter with one decimal."""
+    scaled = lambda by, unit: F.concat(F.format_string("%.1f", n / by), F.lit(unit))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, scaled(1024.0, " KB")).otherwise(scaled(1024.0 * 1024, " MB"))
+
+
 def page_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\f"), F.lit(""))) + 1

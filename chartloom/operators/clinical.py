@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.functions import text as T
+from chartloom.functions.folds import ordered_fold
 from chartloom.operators.records import top_k
 
 
-def dated_first(date: str, *position: str) -> Column:
-    """An order by date with undated rows last, then by position."""
-    return F.struct(F.col(date).isNull(), date, *position)
-
-
 def series(points: DataFrame, group: list[str], date: str, value: str, position: list[str]) -> DataFrame:
     """(group, n_points, points, any_abnormal): points are (date, value) in order; needs a flag column."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(date).isNull().alias("undated"), F.col(date).alias("date"), *position, F.col(value).alias("value"))))
@@ -35,6 +33,13 @@ def spans(rows: DataFrame, group: list[str], date: str, position: list[str], dos
     return rows.groupBy(*group).agg(F.min(date).alias("start"), F.max(date).alias("end"), F.max_by(F.struct(dose), order).alias("_d"), F.array_sort(F.collect_set(source)).alias("sources")).select(*group, "start", "end", F.col(f"_d.{dose}").alias("dose"), "sources")
 
 
+def conditions(found: DataFrame, group: list[str], text: str, date: str, icd: str, position: list[str]) -> DataFrame:
+    """(group, text, onset, icd_code, sources): each exact trimmed text once, with its earliest date and the first code that any mention has."""
+    rows = found.withColumn(text, T.trimmed(F.col(text))).where(F.col(text) != "")
+    first_code = F.min_by(icd, F.when(F.col(icd).isNotNull(), F.struct(*position))).alias("icd_code")
+    return rows.groupBy(*group, text).agg(F.min(date).alias("onset"), first_code, F.array_sort(F.collect_set(position[0])).alias("sources"))
+
+
 def merge_problems(conditions: DataFrame, key: Column, term: str, onset: str, source: str) -> DataFrame:
     """(key, term, onset, sources): the shortest mention, then the least, stands for the group."""
     return conditions.groupBy(key.alias("key")).agg(F.min_by(term, F.struct(F.length(term), term)).alias("term"), F.min(onset).alias("onset"), F.array_sort(F.collect_set(source)).alias("sources"))
@@ -69,16 +74,29 @@ def notable(points: DataFrame, group: list[str], series_key: str, date: str, val
 
 
 def share_tiers(studies: DataFrame, group: str, position: list[str], size: str, study_cap: int, total_cap: int) -> DataFrame:
-    """Each study's tier: image where it is over its cap or would take the running total over the other; only full ones add to the total."""
-    ordered = F.array_sort(F.collect_list(F.struct(*position, F.col(size).alias("size"))))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<boolean>").alias("full"))
-    step = lambda a, s: F.struct(
-        F.when((s["size"] <= study_cap) & (a["total"] + s["size"] <= total_cap), a["total"] + s["size"]).otherwise(a["total"]).alias("total"),
-        F.concat(a["full"], F.array((s["size"] <= study_cap) & (a["total"] + s["size"] <= total_cap))).alias("full"),
-    )
-    folded = studies.groupBy(group).agg(ordered.alias("s")).withColumn("f", F.aggregate("s", start, step, lambda a: a["full"]))
-    tiers = folded.select(group, F.explode(F.arrays_zip("s", "f")).alias("z"))
-    return tiers.select(group, *(F.col(f"z.s.{p}").alias(p) for p in position), F.when(F.col("z.f"), "full").otherwise("image").alias("tier"))
+    """Each study's tier: image where it is over its cap or would take the running total over the other; only full ones add to the total.
+
+    The total skips what is degraded, so a group is folded in order; its rows
+    stream through, only the total is kept.
+    """
+
+    def begin():
+        total = 0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal total
+            tiers = []
+            for n in pdf[size].tolist():
+                full = n is not None and n == n and n <= study_cap and total + n <= total_cap
+                total += int(n) if full else 0
+                tiers.append("full" if full else "image")
+            return pdf[[group, *position]].assign(tier=tiers)
+
+        return step
+
+    rows = studies.select(group, *position, size)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ordered_fold(rows, group, position, begin, ", ".join(f"{c} {kinds[c]}" for c in (group, *position)) + ", tier string")
 
 
 def has_content(summary: Column, parts: list[str]) -> Column:

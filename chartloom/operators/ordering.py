@@ -1,4 +1,4 @@
-"""Row numbers over a whole table, and first rows of groups, without a single task."""
+"""Row numbers over a whole table, without a single task."""
 
 from __future__ import annotations
 
@@ -22,10 +22,3 @@ def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str) -> D
     inside = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     joined = inside.join(before, F.col("_bucket").eqNullSafe(F.col("_b")))
     return joined.withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
-
-
-def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group, by a pre-aggregated minimum of the order and the rest."""
-    rest = [c for c in df.columns if c not in keys]
-    ranked = F.struct(*order, F.struct(*rest).alias("_row"))
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*") if rest else df.select(*keys, ranked).select(*keys).distinct()

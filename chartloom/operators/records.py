@@ -1,10 +1,11 @@
-"""Queries over documents, pages and events: timeline, encounters, search, audit and profile."""
+"""Queries over documents, pages and events: lookups, timeline, encounters, search, audit and profile."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions import text as T
 from chartloom.functions.columns import let
 
 
@@ -26,18 +27,126 @@ def in_range(df: DataFrame, date: str, start: str | None = None, end: str | None
     return kept if end is None else kept.where(F.col(date) <= F.lit(end))
 
 
+HAN = r"\x{4E00}-\x{9FFF}"
+UNIT = rf"[{HAN}]+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"
+SHOWN = rf"[{HAN}]|[\p{{L}}\p{{N}}&&[^{HAN}]]+"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; each Chinese character also stands alone as half of a pair."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = lambda w: F.when(w.rlike(r"^[\x{4E00}-\x{9FFF}]{2,}$"), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
-    return F.flatten(F.transform(words, pairs))
+    """Lower-cased runs of letters and digits; a run of Chinese characters becomes its pairs of neighbours."""
+    pairs = lambda w: F.when(w.rlike(f"^[{HAN}]{{2,}}$"), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(UNIT), 0), pairs))
+
+
+def phrases(query: str) -> list[list[str]]:
+    """The words of a query, each as its runs of letters and digits; words without any are left out."""
+    han = lambda c: "\u4e00" <= c <= "\u9fff"
+    found = []
+    for word in query.lower().split():
+        runs: list[str] = []
+        last = None
+        for c in word:
+            kind = han(c) if c.isalnum() else None
+            if kind is not None:
+                runs = [*runs[:-1], runs[-1] + c] if kind == last else [*runs, c]
+            last = kind
+        if runs:
+            found.append(runs)
+    return found
+
+
+def _pattern(runs: list[str]) -> str:
+    """A regular expression for neighbouring tokens in lower-cased text."""
+    han = lambda r: "\u4e00" <= r[0] <= "\u9fff"
+    border = lambda r: f"[{HAN}]" if han(r) else rf"[\p{{L}}\p{{N}}&&[^{HAN}]]"
+    one = lambda r: r if han(r) and len(r) > 1 else f"(?<!{border(r)}){r}(?!{border(r)})"
+    return r"[^\p{L}\p{N}]*".join(map(one, runs))
+
+
+def search(pages: DataFrame, query: str, limit: int, text: str = "text", key: str = "doc_id", title: str | None = None) -> DataFrame:
+    """The first ``limit`` pages, by key, whose title or text has every word of the query; none for a query without words.
+
+    A word of several tokens must have them side by side.  Pages are scanned:
+    plain containment is tried first, as it is far cheaper than borders.
+    ``search_index`` answers from a table of tokens instead.
+    """
+    wanted = phrases(query)
+    hit = F.lit(bool(wanted))
+    for runs in wanted:
+        has = F.lit(False)
+        for column in [text] + ([title] if title else []):
+            low, found = F.lower(F.col(column)), F.lit(True)
+            for r in runs:
+                found = found & low.contains(r)
+            has = has | F.coalesce(found & low.rlike(_pattern(runs)), F.lit(False))
+        hit = hit & has
+    return pages.where(hit).orderBy(key).limit(limit)
+
+
+def token_table(pages: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(token, key, part, places): where each token stands in the columns of each page, ordered by token for a table whose files prune by it.
+
+    A frequent token's rows are spread over several files, as the order goes on by key.
+    """
+    parts = F.array(*(F.struct(F.lit(i).alias("part"), tokens(F.col(c)).alias("t")) for i, c in enumerate(columns)))
+    rows = pages.select(key, F.explode(parts).alias("p")).select(key, "p.part", F.posexplode("p.t").alias("place", "token"))
+    found = rows.groupBy("token", key, "part").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return found.repartitionByRange("token", key).sortWithinPartitions("token", key)
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
+def search_index(index: DataFrame, query: str, limit: int, key: str = "doc_id") -> DataFrame:
+    """(key): the first ``limit`` pages, by key, that ``search`` would find, from a ``token_table``; only the query's tokens are read."""
+    pairs = lambda r: [r[i : i + 2] for i in range(len(r) - 1)] if len(r) > 1 and "\u4e00" <= r[0] <= "\u9fff" else [r]
+    wanted = [[t for r in runs for t in pairs(r)] for runs in phrases(query)]
+    if not wanted:
+        return index.select(key).limit(0)
+    every = sorted({t for words in wanted for t in words})
+    rows = index.where(F.col("token").isin(*every))
+    per_part = rows.groupBy(key, "part").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("at"))
+    hits = []
+    for words in wanted:
+        shifted = [_moved(F.col("at")[t], i) for i, t in enumerate(words)]
+        both = shifted[0]
+        for s in shifted[1:]:
+            both = F.array_intersect(both, s)
+        hits.append(F.coalesce(F.size(both) > 0, F.lit(False)))
+    found = per_part.select(key, *(h.alias(f"_h{i}") for i, h in enumerate(hits)))
+    whole = found.groupBy(key).agg(*(F.bool_or(f"_h{i}").alias(f"_h{i}") for i in range(len(hits))))
+    return whole.where(" AND ".join(f"_h{i}" for i in range(len(hits)))).select(key).orderBy(key).limit(limit)
+
+
+def snippet(text: Column, query: str, most: int = 12) -> Column:
+    """Up to ``most`` tokens around the first hit, hits in square brackets, an ellipsis where text is left out.
+
+    A Chinese character counts as a token; the window begins at most three tokens before the hit.
+    """
+    found = phrases(query)
+    pattern = "|".join(map(_pattern, found)) or "(?!)"
+
+    def window(x: Column) -> Column:
+        hit = F.regexp_instr(F.lower(x["t"]), F.lit(pattern))
+        before = F.when(hit > 0, F.size(F.regexp_extract_all(F.substring(x["t"], F.lit(1), hit - 1), F.lit(SHOWN), 0))).otherwise(0)
+        n = F.size(x["w"])
+        return let(F.greatest(F.least(before - 3, n - most), F.lit(0)), lambda s: F.struct(s.alias("s"), F.least(n, s + most).alias("e"), n.alias("n"), x["w"].alias("w"), x["g"].alias("g")))
+
+    def shown(x: Column) -> Column:
+        some = lambda c, a: F.slice(x[c], a, x["e"] - x["s"])
+        woven = F.concat(F.get(some("w", x["s"] + 1), 0), F.array_join(F.zip_with(F.slice(x["g"], x["s"] + 2, x["e"] - x["s"] - 1), F.slice(x["w"], x["s"] + 2, x["e"] - x["s"] - 1), lambda g, w: F.concat(g, w)), ""))
+        marked = F.regexp_replace(woven, f"(?iu)({pattern})", "[$1]")
+        return F.when(x["n"] > 0, F.concat(F.when(x["s"] > 0, "…").otherwise(""), marked, F.when(x["e"] < x["n"], "…").otherwise(""))).otherwise("")
 
+    parts = F.struct(text.alias("t"), F.regexp_extract_all(text, F.lit(SHOWN), 0).alias("w"), F.split(text, SHOWN, -1).alias("g"))
+    return let(let(parts, window), shown)
 
-def search(pages: DataFrame, query: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The first ``limit`` pages, by key, that have every token of the query."""
-    wanted = tokens(F.lit(query))
-    hit = let(tokens(F.col(text)), lambda have: F.forall(wanted, lambda t: F.array_contains(have, t)))
-    return pages.where((F.size(wanted) > 0) & hit).orderBy(key).limit(limit)
+
+def search_results(pages: DataFrame, documents: DataFrame, query: str, limit: int, key: str, text: str = "text", title: str | None = None) -> DataFrame:
+    """The documents of the hits with a ``snippet`` of each; a document may come once for each of its pages."""
+    hits = search(pages, query, limit, text, key, title).select(F.col(key), snippet(F.col(text), query).alias("snippet"))
+    return documents.join(hits, key)
 
 
 def page_texts(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
@@ -46,6 +155,70 @@ def page_texts(pages: DataFrame, document: str, page: str, text: str) -> DataFra
     return pages.groupBy(document).agg(F.array_join(F.transform(ordered, lambda p: p[text]), "\n").alias("text"))
 
 
+def page_facts(pages: DataFrame, document: str, page: str, confidence: str | None = None, backend: str | None = None) -> DataFrame:
+    """(document, n_pages, confidence, mean_confidence, backend): the least and mean confidence of pages that have one, the first page's backend.
+
+    Without any confidence the least is null and the mean 0.
+    """
+    parts = [F.count("*").alias("n_pages")]
+    if confidence:
+        parts += [F.min(confidence).alias("confidence"), F.coalesce(F.avg(confidence), F.lit(0.0)).alias("mean_confidence")]
+    if backend:
+        parts.append(F.min_by(backend, page).alias("backend"))
+    return pages.groupBy(document).agg(*parts)
+
+
+def documents_where(documents: DataFrame, condition: Column | str, date: str, key: str) -> DataFrame:
+    """The documents of a predicate in the timeline's order: by id, by source, by study, by encounter."""
+    return documents.where(condition).orderBy(*timeline_order(date, key))
+
+
+def has_document(files: DataFrame, documents: DataFrame, file: str) -> DataFrame:
+    """``files`` with ``has_document``."""
+    have = documents.select(file).distinct().withColumn("_have", F.lit(True))
+    return files.join(have, file, "left").withColumn("has_document", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
+def details(documents: DataFrame, files: DataFrame, pages: DataFrame, document: str, file: str, page: str = "page_no", text: str = "text", confidence: str = "confidence", backend: str = "backend") -> DataFrame:
+    """Each document that has its file, with the file's columns, its text, confidence and backend; texts of pageless documents are empty."""
+    facts = page_facts(pages, document, page, confidence, backend).drop("n_pages", "mean_confidence").withColumnRenamed("confidence", "ocr_confidence").withColumnRenamed("backend", "ocr_backend")
+    texts = page_texts(pages, document, page, text).withColumnRenamed("text", "ocr_text")
+    joined = documents.join(files, file).join(texts, document, "left").join(facts, document, "left")
+    return joined.withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))
+
+
+def gathered(documents: DataFrame, group: list[str], date: str, key: str) -> DataFrame:
+    """``documents`` with ``place``, from 0, in the order of the illness: oldest first, undated last."""
+    return documents.withColumn("place", (F.row_number().over(Window.partitionBy(*group).orderBy(*gather_order(date, key))) - 1).cast("long"))
+
+
+def timeline(documents: DataFrame, group: list[str], date: str, key: str) -> DataFrame:
+    """``documents`` with ``place``, from 1, newest first and undated last."""
+    return documents.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*timeline_order(date, key))).cast("long"))
+
+
+def slices(imaging: DataFrame, document: str, series: str, instance: str, *key: str) -> DataFrame:
+    """``imaging`` with ``place``, from 1, in the stack of its document: by series, then instance, each null last, then key."""
+    w = Window.partitionBy(document).orderBy(F.asc_nulls_last(series), F.asc_nulls_last(instance), *key)
+    return imaging.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def slice_counts(documents: DataFrame, imaging: DataFrame, document: str) -> DataFrame:
+    """``documents`` with ``n_slices``, 0 where there are none."""
+    counts = imaging.groupBy(document).agg(F.count("*").alias("n_slices"))
+    return documents.join(counts, document, "left").withColumn("n_slices", F.coalesce("n_slices", F.lit(0)))
+
+
+def study_document(documents: DataFrame, study_uid: str, key: str) -> DataFrame:
+    """The document of a study, the least key should there be several."""
+    return documents.where(F.col("study_uid") == study_uid).orderBy(key).limit(1)
+
+
+def document_of_slice(documents: DataFrame, imaging: DataFrame, document: str, slice: str, value) -> DataFrame:
+    """The documents that have the slice."""
+    return documents.join(imaging.where(F.col(slice) == value).select(document).distinct(), document, "left_semi")
+
+
 def inpatient_windows(documents: DataFrame, windows: DataFrame, group: str) -> DataFrame:
     """Each document with the first window (by window_order) that contains its date, or null.
 
@@ -66,22 +239,78 @@ def same_day(documents: DataFrame, group: str, emergency: Column) -> DataFrame:
     return dated.groupBy(group, "day").agg(F.count("*").alias("n_docs"), kind.alias("kind"))
 
 
-def encounters(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None) -> DataFrame:
-    """(group, kind, start, end, title, n_docs) of inpatient stays and of days, for many patients at once."""
-    stays, rest = None, documents
+def provider(text: Column) -> Column:
+    """The first hospital's name in a text, or null."""
+    found = F.regexp_extract(text, r"([\x{4E00}-\x{9FA5}]{2,18}?(?:医院|医学中心))", 1)
+    return F.when(found != "", found)
+
+
+def page_providers(pages: DataFrame, group: str, document: str, page: str, text: str = "text") -> DataFrame:
+    """(group, doc, provider, at) of the pages that name one; ``at`` orders them by document and page."""
+    rows = pages.select(group, F.col(document).alias("doc"), provider(F.col(text)).alias("provider"), F.struct(F.col(document).alias("doc"), F.col(page).alias("page")).alias("at"))
+    return rows.where("provider IS NOT NULL")
+
+
+def discharge_windows(documents: DataFrame, group: str) -> DataFrame:
+    """(group, window, window_order, start, end) of the discharge summaries that have both dates, in order of date and document."""
+    some = documents.where("doc_type = 'discharge_summary' AND date IS NOT NULL AND date_end IS NOT NULL")
+    order = F.row_number().over(Window.partitionBy(group).orderBy("date", "doc"))
+    return some.select(group, F.col("doc").alias("window"), order.alias("window_order"), F.col("date").alias("start"), F.col("date_end").alias("end"))
+
+
+def encounters(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+    """(group, encounter, kind, provider, transferred, start, end, title, n_docs, docs) of inpatient stays and of days, for many patients at once.
+
+    ``documents``: group, doc, date; ``providers``: group, doc, provider, at.
+    Encounters are numbered from 1: stays in the order of their windows, then days.
+    ``docs`` are in the timeline's order.  The provider is the commonest, of equals
+    the first seen; two or more make a transfer.  A stay without documents stays.
+    """
+    claimed = documents.withColumn("window", F.lit(None).cast("string")) if windows is None else inpatient_windows(documents, windows, group)
+    day = F.when(F.col("window").isNull(), F.to_date("date"))
+    placed = claimed.withColumn("_enc", F.coalesce(F.concat(F.lit("w"), F.col("window").cast("string")), F.concat(F.lit("d"), day.cast("string")))).where("_enc IS NOT NULL")
+    newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("date", "doc")))), lambda d: d["doc"])
+    members = placed.groupBy(group, "_enc").agg(F.count("*").alias("n_docs"), newest.alias("docs"), F.bool_or(emergency).alias("_em"), F.min(F.to_date("date")).alias("_day"))
+    named = F.col("_em").isNotNull() & F.col("_em")
+    kind, label = F.when(named, "emergency").otherwise("outpatient"), F.when(named, "急诊 · ").otherwise("门诊 · ")
+    none = F.lit(None).cast("date")
+    rows = members.where("_enc LIKE 'd%'").select(
+        group, "_enc", F.lit(1).alias("_late"), F.lit(0).alias("_order"), kind.alias("kind"), F.col("_day").alias("start"), none.alias("end"), F.concat(label, F.date_format("_day", "yyyy-MM-dd")).alias("title"), "n_docs", "docs"
+    )
     if windows is not None:
-        claimed = inpatient_windows(documents, windows, group)
-        members = claimed.where("window IS NOT NULL").groupBy("window").agg(F.count("*").alias("n_docs"))
-        stays = windows.join(members, "window", "left").select(
-            group, F.lit("inpatient").alias("kind"), F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"),
-            F.concat(F.lit("住院 · "), F.date_format("start", "yyyy-MM-dd"), F.lit(" → "), F.date_format("end", "yyyy-MM-dd")).alias("title"),
-            F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
+        text = F.concat(F.lit("住院 · "), F.date_format("start", "yyyy-MM-dd"), F.lit(" → "), F.date_format("end", "yyyy-MM-dd"))
+        named_windows = windows.withColumn("_enc", F.concat(F.lit("w"), F.col("window").cast("string")))
+        stays = named_windows.join(members.drop("_em", "_day"), [group, "_enc"], "left").select(
+            group, "_enc", F.lit(0).alias("_late"), F.col("window_order").alias("_order"), F.lit("inpatient").alias("kind"), F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"),
+            text.alias("title"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs", F.array().cast(members.schema["docs"].dataType)).alias("docs"),
         )
-        rest = claimed.where("window IS NULL").drop("window")
-    days = same_day(rest, group, emergency)
-    label = F.when(F.col("kind") == "emergency", "急诊 · ").otherwise("门诊 · ")
-    days = days.select(group, "kind", F.col("day").alias("start"), F.lit(None).cast("date").alias("end"), F.concat(label, F.date_format("day", "yyyy-MM-dd")).alias("title"), "n_docs")
-    return days if stays is None else stays.unionByName(days)
+        rows = stays.unionByName(rows)
+    if providers is None:
+        rows = rows.withColumns({"provider": F.lit(None).cast("string"), "transferred": F.lit(False)})
+    else:
+        said = providers.join(placed.select(group, "doc", "_enc"), [group, "doc"])
+        mode = mode_of(said, [group, "_enc"], "provider", "at").select(group, "_enc", "provider", (F.col("n_kinds") >= 2).alias("transferred"))
+        rows = rows.join(mode, [group, "_enc"], "left").withColumn("transferred", F.coalesce("transferred", F.lit(False)))
+        rows = rows.withColumn("title", F.when(F.col("transferred"), F.concat("title", F.lit(" · 转院"))).otherwise(F.col("title")))
+    number = F.row_number().over(Window.partitionBy(group).orderBy("_late", "_order", "start")).cast("long")
+    return rows.withColumn("encounter", number).select(group, "encounter", "kind", "provider", "transferred", "start", "end", "title", "n_docs", "docs")
+
+
+def standalone(documents: DataFrame) -> DataFrame:
+    """The documents that no encounter takes: those without a date."""
+    return documents.where(F.col("date").isNull())
+
+
+def grouped_timeline(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+    """Encounters and standalone documents of each patient, newest first: ``place`` from 1, the encounter's columns, or one document in ``docs``.
+
+    Of equal dates encounters come first, later ones before earlier ones; what has no date comes last.
+    """
+    found = encounters(documents, group, emergency, windows, providers)
+    alone = standalone(documents).select(group, F.col("doc").alias("_doc"), F.array("doc").alias("docs"), F.lit("document").alias("kind"), F.lit(1).cast("bigint").alias("n_docs"))
+    every = found.unionByName(alone, allowMissingColumns=True)
+    order = [F.desc_nulls_last("start"), F.col("encounter").isNull(), F.desc("encounter"), F.desc("_doc")]
+    return every.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).drop("_doc")
 
 
 def mode_of(df: DataFrame, group: list[str], value: str, position: str | None = None) -> DataFrame:
@@ -91,13 +320,54 @@ def mode_of(df: DataFrame, group: list[str], value: str, position: str | None =
     return counts.groupBy(*group).agg(F.min_by(F.struct(value, "n"), best).alias("_b"), F.count("*").alias("n_kinds")).select(*group, f"_b.{value}", "_b.n", "n_kinds")
 
 
+def patient_profile(pages: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """(group, name, gender, birth_date, age, record_count): the commonest value of each over the patient's pages, of equals the smallest.
+
+    ``record_count`` counts pages, not documents.
+    """
+    fields = ("name", "gender", "birth_date", "age")
+    said = pages.select(group, T.demographics(F.col(text)).alias("d"))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"d.{f}").cast("string").alias("value")) for f in fields))
+    counts = said.select(group, F.explode(pairs).alias("p")).where("p.value IS NOT NULL").groupBy(group, "p.field", "p.value").agg(F.count("*").alias("n"))
+    best = counts.groupBy(group).agg(*(F.min_by("value", F.when(F.col("field") == f, F.struct(-F.col("n"), "value"))).alias(f) for f in fields))
+    return pages.groupBy(group).agg(F.count("*").alias("record_count")).join(best, group, "left").select(group, *fields, "record_count")
+
+
+def mismatched(documents: DataFrame, detected: str, member: Column) -> DataFrame:
+    """``documents`` with ``mismatch``: the detected name where it isn't blank and isn't the member's."""
+    name = F.col(detected)
+    return documents.withColumn("mismatch", F.when((T.trimmed(name) != "") & ~name.eqNullSafe(member), name))
+
+
+# fixed values: what types of documents and kinds of encounters are called
+TYPE_LABELS = {"lab_report": "化验", "imaging_report": "检查", "discharge_summary": "出院", "prescription": "处方", "clinical_note": "病历", "pathology": "病理", "surgery": "手术", "other": "其他", "unknown": "未分类"}
+KIND_LABELS = {"inpatient": "住院", "outpatient": "门诊", "emergency": "急诊", "exam": "体检"}
+
+
+def label(value: Column, labels: dict[str, str] = TYPE_LABELS) -> Column:
+    """What a type or kind is called; null for values that are none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), value)
+
+
+def type_facet(documents: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group, doc_type, label, n) of the types that occur."""
+    return documents.groupBy(*(group or []), "doc_type").agg(F.count("*").alias("n")).withColumn("label", label(F.col("doc_type")))
+
+
 def audit(log: DataFrame) -> DataFrame:
-    """(ts, action, detail, sha256) of the four audited kinds of events; callers order them newest first."""
-    kinds = {"FileImported": ("导入", F.col("original_name")), "ExportPerformed": ("导出", F.concat_ws(" ", "kind", F.col("record_count").cast("string"))), "ShareCreated": ("分享", F.concat_ws(" ", F.col("record_count").cast("string"), "expires")), "DocumentDeleted": ("删除", F.col("source_file_hash"))}
-    action, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, (name, text) in kinds.items():
-        action, detail = F.when(F.col("type") == kind, name).otherwise(action), F.when(F.col("type") == kind, text).otherwise(detail)
-    return log.where(F.col("type").isin(*kinds)).select("ts", "device_id", "seq", action.alias("action"), detail.alias("detail"), "sha256")
+    """(ts, device_id, seq, action, detail, sha256) of the four audited kinds of events; callers order them newest first."""
+    count = F.concat(F.col("record_count").cast("string"), F.lit(" 条记录"))
+    kinds = {
+        "FileImported": ("导入", F.col("original_name"), F.col("content_hash")),
+        "ExportPerformed": ("导出", F.concat("kind", F.lit(" · "), count), F.col("sha256")),
+        "ShareCreated": ("分享", F.concat(count, F.lit(" · 有效期至 "), "expires"), F.col("sha256")),
+        "DocumentDeleted": ("删除", F.lit("移除一份文档"), F.col("source_file_hash")),
+    }
+    action, detail, sha = (F.lit(None).cast("string") for _ in range(3))
+    for kind, (name, text, digest) in kinds.items():
+        test = F.col("type") == kind
+        action, detail, sha = F.when(test, name).otherwise(action), F.when(test, text).otherwise(detail), F.when(test, digest).otherwise(sha)
+    return log.where(F.col("type").isin(*kinds)).select("ts", "device_id", "seq", action.alias("action"), detail.alias("detail"), sha.alias("sha256"))
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -35,7 +35,11 @@ def observations(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame)
     labs = L.lab_rows(lines.where(whole("lab") | (F.col("section") == "labs")), "doc").withColumn("row", row_id)
     labs = terms.resolve(labs, index, "row", "raw_name", conversions, "unit").where("has_evidence OR key IS NOT NULL")
     labs = terms.convert(labs, conversions, "value", "unit").join(names, "key", "left").join(about, "doc")
-    meds = L.medication_rows(lines.where(whole("prescription") | (F.col("section") == "meds")), "doc").withColumn("row", row_id)
+    # a list of medications within a section is taken apart first
+    listed = lines.where(~whole("prescription") & (F.col("section") == "meds")).select("doc", "line_no", F.posexplode(T.medication_lines(F.col("line"))).alias("_part", "line"))
+    said = lines.where(whole("prescription")).select("doc", "line_no", F.lit(0).alias("_part"), "line").unionByName(listed)
+    said = said.withColumn("_at", F.struct("doc", "line_no", "_part"))
+    meds = L.medication_rows(said.select("_at", F.col("line_no"), "line"), "_at").withColumn("row", F.concat_ws(":", "_at.doc", "line_no", "_at._part")).withColumn("doc", F.col("_at.doc")).drop("_at")
     meds = terms.resolve(meds, index, "row", "raw_name", drugs_only=True).where("has_evidence OR key IS NOT NULL")
     return labs, meds.join(names, "key", "left").join(about, "doc")
 
@@ -67,8 +71,7 @@ def summarise(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame, pr
         F.coalesce(F.bool_or(F.col("flag").isin("H", "L")), F.lit(False)).alias("abnormal"),
         F.min_by(F.struct("shown", "flag"), order).alias("first"), F.max_by(F.struct("shown", "flag"), F.when(dated, F.struct("date", "pos"))).alias("last"),
     )
-    dose = F.concat_ws(" ", F.concat(T.plain_number(F.col("dose")), F.coalesce("dose_unit", F.lit(""))), "frequency")
-    taken = meds.withColumns({"grp": group, "name": F.coalesce("canonical_name", "raw_name"), "dose_text": F.when(dose != "", dose)})
+    taken = meds.withColumns({"grp": group, "name": F.coalesce("canonical_name", "raw_name"), "dose_text": T.dose_text(F.col("dose"), F.col("dose_unit"), F.col("frequency"))})
     spans = clinical.spans(taken, ["patient", "grp"], "date", ["doc", "line_no"], "dose_text", "doc")
     spans = spans.join(taken.groupBy("patient", "grp").agg(F.min("name").alias("name"), F.max("atc").alias("atc")), ["patient", "grp"])
 
@@ -121,14 +124,24 @@ def summarise(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame, pr
     return whole
 
 
-def trim(summary: DataFrame, problems: int = 6, labs: int = 2, points: int = 4, meds: int = 3, changes: int = 3, reports: int = 2) -> DataFrame:
-    """A summary that fits a QR code: problems to watch first, the latest points, no evidence."""
+def trim(summary: DataFrame, problems: int = 6, labs: int = 2, points: int = 4, meds: int = 3, changes: int = 3, reports: int = 2, active_only: bool = True) -> DataFrame:
+    """A summary that fits a QR code: problems to watch first and healed ones last, the latest points, no evidence.
+
+    A problem is healed if it has an ``end``, a medication active unless its ``on``
+    is false; without such fields none is healed and all are active.
+    """
     tail = lambda a, n: F.slice(a, F.greatest(F.size(a) - (n - 1), F.lit(1)), n)
+    problem = summary.schema["problems"].dataType.elementType
+    ends, medication = "end" in problem.names, problem["meds"].dataType.elementType
+    healed = lambda p: p["end"].isNotNull() if ends else F.lit(False)
+    active = lambda m: F.coalesce(m["on"], F.lit(False)) if active_only and "on" in medication.names else F.lit(True)
     lab = lambda s: F.struct(s["name"].alias("name"), s["unit"].alias("unit"), tail(s["points"], points).alias("points"), s["abnormal"].alias("abnormal"))
     one = lambda p: F.struct(
-        p["term"].alias("term"), p["onset"].alias("onset"), p["status"].alias("status"), p["warn"].alias("warn"),
-        F.transform(F.slice(p["labs"], 1, labs), lab).alias("labs"), F.slice(p["meds"], 1, meds).alias("meds"),
+        *(p[f].alias(f) for f in problem.names if f not in ("labs", "meds", "evidence")),
+        F.transform(F.slice(p["labs"], 1, labs), lab).alias("labs"), F.slice(F.filter(p["meds"], active), 1, meds).alias("meds"),
     )
-    watched = F.concat(F.filter("problems", lambda p: p["warn"]), F.filter("problems", lambda p: ~p["warn"]))
+    rank = lambda p: F.when(p["warn"] & ~healed(p), 0).when(~p["warn"] & ~healed(p), 1).otherwise(2)
+    of_rank = lambda r: F.filter("problems", lambda p: rank(p) == r)
+    ordered = F.concat(*map(of_rank, range(3)))
     few = lambda c, n: F.slice(c, 1, n).alias(c)
-    return summary.select("patient", F.transform(F.slice(watched, 1, problems), one).alias("problems"), "allergies", few("notable_changes", changes), few("imaging", reports), few("pathology", reports))
+    return summary.select("patient", F.transform(F.slice(ordered, 1, problems), one).alias("problems"), "allergies", few("notable_changes", changes), few("imaging", reports), few("pathology", reports))

@@ -8,30 +8,38 @@ from pyspark.sql import functions as F
 from chartloom.functions import text as T
 
 MOST_BYTES = 200 * 1024 * 1024
+MOST_DEPTH, MOST_FILES = 16, 20_000
 SKIPPED = r"(^|/)\.|\.(tmp|part|crdownload)$"
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, content, content_hash, mime_type) of all files below a folder, without dot files and partial downloads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    kept = files.where(~name.rlike(SKIPPED))
-    return kept.select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), T.mime_of(name).alias("mime_type"))
+def read_files(spark: SparkSession, folder: str, most_depth: int = MOST_DEPTH, most_files: int = MOST_FILES) -> DataFrame:
+    """(path, length, content, content_hash, mime_type) of the first files below a folder, by path, without dot files and partial downloads.
+
+    Depth counts folders below ``folder``.  A file over the cap or one that can't
+    be read keeps its row, with a null content; its status is failed then.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(folder)
+    root = len([p for p in folder.rstrip("/").split("://")[-1].removeprefix("file:").split("/") if p])
+    depth = F.size(F.filter(F.split(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "/"), lambda p: p != "")) - 1 - root
+    names = listed.select("path", "length").where(~F.lower("path").rlike(SKIPPED) & (depth <= most_depth)).orderBy("path").limit(most_files)
+    kept = listed.where(F.col("length") <= MOST_BYTES).select("path", "content")
+    rows = names.join(kept, "path", "left")
+    return rows.select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), T.mime_of(F.element_at(F.split("path", "/"), -1)).alias("mime_type"))
 
 
 def objects(files: DataFrame) -> DataFrame:
     """(hash, content): each content once."""
-    return files.groupBy(F.col("content_hash").alias("hash")).agg(F.any_value("content").alias("content"))
+    return files.where("content_hash IS NOT NULL").groupBy(F.col("content_hash").alias("hash")).agg(F.any_value("content").alias("content"))
 
 
 def ingest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(path, content_hash, mime_type, status, text, doc_type, language, dates) for each file.
 
-    status: failed (over the cap), duplicate (content known or seen under a lesser
+    status: failed (over the cap or unreadable), duplicate (content known or seen under a lesser
     path), metadata_only (no text layer) or ingested.
     """
-    first = files.groupBy("content_hash").agg(F.min("path").alias("_first"))
-    rows = files.join(first, "content_hash")
+    first = files.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("path").alias("_first"))
+    rows = files.join(first, "content_hash", "left")
     seen = F.lit(False)
     if known is not None:
         rows = rows.join(known.select("content_hash").distinct().withColumn("_known", F.lit(True)), "content_hash", "left")
@@ -39,7 +47,32 @@ def ingest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     body = F.when(F.col("mime_type") == "text/plain", T.fold_radicals(F.try_validate_utf8(F.col("content").cast("string"))))
     rows = rows.withColumn("text", body)
     status: Column = (
-        F.when(F.col("length") > MOST_BYTES, "failed").when(seen | (F.col("path") != F.col("_first")), "duplicate")
+        F.when((F.col("length") > MOST_BYTES) | F.col("content").isNull(), "failed").when(seen | (F.col("path") != F.col("_first")), "duplicate")
         .when(F.col("text").isNull() | (F.octet_length(T.trimmed(F.col("text"))) < 20), "metadata_only").otherwise("ingested")
     )
     return rows.select("path", "content_hash", "mime_type", status.alias("status"), "text", T.classify(F.col("text")).alias("doc_type"), T.language(F.col("text")).alias("language"), T.date_range(F.col("text")).alias("dates"))
+
+
+def ingest_texts(captures: DataFrame, known: DataFrame) -> DataFrame:
+    """Captures whose text the caller has recognised (name, content, text, confidence) -> one row each with a document's fields.
+
+    ``known``: content_hash, has_document.  status: failed (empty or over the cap),
+    deduped (content known with a document), backfilled (known without one), new, or
+    stored_no_text, where the text is blank and the name stands for it.
+    """
+    base = F.element_at(F.split(F.coalesce("name", F.lit("")), "/"), -1)
+    name = F.when(base == "", "capture.jpg").when(base.rlike(r".[.][^.]+$"), base).otherwise(F.concat(base, F.lit(".jpg")))
+    rows = captures.withColumns({"name": name, "content_hash": F.sha2("content", 256), "text": F.when(T.trimmed(F.col("text")) != "", F.col("text"))})
+    have = known.groupBy("content_hash").agg(F.bool_or("has_document").alias("_doc"))
+    size = F.octet_length("content")
+    status = (
+        F.when(F.coalesce(size, F.lit(0)).between(1, MOST_BYTES) == F.lit(False), "failed").when(F.col("_doc"), "deduped").when(F.col("text").isNull(), "stored_no_text")
+        .when(F.col("_doc").isNotNull(), "backfilled").otherwise("new")
+    )
+    about = F.coalesce("text", "name")
+    made = rows.join(have, "content_hash", "left").withColumn("status", status)
+    mine = F.col("status").isin("new", "backfilled", "stored_no_text")
+    return made.select(
+        "name", "content_hash", T.mime_of(F.col("name")).alias("mime_type"), "status", F.when(mine, F.col("text")).alias("text"), F.when(mine & F.col("text").isNotNull(), F.col("confidence")).alias("confidence"),
+        F.when(mine, T.classify(about)).alias("doc_type"), F.when(mine, T.date_range(about)).alias("dates"), F.when(mine, T.language(F.col("text"))).alias("language"), F.when(mine, T.demographics(F.col("text"))["name"]).alias("detected_name"),
+    )

@@ -7,19 +7,26 @@ import hmac
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions.folds import ordered_fold
 from chartloom.schemas import EVENT_FIELDS, EVENT_TYPES, GENESIS
 
 ENTRY = "segment string, line_no long, line string"
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(segment, line_no, line) of all *.jsonl files; blank lines are skipped."""
-    files = spark.read.text(f"{folder}/*.jsonl", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("segment"), "value")
-    lines = files.select("segment", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.where(F.trim("line") != "").select("segment", F.col("line_no").cast("long").alias("line_no"), "line")
+    """(segment, line_no, line) of all *.jsonl files; blank lines are counted and skipped.
+
+    A file is read in blocks by many tasks: rows of a block rise by their running
+    id, blocks by where they start.
+    """
+    place = [F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    rows = spark.read.text(f"{folder}/*.jsonl").select("value", *place)
+    order = Window.partitionBy("segment").orderBy("block", "place")
+    lines = rows.select("segment", (F.row_number().over(order) - 1).cast("long").alias("line_no"), F.col("value").alias("line"))
+    return lines.where(F.trim("line") != "")
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -43,14 +50,20 @@ def mac_of(entry: dict, key: bytes) -> str:
     return hmac.new(key, canonical(entry), hashlib.sha256).hexdigest()
 
 
-def _entries(pdf: pd.DataFrame):
-    for i, line in enumerate(pdf["line"]):
-        try:
-            entry = json.loads(line)
-            canonical(entry)
-            yield i, entry
-        except (ValueError, KeyError, TypeError):
-            yield i, None
+def _entry(line: str) -> dict | None:
+    try:
+        entry = json.loads(line)
+        canonical(entry)
+        return entry
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
+def _sealed(entry: dict, last: str, key: bytes | None) -> tuple[str, str]:
+    """(the line, its chain hash)."""
+    entry = entry | {"prev_hash": last}
+    entry["mac"] = mac_of(entry, key) if key is not None else None
+    return json.dumps(entry, ensure_ascii=False, separators=(",", ":")), chain_hash(entry)
 
 
 def verify(lines: DataFrame, key: bytes | None = None) -> DataFrame:
@@ -60,39 +73,109 @@ def verify(lines: DataFrame, key: bytes | None = None) -> DataFrame:
     stands on its own authority is accepted and continues the chain.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no", ignore_index=True)
-        status, expected = ["unreadable"] * len(pdf), GENESIS
-        for i, entry in _entries(pdf):
+    def begin():
+        expected: str | None = GENESIS
+
+        def status(line: str) -> str:
+            nonlocal expected
+            entry = _entry(line)
             if entry is None:
-                continue
+                return "unreadable"
             if key is not None and not hmac.compare_digest(str(entry.get("mac")), mac_of(entry, key)):
-                status[i], expected = "bad_mac", None
-            elif expected is not None and (entry.get("prev_hash") or GENESIS) != expected:
-                status[i], expected = "broken_chain", None
-            else:
-                status[i], expected = "ok", chain_hash(entry)
-        return pdf.assign(status=status)
+                expected = None
+                return "bad_mac"
+            if expected is not None and (entry.get("prev_hash") or GENESIS) != expected:
+                expected = None
+                return "broken_chain"
+            expected = chain_hash(entry)
+            return "ok"
+
+        return lambda pdf: pdf.assign(status=[status(x) for x in pdf["line"]])
+
+    return ordered_fold(lines.select("segment", "line_no", "line"), "segment", ["line_no"], begin, f"{ENTRY}, status string")
 
-    return lines.select("segment", "line_no", "line").groupBy("segment").applyInPandas(fold, f"{ENTRY}, status string")
+
+def _resealed(lines: DataFrame, key: bytes | None) -> DataFrame:
+    def begin():
+        last = GENESIS
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last
+            out = []
+            for number, line in zip(pdf["line_no"], pdf["line"], strict=True):
+                if (entry := _entry(line)) is not None:
+                    text, last = _sealed(entry, last, key)
+                    out.append((pdf["segment"][0], number, text))
+            return pd.DataFrame(out, columns=["segment", "line_no", "line"])
+
+        return step
+
+    return ordered_fold(lines.select("segment", "line_no", "line"), "segment", ["line_no"], begin, ENTRY)
 
 
 def seal(lines: DataFrame, key: bytes | None = None) -> DataFrame:
     """Lines with a chain from the genesis and, given a key, a mac; unreadable lines are dropped."""
+    return _resealed(lines, key)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no", ignore_index=True)
-        out, last = [], GENESIS
-        for i, entry in _entries(pdf):
-            if entry is None:
-                continue
-            entry["prev_hash"] = last
-            entry["mac"] = mac_of(entry, key) if key is not None else None
-            last = chain_hash(entry)
-            out.append((pdf["segment"][i], pdf["line_no"][i], json.dumps(entry, ensure_ascii=False, separators=(",", ":"))))
-        return pd.DataFrame(out, columns=["segment", "line_no", "line"])
-
-    return lines.select("segment", "line_no", "line").groupBy("segment").applyInPandas(fold, ENTRY)
+
+def append(lines: DataFrame, new: DataFrame, key: bytes | None = None) -> DataFrame:
+    """The sealed lines of ``new`` (segment, line_no, line: entries in their order), to be written behind ``lines``.
+
+    The first is chained to the last readable entry of its segment, or begins at
+    the genesis; line numbers go on behind the segment's last.
+    """
+    some = lines.join(new.select("segment").distinct(), "segment", "left_semi")
+    readable = F.get_json_object("line", "$.type").isin(*EVENT_TYPES) & F.get_json_object("line", "$.seq").isNotNull()
+    ends = some.groupBy("segment").agg(F.max("line_no").alias("end"), F.max_by("line", F.when(readable, F.col("line_no"))).alias("tail"))
+    rows = new.join(ends, "segment", "left").select("segment", "line_no", "line", F.coalesce("end", F.lit(-1)).alias("end"), "tail")
+
+    def begin():
+        last, n = None, 0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last, n
+            if last is None:
+                tail = _entry(pdf["tail"][0]) if isinstance(pdf["tail"][0], str) else None
+                last = chain_hash(tail) if tail else GENESIS
+            out = []
+            for line, end in zip(pdf["line"], pdf["end"], strict=True):
+                if (entry := _entry(line)) is not None:
+                    text, last = _sealed(entry, last, key)
+                    n += 1
+                    out.append((pdf["segment"][0], int(end) + n, text))
+            return pd.DataFrame(out, columns=["segment", "line_no", "line"])
+
+        return step
+
+    return ordered_fold(rows, "segment", ["line_no"], begin, ENTRY)
+
+
+def write(lines: DataFrame, folder: str) -> None:
+    """Append lines as text files, one folder for each segment; within a file they keep their order."""
+    ordered = lines.repartition("segment").sortWithinPartitions("segment", "line_no")
+    ordered.select("segment", F.col("line").alias("value")).write.mode("append").partitionBy("segment").text(folder)
+
+
+def migrate(lines: DataFrame, key: bytes | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sealed lines of the segments that need it, segments with status: sealed, kept or aborted).
+
+    A segment needs sealing where an entry lacks its link, or its mac while there
+    is a key.  Its torn last line is dropped, as it was never a whole append; a
+    torn line before that aborts the segment, which then stays as it is.
+    """
+    field = lambda name: F.get_json_object("line", f"$.{name}")
+    torn = ~(field("type").isin(*EVENT_TYPES) & field("seq").isNotNull() & field("ts").isNotNull() & field("device_id").isNotNull())
+    bare = field("prev_hash").isNull() | (field("mac").isNull() if key is not None else F.lit(False))
+    facts = lines.select("segment", "line_no", F.coalesce(torn, F.lit(True)).alias("torn"), bare.alias("bare")).groupBy("segment")
+    facts = facts.agg(F.max("line_no").alias("end"), F.min(F.when(F.col("torn"), F.col("line_no"))).alias("first_torn"), F.bool_or(~F.col("torn") & F.col("bare")).alias("needs"))
+    status = F.when(F.col("first_torn") < F.col("end"), "aborted").when(F.col("needs"), "sealed").otherwise("kept")
+    segments = facts.select("segment", status.alias("status"))
+    return _resealed(lines.join(segments.where("status = 'sealed'"), "segment", "left_semi"), key), segments
+
+
+def next_seq(log: DataFrame) -> DataFrame:
+    """(next_seq): one more than the greatest number in the whole log."""
+    return log.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next_seq"))
 
 
 def event_id(entry: dict) -> str:

@@ -1,12 +1,15 @@
-"""Structured Streaming: new log lines are appended, and the tables are derived again from the whole log.
+"""The log as it grows: new lines are appended to a table, and what they touch is derived again.
 
-Late events are never dropped: the log table is the state, and each batch
-re-derives.  The checkpoint makes a batch that is run again append nothing twice,
-as lines are written to a folder named by the batch.
+Segments are append-only files that grow in place, which a stream of files would
+read only once.  So each step lists them again and takes the lines behind those
+that the table has; late events are never dropped, as the table is the state.  A
+step writes to a folder named by its number, so one that is run again adds
+nothing twice.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +19,56 @@ from pyspark.sql.streaming import StreamingQuery
 from chartloom.operators import replay
 from chartloom.sources import log as L
 
+Derived = Callable[[dict[str, DataFrame], int], None]
 
-def stream_lines(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
-    """(segment, line_no, line) of segment files as they arrive; a file is read once, whole."""
-    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", most_files).load(folder)
-    named = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("segment"), "value")
-    lines = named.select("segment", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.where(F.trim("line") != "").select("segment", F.col("line_no").cast("long").alias("line_no"), "line")
 
+def known_lines(spark: SparkSession, table: str) -> DataFrame:
+    """(segment, line_no, line) that the table has, none if there is no table yet."""
+    return spark.read.schema(f"{L.ENTRY}, batch int").option("basePath", table).option("ignoreMissingFiles", "true").parquet(table).drop("batch")
 
-def start(spark: SparkSession, folder: str, table: str, checkpoint: str, objects: DataFrame, derived: Callable[[dict[str, DataFrame], int], None], **trigger) -> StreamingQuery:
-    """Append to ``table`` (a folder) and hand the derived tables of each batch to ``derived``."""
 
-    def batch(new: DataFrame, number: int) -> None:
-        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        whole = spark.read.parquet(table).drop("batch")
-        derived(replay.project(L.parse(whole), objects), number)
+def sync(spark: SparkSession, folder: str, table: str, objects: DataFrame, derived: Derived, number: int | None = None, changed_only: bool = False) -> None:
+    """One step: append the lines that ``table`` lacks, and hand the tables to ``derived``.
 
-    return stream_lines(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    With ``changed_only`` they hold the rows of the documents that the new lines touch.
+    """
+    number = int(time.time() * 1000) if number is None else number
+    try:
+        known = known_lines(spark, table)
+        have = known.groupBy("segment").agg(F.max("line_no").alias("_last"))
+    except Exception as missing:  # noqa: BLE001 - the first step finds no table
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        have = spark.createDataFrame([], "segment string, _last long")
+    lines = L.read_lines(spark, folder).join(have, "segment", "left")
+    lines.where(F.col("_last").isNull() | (F.col("line_no") > F.col("_last"))).drop("_last").write.mode("overwrite").parquet(f"{table}/batch={number}")
+    log = L.parse(known_lines(spark, table))
+    if changed_only:
+        fresh = L.parse(spark.read.schema(L.ENTRY).parquet(f"{table}/batch={number}"))
+        log = replay.about(log, replay.hashes_of(fresh))
+    derived(replay.project(log, objects), number)
+
+
+def start(spark: SparkSession, folder: str, table: str, checkpoint: str, objects: DataFrame, derived: Derived, changed_only: bool = False, **trigger) -> StreamingQuery:
+    """A streaming query whose ticks each do one ``sync``; by default every ten seconds."""
+
+    def batch(_: DataFrame, number: int) -> None:
+        sync(spark, folder, table, objects, derived, number, changed_only)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def watch(spark: SparkSession, inbox: str, archive: str, checkpoint: str, ingested: Callable[[DataFrame, int], None], most_files: int = 1000, **trigger) -> StreamingQuery:
+    """Files dropped into a folder, each once: (path, length, content) to ``ingested``, then moved below ``archive``.
+
+    Dot files, partial downloads and folders below are left alone.  A batch that
+    fails is tried again with the same files, which stay where they are until it
+    has passed; names are kept, as the archive repeats the path.
+    """
+    files = (
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", most_files).option("pathGlobFilter", "[!.]*").option("cleanSource", "archive").option("sourceArchiveDir", archive).load(inbox)
+    )
+    kept = files.where(~F.lower("path").rlike(r"(/[.][^/]*|[.](tmp|part|crdownload))$")).select("path", "length", "content")
+    return kept.writeStream.foreachBatch(ingested).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 
 from chartloom.operators import replay
 from chartloom.sources import files, log
@@ -107,16 +108,118 @@ def test_folder_ingest(spark, tmp_path):
     assert files.objects(found).count() == 3
 
 
-def test_streamed_batches_give_the_tables_of_the_whole_log(spark, tmp_path):
+def test_steps_see_appended_lines_and_give_the_tables_of_the_whole_log(spark, tmp_path):
     folder, seen = tmp_path / "log", {}
     folder.mkdir()
 
     def derived(made, number):
-        seen["document"] = sorted(map(tuple, made["document"].select("source_file_hash", "title").collect()))
-        seen["ocr"] = sorted(map(tuple, made["ocr_result"].select("source_file_hash", "page_no", "text").collect()))
+        document = sorted(map(tuple, made["document"].select("source_file_hash", "title").collect()))
+        ocr = sorted(map(tuple, made["ocr_result"].select("source_file_hash", "page_no", "text").collect()))
+        seen.update(document=document, ocr=ocr)
 
-    for part, some in enumerate((EVENTS[6:], EVENTS[3:6], EVENTS[:3])):
-        (folder / f"part{part}.jsonl").write_text("\n".join(json.dumps(e) for e in some) + "\n")
-        ingest.start(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "checkpoint"), objects(spark), derived).awaitTermination()
     want = tables(spark, lines_of(spark, EVENTS))
+    for part, (name, some) in enumerate((("b", EVENTS[6:]), ("a", EVENTS[3:5]), ("a", EVENTS[5:6] + EVENTS[:3]))):
+        with (folder / f"{name}.jsonl").open("a") as f:
+            f.write("\n".join(json.dumps(e) for e in some) + "\n\n")
+        ingest.sync(spark, str(folder), str(tmp_path / "table"), objects(spark), derived, part)
     assert seen == {"document": want["document"], "ocr": want["ocr_result"]}
+    with (folder / "c.jsonl").open("w") as f:
+        f.write("\n".join(json.dumps(e) for e in (file_added("c", 1, "2024-02-01T00:00:00Z", "f3"), document_added("c", 2, "2024-02-01T00:00:01Z", "f3", "third"))))
+    query = ingest.start(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "checkpoint"), objects(spark), derived, changed_only=True, processingTime="1 second")
+    for _ in range(60):
+        if seen["document"] == [(sha("f3"), "third")]:
+            break
+        time.sleep(1)
+    query.stop()
+    assert seen == {"document": [(sha("f3"), "third")], "ocr": []}
+
+
+def test_lines_of_a_segment_are_numbered_in_file_order(spark, tmp_path):
+    body = [f'{{"n": {i}}}' if i % 5 else "" for i in range(3000)]
+    (tmp_path / "s.jsonl").write_text("\n".join(body) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = {r.line_no: r.line for r in log.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: x for i, x in enumerate(body) if x}
+
+
+def test_a_slice_waits_for_its_file_and_its_document(spark):
+    def slice_added(seq, document, name):
+        return event("a", seq, f"2024-01-01T00:00:0{seq}Z", "ImagingInstanceAdded", document_ref={"source_file_hash": sha(document)}, source_file_hash=sha(name), study_uid=f"u{seq}")
+
+    events = [file_added("a", 1, "2024-01-01T00:00:00Z", "f1"), document_added("a", 2, "2024-01-01T00:00:01Z", "f1", "d"), slice_added(3, "f1", "f1"), slice_added(4, "f1", "f8"), slice_added(5, "f9", "f1"), slice_added(6, "f1", "f1")]
+    made = replay.project(log.parse(lines_of(spark, events)), objects(spark))
+    assert [(r.slice_hash, r.study_uid) for r in made["imaging_instance"].collect()] == [(sha("f1"), "u3")]
+    assert sorted((r.seq, r.waits_for) for r in made["deferred"].collect()) == [(4, "file"), (5, "document")]
+    assert made["document"].first().study_uid == "u3"
+    assert [r.id for r in replay.ids(made["document"]).collect()] == [1]
+
+
+def test_appending_and_migrating_segments(spark):
+    own = [json.dumps(file_added("a", i, f"2024-01-0{i}T00:00:00Z", f"f{i}")) for i in range(1, 5)]
+    rows = lambda name, lines: spark.createDataFrame([(name, i, x) for i, x in enumerate(lines)], "segment string, line_no long, line string")
+    first = log.seal(rows("a", own[:2]), KEY)
+    more = log.append(first, rows("a", own[2:]).unionByName(rows("b", own[:1])), KEY)
+    whole = first.unionByName(more)
+    assert sorted((r.segment, r.line_no, r.status) for r in log.verify(whole, KEY).collect()) == [("a", i, "ok") for i in range(4)] + [("b", 0, "ok")]
+    torn = rows("end", own + ["{torn"]).unionByName(rows("inside", [own[0], "{torn", own[1]])).unionByName(first)
+    sealed, segments = log.migrate(torn, KEY)
+    assert {r.segment: r.status for r in segments.collect()} == {"end": "sealed", "inside": "aborted", "a": "kept"}
+    assert sorted((r.segment, r.line_no, r.status) for r in log.verify(sealed, KEY).collect()) == [("end", i, "ok") for i in range(4)]
+    assert log.next_seq(log.parse(torn)).first().next_seq == 5
+
+
+def marks_of(spark, events, watermarks=(), files=(), documents=()):
+    known = lambda names: spark.createDataFrame([(sha(n),) for n in names], "source_file_hash string")
+    parsed = log.parse(lines_of(spark, events))
+    marks = spark.createDataFrame(list(watermarks), "device_id string, applied long")
+    applied, deferred, now = replay.settle(replay.pending(parsed, marks), known(files), known(documents), objects(spark), parsed.where("type = 'DocumentDeleted'"), marks)
+    ids = lambda df: sorted((r.device_id, r.seq) for r in df.collect())
+    return ids(applied), ids(deferred), {r.device_id: r.applied for r in now.collect()}
+
+
+def test_a_deferred_event_stops_its_device_and_what_hangs_on_it(spark):
+    at = lambda n: f"2024-01-01T00:00:0{n}Z"
+    events = [document_added("a", 1, at(0), "f9", "no file"), file_added("a", 2, at(1), "f1"), document_added("b", 1, at(2), "f1", "hangs on a"), file_added("b", 2, at(3), "f2"), file_added("c", 1, at(4), "f3"), document_added("c", 2, at(5), "f3", "fine")]
+    assert marks_of(spark, events) == ([("c", 1), ("c", 2)], [("a", 1), ("b", 1)], {"a": 0, "b": 0, "c": 2})
+    assert marks_of(spark, events, files=["f9"]) == ([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("c", 2)], [], {"a": 2, "b": 2, "c": 2})
+    # a higher number with an earlier time was applied first: the mark still stays below the deferred one
+    early = [file_added("a", 5, at(0), "f1"), document_added("a", 4, at(1), "f9", "no file"), page_added("a", 6, at(2), "f1", 1, "missing")]
+    assert marks_of(spark, early, [("a", 3)]) == ([("a", 5)], [("a", 4)], {"a": 3})
+    gone = [event("a", 1, at(9), "DocumentDeleted", source_file_hash=sha("f9"), deleted_at="x"), document_added("a", 2, at(1), "f9", "gone"), page_added("a", 3, at(2), "f9", 1, "missing")]
+    assert marks_of(spark, gone) == ([("a", 1), ("a", 2), ("a", 3)], [], {"a": 3})
+
+
+def test_tables_become_a_log_that_gives_them_again(spark):
+    made = replay.project(log.parse(lines_of(spark, EVENTS)), objects(spark))
+    events, texts, marks = replay.events_from_tables(made["source_file"], made["document"], made["ocr_result"], "new", "2025-01-01T00:00:00Z")
+    again = replay.project(events, texts)
+    pick = lambda t: {k: sorted(map(tuple, t[k].select(*c).collect())) for k, c in {"source_file": ["content_hash", "original_name"], "document": ["source_file_hash", "title"], "ocr_result": ["source_file_hash", "page_no", "text"]}.items()}
+    assert pick(again) == pick(made) and again["deferred"].count() == 0
+    assert [tuple(r) for r in marks.collect()] == [("new", 4)] and sorted(r.seq for r in events.collect()) == [1, 2, 3, 4]
+    gone = replay.delete_events(made["document"], spark.createDataFrame([(sha("f1"),), (sha("f7"),)], "source_file_hash string"), "new", "2025-01-02T00:00:00Z", 5)
+    assert [(r.type, r.seq, r.source_file_hash) for r in gone.collect()] == [("DocumentDeleted", 5, sha("f1"))]
+    assert replay.project(events.unionByName(gone), texts)["document"].count() == 0
+    filled = replay.backfill_events(spark.createDataFrame([(sha("f1"), " new ", 0.5), (sha("f1x"), "x", None), (sha("f1"), " ", None)], "source_file_hash string, text string, confidence double"), made["document"], "x", "1", "new", "2025-01-01T00:00:00Z", 5)
+    assert [(r.document_ref.source_file_hash, r.text_hash, r.page_no) for r in filled.collect()] == [(sha("f1"), sha("new"), 1)]
+    share = replay.export_event(spark, "k", "s", 3, "d", "t", 9, expires="2026").first()
+    assert (share.type, share.record_count, share.expires, share.kind) == ("ShareCreated", 3, "2026", None)
+    new = spark.createDataFrame([(sha("f1"),), ("x",)], "content_hash string")
+    assert sorted((r.content_hash, r.deduped) for r in replay.import_dedup(new, made["source_file"]).collect()) == sorted([(sha("f1"), True), ("x", False)])
+    double = spark.createDataFrame([(2, "d", "s"), (1, "d", "s"), (3, "d", "t")], "id int, d string, s string")
+    assert sorted(r.id for r in replay.first_slices(double, "id", "d", "s").collect()) == [1, 3]
+
+
+def test_watched_folders_take_each_file_once(spark, tmp_path):
+    inbox, seen = tmp_path / "inbox", []
+    inbox.mkdir()
+    for name in ("a.txt", ".b.txt", "c.part"):
+        (inbox / name).write_text(name)
+    take = lambda df, n: seen.extend(r.path.split("/")[-1] for r in df.collect())
+    for _ in range(2):
+        ingest.watch(spark, str(inbox), str(tmp_path / "done"), str(tmp_path / "checkpoint"), take).awaitTermination()
+        (inbox / "d.txt").write_text("d")
+    assert sorted(seen) == ["a.txt", "d.txt"]
