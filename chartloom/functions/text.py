@@ -106,17 +106,20 @@ def classify(text: Column, rules=TYPE_RULES) -> Column:
     return F.when(text.isNotNull(), found)
 
 
-def demographics(text: Column) -> Column:
+# fixed values: how a page names its patient; the birth date's parts are groups 1 to 3
+DEMOGRAPHICS = {
+    "name": r"(?:姓名|名字)[:：]\s*([^\s，,;；、0-9]{1,10})", "gender": r"性别[:：]\s*([男女])", "age": r"年龄[:：]\s*([0-9]{1,3})",
+    "birth_date": r"(?:出生日期|出生|生日)[:：]\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})",
+}
+
+
+def demographics(text: Column, patterns: dict[str, str] = DEMOGRAPHICS) -> Column:
     """struct(name, gender, birth_date, age), each null where it isn't found."""
-    none = lambda c: F.when(c != "", c)
-    birth = r"(?:出生日期|出生|生日)[:：]\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"
-    part = lambda i: F.regexp_extract(text, birth, i)
-    return F.struct(
-        none(F.regexp_extract(text, r"(?:姓名|名字)[:：]\s*([^\s，,;；、0-9]{1,10})", 1)).alias("name"),
-        none(F.regexp_extract(text, r"性别[:：]\s*([男女])", 1)).alias("gender"),
-        F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))).alias("birth_date"),
-        none(F.regexp_extract(text, r"年龄[:：]\s*([0-9]{1,3})", 1)).alias("age"),
-    )
+    first = lambda field: F.regexp_extract(text, patterns[field], 1)
+    part = lambda i: F.regexp_extract(text, patterns["birth_date"], i)
+    birth = F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+    found = {f: F.when(first(f) != "", first(f)) for f in ("name", "gender", "age")} | {"birth_date": birth}
+    return F.struct(*(found[f].alias(f) for f in ("name", "gender", "birth_date", "age")))
 
 
 def frequency(line: Column) -> Column:

@@ -20,6 +20,16 @@ def series(points: DataFrame, group: list[str], date: str, value: str, position:
     )
 
 
+def any_abnormal(points: DataFrame, group: list[str], flag: str = "flag") -> DataFrame:
+    """(group, any_abnormal): whether any point is high or low."""
+    return points.groupBy(*group).agg(F.coalesce(F.bool_or(F.col(flag).isin("H", "L")), F.lit(False)).alias("any_abnormal"))
+
+
+def unattached(rows: DataFrame, attached: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that no problem has claimed."""
+    return rows.join(attached.select(*keys).distinct(), keys, "left_anti")
+
+
 def latest(rows: DataFrame, group: list[str], date: str, position: list[str], values: list[str], where: Column | None = None) -> DataFrame:
     """The values of the latest row of each group; undated rows come first, of equal dates the earliest row counts."""
     order = F.struct(F.col(date).isNotNull(), date, *(-F.col(p) for p in position))

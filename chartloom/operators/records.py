@@ -149,6 +149,48 @@ def search_results(pages: DataFrame, documents: DataFrame, query: str, limit: in
     return documents.join(hits, key)
 
 
+#: So many phrases are broadcast, some 200 bytes each; with more, the openings are joined by a shuffle.
+BROADCAST_PHRASES = 100_000
+
+
+def phrase_hits(documents: DataFrame, phrases: DataFrame, document: str, phrase: str, text: str = "text") -> DataFrame:
+    """(document, phrase), each once: the documents whose text contains the phrase's, character by character.
+
+    A text that has a phrase has all its inner words whole: up to six of them are
+    found by equality, then the whole phrase is looked for.  Phrases without inner
+    words are looked for in every text.
+    """
+    inner = lambda c: F.greatest(F.least(F.size(F.split(c, " ")) - 2, F.lit(6)), F.lit(0))
+    items = phrases.where(F.col(text).isNotNull()).select(phrase, F.col(text).alias("_phrase"), inner(F.col(text)).alias("_n"))
+    items = items.withColumn("_opening", F.array_join(F.slice(F.split("_phrase", " "), 2, F.greatest("_n", F.lit(1))), " "))
+    few = items.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    look = F.broadcast(items) if few else items
+    docs = documents.select(document, F.col(text).alias("_text")).where("_text IS NOT NULL")
+    sizes = sorted(r[0] for r in items.select("_n").distinct().collect())  # at most seven
+
+    def windows(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), F.array_join(F.slice(w, i, n), " ").alias("_opening")))
+
+    found = None
+    if 0 in sizes:
+        # no whole word to find them by: all texts are asked for each, in blocks of a checked size
+        whole = items.where("_n = 0").select(phrase, "_phrase")
+        blocks = whole.count() // BROADCAST_PHRASES + 1
+        for b in range(blocks):
+            part = whole.where(F.pmod(F.xxhash64(phrase), F.lit(blocks)) == b).collect()
+            asked = F.array(*(F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("p")) for r in part))
+            had = let(F.col("_text"), lambda t: F.transform(F.filter(asked, lambda p: t.contains(p["p"])), lambda p: p["id"]))  # noqa: B023
+            own = docs.select(document, F.explode(had).alias(phrase))
+            found = own if found is None else found.union(own)
+    if some := [n for n in sizes if n > 0]:
+        grams = docs.select(document, F.explode(let(F.split("_text", " "), lambda w: F.array_distinct(F.concat(*(windows(w, n) for n in some))))).alias("_g")).select(document, "_g.*")
+        near = grams.join(look, ["_n", "_opening"]).select(document, phrase, "_phrase").distinct()
+        long = near.join(docs, document).where(F.col("_text").contains(F.col("_phrase"))).select(document, phrase)
+        found = long if found is None else found.union(long)
+    return docs.select(document, F.explode(F.array().cast(items.select(F.array(phrase).alias("a")).schema["a"].dataType)).alias(phrase)) if found is None else found.distinct()
+
+
 def page_texts(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
     """(document, text): the pages' texts in order, joined by line feeds."""
     ordered = F.array_sort(F.collect_list(F.struct(page, text)))
@@ -320,13 +362,13 @@ def mode_of(df: DataFrame, group: list[str], value: str, position: str | None =
     return counts.groupBy(*group).agg(F.min_by(F.struct(value, "n"), best).alias("_b"), F.count("*").alias("n_kinds")).select(*group, f"_b.{value}", "_b.n", "n_kinds")
 
 
-def patient_profile(pages: DataFrame, group: str, text: str = "text") -> DataFrame:
+def patient_profile(pages: DataFrame, group: str, text: str = "text", demographics: dict[str, str] = T.DEMOGRAPHICS) -> DataFrame:
     """(group, name, gender, birth_date, age, record_count): the commonest value of each over the patient's pages, of equals the smallest.
 
     ``record_count`` counts pages, not documents.
     """
     fields = ("name", "gender", "birth_date", "age")
-    said = pages.select(group, T.demographics(F.col(text)).alias("d"))
+    said = pages.select(group, T.demographics(F.col(text), demographics).alias("d"))
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"d.{f}").cast("string").alias("value")) for f in fields))
     counts = said.select(group, F.explode(pairs).alias("p")).where("p.value IS NOT NULL").groupBy(group, "p.field", "p.value").agg(F.count("*").alias("n"))
     best = counts.groupBy(group).agg(*(F.min_by("value", F.when(F.col("field") == f, F.struct(-F.col("n"), "value"))).alias(f) for f in fields))
