@@ -184,7 +184,7 @@ def phrase_hits(documents: DataFrame, phrases: DataFrame, document: str, phrase:
             own = docs.select(document, F.explode(had).alias(phrase))
             found = own if found is None else found.union(own)
     if some := [n for n in sizes if n > 0]:
-        grams = docs.select(document, F.explode(let(F.split("_text", " "), lambda w: F.array_distinct(F.concat(*(windows(w, n) for n in some))))).alias("_g")).select(document, "_g.*")
+        grams = docs.select(document, F.explode(let(F.split("_text", " "), lambda w: F.concat(*(windows(w, n) for n in some)))).alias("_g")).select(document, "_g.*")
         near = grams.join(look, ["_n", "_opening"]).select(document, phrase, "_phrase").distinct()
         long = near.join(docs, document).where(F.col("_text").contains(F.col("_phrase"))).select(document, phrase)
         found = long if found is None else found.union(long)

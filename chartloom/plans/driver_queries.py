@@ -472,7 +472,7 @@ def decode_bound(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fits.alias("fits"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size, replace(replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') AS html FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) END AS size, replace(replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') AS html FROM documents WHERE n_chars < 1048576")
 def small_formats(t):
     rows = t("documents").where("n_chars < 1048576")
     return rows.select("doc_id", T.byte_size(F.col("n_chars")).alias("size"), share.escaped(F.substring("text", 1, 80)).alias("html"))
@@ -514,10 +514,11 @@ def span_text(t):
     return spans.withColumn("span", T.span_text(F.col("a"), F.col("b")))
 
 
-@query(r"""WITH line AS (SELECT doc_id, i AS line_no, trim(string_split(text, chr(10))[i], ' ' || chr(9) || chr(13)) AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i))
+@query(r"""WITH line AS (SELECT doc_id, i AS line_no, trim(string_split(replace(text, '. ', ':' || chr(10)), chr(10))[i], ' ' || chr(9) || chr(13)) AS line FROM documents, unnest(range(1, len(string_split(replace(text, '. ', ':' || chr(10)), chr(10))) + 1)) AS u(i))
     SELECT doc_id, line_no, line AS text FROM line WHERE length(line) <= 14 AND ends_with(line, ':')""")
 def section_heads(t):
-    found = blocks.section_heads(records.line_rows(t("documents").select("doc_id", "text"), "doc_id"), "doc_id")
+    texts = t("documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(":\n")).alias("text"))
+    found = blocks.section_heads(records.line_rows(texts, "doc_id"), "doc_id")
     return found.where(F.col("text").endswith(":")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
