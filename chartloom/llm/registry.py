@@ -39,7 +39,7 @@ def op8_pii(spark, sf_dir):
 
 
 def op9_sentencepiece(spark, sf_dir):
-    return sentencepiece_sampling.encode(table(spark, sf_dir, "documents"))
+    return sentencepiece_sampling.encode(table(spark, sf_dir, "documents"), restore=True)
 
 
 def op10_secret_scan(spark, sf_dir):

@@ -18,7 +18,6 @@ or retries.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -377,7 +376,7 @@ def encode_texts(texts: list[str | None], keys: list[str], lattices: Lattices, k
             yield first + j, found
 
 
-def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = None) -> DataFrame:
+def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = None, restore: bool = False) -> DataFrame:
     """(doc_id, sample, n_pieces, log_prob, perturbed, inclusion, ids): up to ``k`` rows for each row of ``documents``.
 
     Samples are numbered from 0 in falling order of their perturbed
@@ -385,7 +384,9 @@ def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = N
     ``inclusion`` is the chance of being among the k given the (k+1)-th value.
     The row key is the doc_id (null: a key of its own), so repeated rows are
     sampled alike.  Null and empty texts have one segmentation, without pieces.
-    Texts are read whole.
+    Texts are read whole; an empty table gives no rows.  Other columns of the input
+    are not read, so their names don't matter.  With ``restore`` each sample is
+    decoded again and ``restored`` says whether that gives the text (null: empty).
     """
     path = path or model_path()
 
@@ -396,7 +397,11 @@ def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = N
             rows: list[tuple[int, int, dict]] = []
             size = 0
             for i, found in encode_texts(texts, [f"{seed}:{d}" for d in ids], lattices, k):
-                rows += [(ids[i], r, {c: s[c] for c in ("log_prob", "perturbed", "inclusion", "ids")}) for r, s in enumerate(found)]
+                for r, s in enumerate(found):
+                    kept = {c: s[c] for c in ("log_prob", "perturbed", "inclusion", "ids")}
+                    if restore:
+                        kept["restored"] = lattices.vocabulary.decode(s["ids"].tolist()) == (texts[i] or "")
+                    rows.append((ids[i], r, kept))
                 size += sum(len(s["ids"]) for s in found)
                 if size > 1 << 20 or i == len(texts) - 1:
                     yield _batch(rows)
@@ -408,10 +413,13 @@ def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = N
         offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
         plain = [pa.array([s[c] for *_, s in rows], pa.float64()) for c in ("log_prob", "perturbed", "inclusion")]
         columns = [pa.array([d for d, *_ in rows], pa.int64()), pa.array([r for _, r, _ in rows], pa.int32()), pa.array(count), *plain, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids"])
+        names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids"]
+        if restore:
+            columns, names = [*columns, pa.array([s["restored"] for *_, s in rows], pa.bool_())], [*names, "restored"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>" + (", restored boolean" if restore else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -427,7 +435,3 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     rows = encoded.select(*own)
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "text string"]))
-
-
-def digest(ids) -> str:
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()

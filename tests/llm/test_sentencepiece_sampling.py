@@ -96,3 +96,5 @@ def test_rows_do_not_depend_on_partitions(spark):
     decoded = sampling.decode(sampling.encode(documents, k=2)).collect()
     assert all(r.text == (text[r.doc_id] or "") for r in decoded) and key(got[0])
     assert sampling.encode(documents.limit(0)).collect() == []
+    restored = sampling.encode(documents, restore=True).collect()
+    assert len(restored) == len(got) and all(r.restored for r in restored)
