@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 
+# fixed values: the shape of a laboratory row, numbers, ranges, list marks, doses, usage lines and routes
 ROW = r"^\s*(.*?)[\s:：]+(-?[0-9]+(?:\.[0-9]+)?)\s*(.*)$"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 BOTH, HIGH, LOW = rf"({NUMBER})\s*[-~]\s*({NUMBER})", rf"[<≤]=?\s*({NUMBER})", rf"[>≥]=?\s*({NUMBER})"

@@ -17,6 +17,7 @@ OTHER_HEADERS = "出院诊断 入院诊断 初步诊断 主要诊断 临床诊
 DIAGNOSIS_LABELS = "出院诊断 入院诊断 初步诊断 主要诊断 其他诊断 临床诊断 诊断".split()
 IMAGING_FINDINGS, IMAGING_IMPRESSIONS = "影像所见 检查所见 超声所见 所见".split(), "诊断意见 影像诊断 超声提示 影像提示 检查提示 心电图诊断 印象 结论 意见".split()
 PATHOLOGY_FINDINGS, PATHOLOGY_IMPRESSIONS = "病理所见 免疫组化 镜下所见 肉眼所见".split(), ["病理诊断"]
+# fixed values: what ends a conclusion, modalities with their words and codes, parts of the body, first match counts
 END_OF_BLOCK = "建议 报告医师 审核医师 检查医师 记录医师 诊断医师 医师签名 签名 医师: 医师：".split()
 MODALITIES = (
     ("MRI", ("磁共振",), ("MRI", "MR")), ("超声", ("超声", "彩超", "B超"), ("US",)), ("钼靶", ("钼靶",), ()), ("PET", (), ("PET",)), ("造影", ("造影",), ()),

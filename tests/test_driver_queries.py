@@ -33,9 +33,7 @@ def duck():
 def test_query_matches_its_sql(name, spark, duck):
     got = QUERIES[name](spark, FOLDER)
     rows = sorted(tuple(plain(r[c]) for c in sorted(got.columns)) for r in got.collect())
-    if name not in ORACLES:
-        assert rows is not None
-        return
+    assert name in ORACLES
     cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     want = sorted(tuple(plain(r[columns.index(c)]) for c in sorted(columns)) for r in cursor.fetchall())
