@@ -71,6 +71,19 @@ def headers(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def studies(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, study, document, new, title, summary) of readable files: which document each is a slice of.
+
+    ``known``: study_uid and document of the studies that have one.  A new study's
+    document is its least path; a file without a study is one of its own.
+    """
+    rows = tags.where("readable").select("path", "study_uid", F.coalesce("study_uid", "path").alias("study"), title(F.element_at(F.split("path", "/"), -1)).alias("title"), summary().alias("summary"))
+    have = known.where("study_uid IS NOT NULL").groupBy(F.col("study_uid").alias("study")).agg(F.min("document").alias("_document"))
+    first = rows.groupBy("study").agg(F.min("path").alias("_first"))
+    joined = rows.join(first, "study").join(have, "study", "left")
+    return joined.select("path", "study", F.coalesce("_document", "_first").alias("document"), F.col("_document").isNull().alias("new"), "title", "summary")
+
+
 def title(name: Column) -> Column:
     """Modality and body part, else the description, else the modality, else the file's name."""
     return F.coalesce(F.concat("modality", F.lit(" · "), "body_part"), "description", "modality", name)

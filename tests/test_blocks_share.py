@@ -94,6 +94,15 @@ def test_image_headers(spark):
     assert got["b"].modality == got["b"].title == "CT" and [got[p].readable for p in "abcde"] == [True, True, False, False, False] and got["c"].title == "c"
 
 
+def test_slices_find_the_document_of_their_study(spark):
+    rows = [("b", "u", True), ("a", "u", True), ("c", None, True), ("d", "v", True), ("e", None, False)]
+    columns = [c for c in dicom.TAGS.values() if c != "study_uid"]
+    tags = spark.createDataFrame(rows, "path string, study_uid string, readable boolean").select("*", *(F.lit(None).cast("string").alias(c) for c in columns))
+    known = spark.createDataFrame([("v", "old"), (None, "x")], "study_uid string, document string")
+    got = {r.path: (r.document, r.new, r.title) for r in dicom.studies(tags, known).collect()}
+    assert got == {"a": ("a", True, "a"), "b": ("a", True, "b"), "c": ("c", True, "c"), "d": ("old", False, "d")}
+
+
 def test_vaults_and_captures(spark):
     some = lambda *rows: spark.createDataFrame(list(rows), "segment string, line_no long, line string")
     mine, theirs = some(("a", 0, "x"), ("b", 0, "yy"), ("b", 1, "z")), some(("a", 0, "x"), ("a", 1, "longer"), ("b", 0, "zzzz"), ("c", 0, "c"))
