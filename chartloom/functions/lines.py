@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
+from chartloom.functions.columns import let
 
 # fixed values: the shape of a laboratory row, numbers, ranges, list marks, doses, usage lines and routes
 ROW = r"^\s*(.*?)[\s:：]+(-?[0-9]+(?:\.[0-9]+)?)\s*(.*)$"
@@ -58,22 +59,30 @@ def lab_rows(lines: DataFrame, key: str) -> DataFrame:
 
 
 def medication_rows(lines: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, raw_name, dose, dose_unit, frequency, has_evidence): the name is what stands before the dose and the frequency."""
-    rows = lines.select(key, "line_no", T.trimmed(F.regexp_replace("line", MARKER, "")).alias("line")).where(F.col("line") != "")
-    code = T.frequency(F.col("line"))
-    pattern = F.lit(None).cast("string")
-    for name, p in reversed(T.FREQUENCIES):
-        pattern = F.when(code == name, p).otherwise(pattern)
-    dose_at = F.regexp_instr("line", F.lit(DOSE))
-    rows = rows.withColumns({"frequency": code, "_p": pattern, "_d": F.when(dose_at > 0, dose_at)})
-    rows = rows.withColumn("_f", F.when(F.col("_p").isNotNull(), F.regexp_instr("line", F.col("_p"))))
-    name = F.when(F.coalesce("_d", "_f").isNull(), F.col("line")).otherwise(F.substring("line", F.lit(1), F.least("_d", "_f") - 1))
+    """(key, line_no, raw_name, dose, dose_unit, frequency, has_evidence): the name is what stands before the dose and the frequency.
+
+    A line is parsed once, into a struct that a generator hands on: as plain
+    columns its steps would be copied into each condition.
+    """
     peel = rf"(?i)(?:[\s,，、:：(（]|{'|'.join(ROUTES)})+$"
-    rows = rows.withColumn("raw_name", T.trimmed(F.regexp_replace(name, peel, "")))
-    rows = rows.where(F.col("raw_name").rlike(r"\p{L}") & ~F.col("raw_name").rlike("[，,。；;、：:]") & ~F.col("raw_name").rlike(USAGE))
+
+    def named(x: Column) -> Column:
+        at = F.least(x["dose_at"], x["f"]["at"])
+        name = F.when(at.isNull(), x["line"]).otherwise(F.substring(x["line"], F.lit(1), at - 1))
+        return F.struct(x["line"].alias("line"), T.trimmed(F.regexp_replace(name, peel, "")).alias("raw_name"), x["dose_at"].alias("dose_at"), x["f"]["code"].alias("frequency"))
+
+    def parsed(line: Column) -> Column:
+        codes = F.array(*(F.struct(F.lit(code).alias("code"), F.regexp_instr(line, F.lit(p)).alias("at")) for code, p in T.FREQUENCIES))
+        dose = F.regexp_instr(line, F.lit(DOSE))
+        first = F.get(F.filter(codes, lambda c: c["at"] > 0), 0)
+        return let(F.struct(line.alias("line"), F.when(dose > 0, dose).alias("dose_at"), first.alias("f")), named)
+
+    usable = lambda m: (m["line"] != "") & m["raw_name"].rlike(r"\p{L}") & ~m["raw_name"].rlike("[，,。；;、：:]") & ~m["raw_name"].rlike(USAGE)
+    line = T.trimmed(F.regexp_replace("line", MARKER, ""))
+    rows = lines.select(key, "line_no", F.explode(F.filter(F.array(let(line, parsed)), usable)).alias("m"))
     return rows.select(
-        key, "line_no", "raw_name", _group(F.col("line"), DOSE, 1).cast("double").alias("dose"), T.dose_unit(_group(F.col("line"), DOSE, 2)).alias("dose_unit"),
-        "frequency", (F.col("_d").isNotNull() | F.col("frequency").isNotNull()).alias("has_evidence"),
+        key, "line_no", "m.raw_name", _group(F.col("m.line"), DOSE, 1).cast("double").alias("dose"), T.dose_unit(_group(F.col("m.line"), DOSE, 2)).alias("dose_unit"),
+        "m.frequency", (F.col("m.dose_at").isNotNull() | F.col("m.frequency").isNotNull()).alias("has_evidence"),
     )
 
 
