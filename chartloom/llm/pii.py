@@ -200,8 +200,9 @@ def _scanned(documents: DataFrame, name: str) -> DataFrame:
 
     def found(t: Column) -> Column:
         proposals = {k: spans.find_if(t.rlike(MAY[k]), t, p) for k, p in GENERATORS.items()}
-        blocks = F.when(F.exists(F.array(*(F.size(p) > 0 for p in proposals.values())), lambda x: x), spans.blocks(t)).otherwise(F.array().cast("array<string>"))
-        return F.struct(blocks.alias("t"), *(c.alias(k) for k, c in (base_spans(t) | proposals).items()))
+        # the blocks are only needed for the context of proposals
+        whole = lambda x: F.struct(F.when(F.size(x["number"]) + F.size(x["code"]) + F.size(x["address"]) > 0, spans.blocks(t)).otherwise(F.array().cast("array<string>")).alias("t"), *(x[k].alias(k) for k in KINDS))
+        return let(F.struct(*(c.alias(k) for k, c in (base_spans(t) | proposals).items())), whole)
 
     rows = documents.withColumn(found_name, let(F.coalesce(F.col("text").cast("string"), F.lit("")), found))
     f = f"`{found_name}`"
