@@ -170,7 +170,8 @@ def phrase_hits(documents: DataFrame, phrases: DataFrame, document: str, phrase:
 
     def windows(w: Column, n: int) -> Column:
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), F.array_join(F.slice(w, i, n), " ").alias("_opening")))
+        # by places, as a slice copies the whole array first
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), F.concat_ws(" ", *(F.get(w, i + (k - 1)) for k in range(n))).alias("_opening")))
 
     found = None
     if 0 in sizes:
