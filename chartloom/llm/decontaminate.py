@@ -43,6 +43,11 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _window(words: Column, start: Column, size: int) -> Column:
+    """The ``size`` words from ``start`` (from 1) as an array, word by word: a slice would copy all words of a text first."""
+    return F.array(*(F.get(words, start + (k - 1)) for k in range(size)))
+
+
 def _constants(rows: list, n: int) -> str:
     """JSON of the buckets; driver-side, at most MAX_WINDOWS rows."""
     buckets: list[list[dict]] = [[] for _ in range(n)]
@@ -58,7 +63,7 @@ def _by_constants(words: Column, rows: list, buckets: int) -> Column:
     for size in sorted({len(r["words"]) for r in rows}):
         heads = sorted({r["words"][0] for r in rows if len(r["words"]) == size})
         found = lambda w, i, size=size: let(
-            F.slice(w, i, size), lambda g: F.filter(F.element_at(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int") + 1), lambda e: e["w"] == g)
+            _window(w, i, size), lambda g: F.filter(F.element_at(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int") + 1), lambda e: e["w"] == g)
         )
         starts = lambda w, size=size: F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
         at = lambda w, size=size, heads=heads, found=found, starts=starts: F.transform(
@@ -81,7 +86,7 @@ def _by_join(texts: DataFrame, windows: DataFrame) -> DataFrame:
     def grams_of(size: int) -> Column:
         """struct(size, start, hash) of each window of ``size`` words."""
         starts = F.when(F.size("words") >= size, F.sequence(F.lit(1), F.size("words") - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return let(F.col("words"), lambda w: F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), F.xxhash64(F.slice(w, i, size)).alias("hash"))))
+        return let(F.col("words"), lambda w: F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), F.xxhash64(_window(w, i, size)).alias("hash"))))
 
     if not sizes:
         return split.select("key", F.array().cast(HIT).alias("hits")).limit(0)
