@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import conversations, decontaminate, fill_in_middle, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_sampling, simhash, substring_dedup, toxicity, url_filter
+from chartloom.llm import conversations, decontaminate, fill_in_middle, licenses, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_sampling, simhash, substring_dedup, toxicity, url_filter
 from chartloom.llm.base import table
 
 
@@ -54,5 +54,9 @@ def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op9_sentencepiece, op10_secret_scan, op11_conversation_repair, op12_fill_in_middle)}
-ORACLES = {"op1_suffix_array_dedup": substring_dedup.ORACLE, "op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE, "op11_conversation_repair": conversations.oracle(), "op12_fill_in_middle": fill_in_middle.ORACLE}
+def op13_license_scan(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_decontamination, op6_quality_rules, op7_simhash, op8_pii, op9_sentencepiece, op10_secret_scan, op11_conversation_repair, op12_fill_in_middle, op13_license_scan)}
+ORACLES = {"op1_suffix_array_dedup": substring_dedup.ORACLE, "op3_url_filters": url_filter.oracle(), "op5_decontamination": decontaminate.ORACLE, "op11_conversation_repair": conversations.oracle(), "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_license_scan": licenses.oracle()}
