@@ -34,7 +34,7 @@ FREQUENCIES = (
 # full-width forms and what they stand for
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
-MIME_TYPES = {"pdf": "application/pdf", "txt": "text/plain", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "heic": "image/heic", "dcm": "application/dicom", "tif": "image/tiff", "tiff": "image/tiff"}
+MIME_TYPES = {"pdf": "application/pdf", "txt": "text/plain", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "heic": "image/heic", "heif": "image/heic", "dcm": "application/dicom", "tif": "image/tiff", "tiff": "image/tiff"}
 
 
 def fold_radicals(text: Column) -> Column:

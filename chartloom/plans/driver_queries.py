@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from chartloom.functions import blocks
 from chartloom.functions import text as T
 from chartloom.operators import clinical, ordering, records, replay, share, terms
-from chartloom.schemas import MIME
 from chartloom.sources import files, vault
 from chartloom.sources import log as L
 
@@ -459,11 +458,15 @@ def type_facet(t):
     return records.type_facet(t("documents").withColumn("doc_type", kind), ["source"])
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '\.html$') THEN 'application/octet-stream' ELSE 'image/png' END AS mime, 'application/octet-stream' AS bad FROM pages""")
+NAMED = r"regexp_replace(url, '^.*/([^/?#]*).*$', '\1')"
+
+
+@query(rf"""SELECT page_id, CASE WHEN regexp_matches(url, '\.html$') THEN 'application/octet-stream' WHEN page_id % 3 = 0 THEN 'image/heic' ELSE 'image/png' END AS mime,
+    CASE WHEN regexp_matches('text/' || {NAMED}, '^[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]*/[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]*$') THEN 'text/' || {NAMED} ELSE 'application/octet-stream' END AS clean FROM pages""")
 def mime_types(t):
-    name = F.when(F.col("url").rlike("[.]html$"), F.col("url")).otherwise(F.concat("url", F.lit(".PNG")))
-    bad = F.when(F.concat(F.lit("text/"), "url").rlike(MIME), "text").otherwise("application/octet-stream")
-    return t("pages").select("page_id", T.mime_of(name).alias("mime"), bad.alias("bad"))
+    name = F.when(F.col("url").rlike("[.]html$"), F.col("url")).otherwise(F.concat("url", F.when(F.col("page_id") % 3 == 0, ".heif").otherwise(".PNG")))
+    given = F.concat(F.lit("text/"), F.regexp_replace("url", "^.*/([^/?#]*).*$", "$1"))
+    return t("pages").select("page_id", T.mime_of(name).alias("mime"), replay.clean_mime(given).alias("clean"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_partkey * l_suppkey * CAST(ceil(l_linenumber * 3 / 8.0) AS BIGINT) * 3 * l_orderkey <= 536870912 AS fits FROM lineitem")
@@ -472,10 +475,10 @@ def decode_bound(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fits.alias("fits"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) END AS size, replace(replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') AS html FROM documents WHERE n_chars < 1048576")
+@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 10 / 1048576.0 + 0.5) / 10) END AS size,
+    sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')) AS html FROM documents""")
 def small_formats(t):
-    rows = t("documents").where("n_chars < 1048576")
-    return rows.select("doc_id", T.byte_size(F.col("n_chars")).alias("size"), share.escaped(F.substring("text", 1, 80)).alias("html"))
+    return t("documents").select("doc_id", T.byte_size(F.col("n_chars")).alias("size"), F.sha2(share.escaped(F.col("text")), 256).alias("html"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS text, CAST(o_orderdate AS DATE) AS day FROM orders")

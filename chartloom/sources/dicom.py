@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 
-# fixed values: tags (group, element) and their columns; kinds of values that have a four-byte length; what modalities are called
+# fixed values: tags (group, element) and their columns; kinds of values that have a four-byte length; what modalities are called; labels of the searchable lines below
 TAGS = {
     (0x0008, 0x0060): "modality", (0x0008, 0x0020): "study_date", (0x0008, 0x1030): "description", (0x0008, 0x0080): "institution", (0x0010, 0x0010): "patient_name", (0x0018, 0x0015): "body_part",
     (0x0020, 0x000D): "study_uid", (0x0020, 0x000E): "series_uid", (0x0020, 0x0011): "series_number", (0x0020, 0x0013): "instance_number", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns", (0x0028, 0x0008): "frames",
@@ -23,42 +23,73 @@ SCHEMA = "path string, " + ", ".join(f"{c} {'int' if c in NUMBERS else 'string'}
 END = (0x7FE0, 0x0010)
 
 
+# fixed values: what a file calls its character set, and the decoders' names
+CHARSETS = {"ISO_IR 192": "utf-8", "GB18030": "gb18030", "GBK": "gbk", "ISO 2022 IR 58": "gb2312", "ISO_IR 100": "latin-1", "ISO 2022 IR 87": "iso2022_jp", "ISO_IR 13": "shift_jis", "ISO 2022 IR 149": "euc_kr"}
+CHARSET, ITEM_GROUP, UNSTATED = (0x0008, 0x0005), 0xFFFE, 0xFFFFFFFF
+
+
+def _element(data: bytes, at: int) -> tuple[tuple[int, int], int, int]:
+    """(tag, length, place of the value) of the element at ``at``, explicit or implicit; items of sequences have no kind."""
+    tag = struct.unpack_from("<HH", data, at)
+    kind = data[at + 4 : at + 6]
+    if tag[0] != ITEM_GROUP and kind.isalpha() and kind.isupper():
+        if kind in LONG:
+            return tag, struct.unpack_from("<I", data, at + 8)[0] if at + 12 <= len(data) else 1 << 33, at + 12
+        return tag, struct.unpack_from("<H", data, at + 6)[0], at + 8
+    return tag, struct.unpack_from("<I", data, at + 4)[0], at + 8
+
+
 def read_tags(data: bytes) -> dict[str, object] | None:
     """The known tags before the pixels, or None where the file isn't DICOM or a length runs past its end.
 
-    Explicit and implicit little-endian elements; sequences of a stated length are
-    passed over, others end the reading.
+    Explicit and implicit little-endian elements.  Sequences are passed over; one of
+    unstated length ends at its own delimiter, whatever is nested in it.  Texts are
+    decoded by the file's character set (of several the last known one), else as
+    UTF-8, else as GB18030.
     """
     if data[128:132] != b"DICM":
         return None
-    at, found = 132, {}
+    at, found, depth, charset = 132, {}, 0, None
     while at + 8 <= len(data):
-        tag = struct.unpack_from("<HH", data, at)
-        if tag >= END:
-            break
-        kind = data[at + 4 : at + 6]
-        if kind.isalpha() and kind.isupper():
-            if kind in LONG:
-                size, at = struct.unpack_from("<I", data, at + 8)[0] if at + 12 <= len(data) else 1 << 32, at + 12
-            else:
-                size, at = struct.unpack_from("<H", data, at + 6)[0], at + 8
-        else:
-            size, at = struct.unpack_from("<I", data, at + 4)[0], at + 8
-        if size == 0xFFFFFFFF:
+        tag, size, at = _element(data, at)
+        if tag[0] == ITEM_GROUP and depth:
+            # items of unstated length are entered like their sequence, others passed over
+            depth += (1 if size == UNSTATED else 0) if tag[1] == 0xE000 else -1
+            at += size if tag[1] == 0xE000 and size != UNSTATED else 0
+            continue
+        if size == UNSTATED:
+            if not depth and tag >= END:
+                break
+            depth += 1
+            continue
+        if not depth and tag >= END:
             break
         if at + size > len(data):
             return None
-        if name := TAGS.get(tag):
+        if not depth and tag == CHARSET:
+            names = [n.strip("\x00 ") for n in data[at : at + size].decode("latin-1").split("\\")]
+            charset = next((CHARSETS[n] for n in reversed(names) if n in CHARSETS), None)
+        elif not depth and (name := TAGS.get(tag)):
             raw = data[at : at + size]
             if name in ("rows", "columns"):
                 found[name] = struct.unpack_from("<H", raw)[0] if size >= 2 else None
             else:
-                text = raw.decode("utf-8", "replace").strip("\x00 ")
+                text = _decoded(raw, charset).strip("\x00 ")
                 found[name] = (int(text) if text.lstrip("+-").isdigit() else None) if name in NUMBERS else text or None
         at += size
     return found
 
 
+def _decoded(raw: bytes, charset: str | None) -> str:
+    for name in (charset, "utf-8", "gb18030"):
+        if name:
+            try:
+                return raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+    return raw.decode("utf-8", "replace")
+
+
 def headers(files: DataFrame) -> DataFrame:
     """``files`` (path, content) -> path, a column for each tag and ``readable``; what is no DICOM file has nulls."""
 
@@ -96,5 +127,4 @@ def summary() -> Column:
     return F.concat_ws(
         "\n", F.lit("DICOM 影像检查"), F.concat(F.lit("检查类型:"), called, F.lit("("), "modality", F.lit(")")), line("检查日期", F.date_format(T.study_date(F.col("study_date")), "yyyy-MM-dd")),
         line("检查部位", F.col("body_part")), line("检查描述", F.col("description")), line("检查机构", F.col("institution")), line("患者", F.col("patient_name")),
-        F.lit("(DICOM 影像文件,点击上方原件可进行窗宽窗位 / 缩放 / 序列滚动交互阅片。)"),
     )

@@ -6,25 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
+from chartloom.operators.ordering import numbered
 
 MOST_BYTES = 200 * 1024 * 1024
-MOST_DEPTH, MOST_FILES = 16, 20_000
 SKIPPED = r"(^|/)\.|\.(tmp|part|crdownload)$"
 
 
-def read_files(spark: SparkSession, folder: str, most_depth: int = MOST_DEPTH, most_files: int = MOST_FILES) -> DataFrame:
-    """(path, length, content, content_hash, mime_type) of the first files below a folder, by path, without dot files and partial downloads.
+def read_files(spark: SparkSession, folder: str, most_depth: int | None = None, most_files: int | None = None) -> DataFrame:
+    """(path, length, content, content_hash, mime_type, left_out) of the files below a folder, without dot files and partial downloads.
 
-    Depth counts folders below ``folder``.  A file over the cap or one that can't
-    be read keeps its row, with a null content; its status is failed then.
+    A file over the cap or one that can't be read keeps its row, with a null
+    content.  So does one beyond a bound of the caller's, as ``left_out`` says:
+    ``depth`` (folders below ``folder``) or ``count`` (files by path).
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(folder).where(~F.lower("path").rlike(SKIPPED))
     root = len([p for p in folder.rstrip("/").split("://")[-1].removeprefix("file:").split("/") if p])
     depth = F.size(F.filter(F.split(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "/"), lambda p: p != "")) - 1 - root
-    names = listed.select("path", "length").where(~F.lower("path").rlike(SKIPPED) & (depth <= most_depth)).orderBy("path").limit(most_files)
-    kept = listed.where(F.col("length") <= MOST_BYTES).select("path", "content")
-    rows = names.join(kept, "path", "left")
-    return rows.select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), T.mime_of(F.element_at(F.split("path", "/"), -1)).alias("mime_type"))
+    deep = depth > most_depth if most_depth is not None else F.lit(False)
+    names = listed.select("path", "length").withColumn("left_out", F.when(deep, "depth"))
+    wanted = listed.where(~deep & (F.col("length") <= MOST_BYTES))
+    if most_files is not None:
+        placed = numbered(names.where("left_out IS NULL"), F.substring("path", 1, len(folder) + 12), [F.col("path")], "_n")
+        names = names.where("left_out IS NOT NULL").unionByName(placed.select("path", "length", F.when(F.col("_n") > most_files, "count").alias("left_out")))
+        wanted = wanted.join(names.where("left_out IS NULL").select("path"), "path", "left_semi")
+    # contents stay where they are read: only the paths of those that could be read are looked up
+    read = wanted.select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("string").alias("left_out"))
+    lost = names.join(read.where("content_hash IS NOT NULL").select("path"), "path", "left_anti")
+    rest = lost.select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("content_hash"), "left_out")
+    rows = read.where("content_hash IS NOT NULL").unionByName(rest)
+    return rows.select("path", "length", "content", "content_hash", T.mime_of(F.element_at(F.split("path", "/"), -1)).alias("mime_type"), "left_out")
 
 
 def objects(files: DataFrame) -> DataFrame:
@@ -35,9 +45,10 @@ def objects(files: DataFrame) -> DataFrame:
 def ingest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(path, content_hash, mime_type, status, text, doc_type, language, dates) for each file.
 
-    status: failed (over the cap or unreadable), duplicate (content known or seen under a lesser
-    path), metadata_only (no text layer) or ingested.
+    status: left_out (beyond a bound of the caller's), failed (over the cap or unreadable), duplicate
+    (content known or seen under a lesser path), metadata_only (no text layer) or ingested.
     """
+    files = files if "left_out" in files.columns else files.withColumn("left_out", F.lit(None).cast("string"))
     first = files.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("path").alias("_first"))
     rows = files.join(first, "content_hash", "left")
     seen = F.lit(False)
@@ -47,7 +58,7 @@ def ingest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     body = F.when(F.col("mime_type") == "text/plain", T.fold_radicals(F.try_validate_utf8(F.col("content").cast("string"))))
     rows = rows.withColumn("text", body)
     status: Column = (
-        F.when((F.col("length") > MOST_BYTES) | F.col("content").isNull(), "failed").when(seen | (F.col("path") != F.col("_first")), "duplicate")
+        F.when(F.col("left_out").isNotNull(), "left_out").when((F.col("length") > MOST_BYTES) | F.col("content").isNull(), "failed").when(seen | (F.col("path") != F.col("_first")), "duplicate")
         .when(F.col("text").isNull() | (F.octet_length(T.trimmed(F.col("text"))) < 20), "metadata_only").otherwise("ingested")
     )
     return rows.select("path", "content_hash", "mime_type", status.alias("status"), "text", T.classify(F.col("text")).alias("doc_type"), T.language(F.col("text")).alias("language"), T.date_range(F.col("text")).alias("dates"))

@@ -3,6 +3,7 @@ import datetime
 import glob
 import gzip
 import base64
+import json
 import struct
 
 from pyspark.sql import functions as F
@@ -69,13 +70,53 @@ def test_shares(spark, tmp_path):
     assert q.fits and body[0] == "q1" and base64.urlsafe_b64decode(body[2] + "=") == b"k" * 32 and len(base64.urlsafe_b64decode(body[1] + "=" * (-len(body[1]) % 4))) == q.cipher_len
     assert gzip.decompress(spark.createDataFrame([("é",)], "t string").select(share.gzipped("t")).first()[0]).decode() == "é"
     html = share.html_sections(rows.selectExpr("*", "'f' original_name", "'text/plain' mime_type"), "2024-01-02").collect()
-    assert len(html) == 1 and '<span class="badge">化验</span><h2>B</h2><span class="date">2024-01-02</span>' in html[0].html
+    assert len(html) == 1 and "<h3>B</h3>\n<p>化验 · 2024-01-02</p>" in html[0].html and "<pre>two</pre>" in html[0].html
     log = spark.createDataFrame([("DocumentDeleted", 'a"b', 2), ("DocumentDeleted", "c", 10)], "type string, source_file_hash string, seq long").selectExpr("*", "'t' ts", "'d' device_id", "'' original_name", "'' content_hash", "'' kind", "1L record_count", "'' sha256", "'' expires")
     share.write_audit_csv(log, str(tmp_path / "audit"))
     raw = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/audit/part*")))
     assert list(csv.reader(raw.splitlines()))[:3] == [["seq", "timestamp", "device_id", "action", "detail", "sha256"], ["10", "t", "d", "删除", "移除一份文档", "c"], ["2", "t", "d", "删除", "移除一份文档", 'a"b']] and '"a""b"' in raw
 
 
+def test_kinds_of_payloads_refuse_each_other(spark):
+    key = F.lit(b"k" * 32)
+    one = spark.createDataFrame([(1, ["p", "q"])], "patient int, problems array<string>")
+    people = spark.createDataFrame([(1, "张三", "70")], "patient int, name string, age string")
+    (q,) = share.qr_fragments(one, "patient", key, "", people, "2024-02-03T00:00:00Z").collect()
+    blob = q.fragment.split(".")[1].replace("-", "+").replace("_", "/")
+    sealed = spark.createDataFrame([(blob + "=" * (-len(blob) % 4),)], "b string").select(F.unbase64("b").alias("b"))
+    raw = sealed.select(F.try_aes_decrypt("b", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(share.QR_AAD))).first()[0]
+    said = json.loads(gzip.decompress(raw))
+    assert q.problem_count == 2 and said == {"v": 1, "kind": "summary", "generated": "2024-02-03T00:00:00Z", "patient": {"name": "张三", "age": "70"}, "summary": {"problems": ["p", "q"]}}
+    text = spark.createDataFrame([("x",)], "t string").select(share.encrypted(F.col("t"), key).alias("s"), share.encrypted(F.col("t"), key, share.QR_AAD).alias("q"))
+    assert tuple(text.select(share.decrypted(F.col("s"), key), share.decrypted(F.col("q"), key), share.decrypted(F.col("q"), key, share.QR_AAD), share.decrypted(F.col("s"), F.lit(b"j" * 32))).first()) == ("x", None, "x", None)
+
+
+def test_shares_carry_originals_within_their_caps(spark):
+    mb = 1 << 20
+    kinds = [("study", 39), ("image", 90), ("pdf", 100), ("study", 41), ("study", 40), ("study", 32), ("pdf", 60), ("study", 31), ("image", 5), ("study", 0)]  # of 400 MB and more
+    sources = spark.createDataFrame([(p, i, k, 0, f"h{p}{i}", n * mb) for p in (1, 2) for i, (k, n) in enumerate(kinds)], "patient int, place int, kind string, slice int, hash string, bytes long")
+    got = {r.place: r.tier for r in share.embedded(sources.drop("slice", "hash"), "patient").where("patient = 1").collect()}
+    want, total = {}, 0
+    for i, (kind, n) in enumerate(kinds):
+        fits = total + n <= 300
+        want[i] = "full" if kind == "image" or fits and (kind == "pdf" or n <= 40) else "text" if kind == "pdf" else "large" if n > 40 else "total"
+        total += n if want[i] == "full" else 0
+    assert got == want and total > 300 - 40 and set(want.values()) == {"full", "text", "large", "total"}
+    objects = spark.createDataFrame([(f"h1{i}", bytearray(b"x" * (i + 1))) for i in range(10)], "hash string, content binary")
+    rows = spark.createDataFrame([(1, i, f"T{i}", "imaging_report", None, None, "t") for i in range(10)], "patient int, place int, title string, doc_type string, date date, date_end date, text string")
+    carried = share.with_originals(rows, sources, objects, "patient").where("patient = 1")
+    people = spark.createDataFrame([(1, "张三")], "patient int, name string")
+    (p,) = share.payloads(people, carried, None, "patient", F.lit("2024-02-01")).collect()
+    said = json.loads(p.payload)
+    assert said["degraded"] == [f"T{i}" for i, t in want.items() if t in ("large", "total")] and [r["tier"] for r in said["records"]] == [want[i] for i in range(10)]
+    assert [r.get("slices") for r in said["records"]] == [[f"h1{i}"] if want[i] == "full" else None for i in range(10)] and "41 MB" in said["records"][3]["note"]
+    sent = share.parts(carried, objects, "patient", 3).orderBy("hash", "part").collect()
+    whole = {}
+    for r in sent:
+        whole[r.hash] = whole.get(r.hash, b"") + bytes(r.bytes)
+    assert whole == {f"h1{i}": b"x" * (i + 1) for i, t in want.items() if t == "full"} and max(len(r.bytes) for r in sent) == 3
+
+
 def element(group, number, kind, value):
     value += b" " * (len(value) % 2)
     size = struct.pack("<HI", 0, len(value)) if kind in dicom.LONG else struct.pack("<H", len(value))
@@ -94,6 +135,32 @@ def test_image_headers(spark):
     assert got["b"].modality == got["b"].title == "CT" and [got[p].readable for p in "abcde"] == [True, True, False, False, False] and got["c"].title == "c"
 
 
+def test_headers_after_sequences_of_unstated_length_and_in_other_character_sets(spark):
+    head, open_ = b"\0" * 128 + b"DICM", 0xFFFFFFFF
+    item = lambda size: struct.pack("<HHI", 0xFFFE, 0xE000, size)
+    close = lambda number: struct.pack("<HHI", 0xFFFE, number, 0)
+    inner = element(8, 0x60, b"CS", b"XX") + struct.pack("<HH", 8, 0x1199) + b"SQ" + struct.pack("<HI", 0, open_) + item(4) + b"abcd" + close(0xE0DD)
+    sequence = struct.pack("<HH", 8, 0x1140) + b"SQ" + struct.pack("<HI", 0, open_) + item(open_) + inner + close(0xE00D) + item(len(inner)) + inner + close(0xE0DD)
+    name = lambda charset, raw: head + element(8, 5, b"CS", charset) + element(8, 0x60, b"CS", b"CT") + sequence + element(0x10, 0x10, b"PN", raw) + element(0x20, 0x0D, b"UI", b"1.2\0")
+    private = head + element(8, 0x60, b"CS", b"MR") + struct.pack("<HH", 9, 0x10) + b"UN" + struct.pack("<HI", 0, open_) + item(0) + close(0xE0DD) + element(0x20, 0x0D, b"UI", b"9")
+    rows = [("gb", name(b"GB18030", "张三".encode("gb18030"))), ("utf", name(b"ISO_IR 192", "张三".encode())), ("two", name(b"\\ISO 2022 IR 58", b"Zhang")), ("latin", name(b"ISO_IR 100", "Müller".encode("latin-1"))), ("none", name(b"", "李四".encode("gb18030"))), ("private", private), ("cut", head + sequence[:-20])]
+    got = {r.path: (r.modality, r.patient_name, r.study_uid, r.readable) for r in dicom.headers(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).collect()}
+    assert got == {
+        "gb": ("CT", "张三", "1.2", True), "utf": ("CT", "张三", "1.2", True), "two": ("CT", "Zhang", "1.2", True), "latin": ("CT", "Müller", "1.2", True), "none": ("CT", "李四", "1.2", True),
+        "private": ("MR", None, "9", True), "cut": (None, None, None, True),
+    }
+
+
+def test_files_beyond_a_bound_keep_their_rows(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("x.txt", "y.heif", "a/z.txt", "a/b/w.txt", "a/b/v.txt"):
+        (tmp_path / name).write_text("检验报告 报告日期:2024-02-03 " + name)
+    assert {r.left_out for r in files.read_files(spark, str(tmp_path)).collect()} == {None}
+    found = files.read_files(spark, str(tmp_path), most_depth=1, most_files=2)
+    assert {r.path.split("/")[-1]: (r.left_out, r.content is None) for r in found.collect()} == {"v.txt": ("depth", True), "w.txt": ("depth", True), "z.txt": (None, False), "x.txt": (None, False), "y.heif": ("count", True)}
+    assert {r.path.split("/")[-1]: (r.status, r.mime_type) for r in files.ingest(found).collect()} == {"v.txt": ("left_out", "text/plain"), "w.txt": ("left_out", "text/plain"), "z.txt": ("ingested", "text/plain"), "x.txt": ("ingested", "text/plain"), "y.heif": ("left_out", "image/heic")}
+
+
 def test_slices_find_the_document_of_their_study(spark):
     rows = [("b", "u", True), ("a", "u", True), ("c", None, True), ("d", "v", True), ("e", None, False)]
     columns = [c for c in dicom.TAGS.values() if c != "study_uid"]
