@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 from chartloom.operators import ordering, records, replay
-from chartloom.session import cut, session
+from chartloom.session import cut, exists, session
 from chartloom.sources import files
 from chartloom.sources import log as L
 
@@ -25,9 +25,7 @@ OBJECT = "hash string, content binary"
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or none of its rows if it isn't there yet."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def tables(spark: SparkSession, record: str) -> dict[str, DataFrame]:

@@ -83,25 +83,35 @@ def search(pages: DataFrame, query: str, limit: int, text: str = "text", key: st
     return pages.where(hit).orderBy(key).limit(limit)
 
 
+def postings(pages: DataFrame, key: str, columns: list[str], *more: str) -> DataFrame:
+    """(more, key, part, token, places): where each token stands in the columns of each page."""
+    parts = F.array(*(F.struct(F.lit(i).alias("part"), tokens(F.col(c)).alias("t")) for i, c in enumerate(columns)))
+    rows = pages.select(*more, key, F.explode(parts).alias("p")).select(*more, key, "p.part", F.posexplode("p.t").alias("place", "token"))
+    return rows.groupBy(*more, key, "part", "token").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
 def token_table(pages: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(token, key, part, places): where each token stands in the columns of each page, ordered by token for a table whose files prune by it.
+    """(token, key, part, places), ordered by token for a table whose files prune by it.
 
-    A frequent token's rows are spread over several files, as the order goes on by key.
+    A frequent token's rows are spread over several files, as the order goes on by
+    key.  ``search_table`` keeps an index that a search need not read whole.
     """
-    parts = F.array(*(F.struct(F.lit(i).alias("part"), tokens(F.col(c)).alias("t")) for i, c in enumerate(columns)))
-    rows = pages.select(key, F.explode(parts).alias("p")).select(key, "p.part", F.posexplode("p.t").alias("place", "token"))
-    found = rows.groupBy("token", key, "part").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return found.repartitionByRange("token", key).sortWithinPartitions("token", key)
+    return postings(pages, key, columns).select("token", key, "part", "places").repartitionByRange("token", key).sortWithinPartitions("token", key)
 
 
 def _moved(places: Column, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
+def query_tokens(query: str) -> list[list[str]]:
+    """The words of a query, each as the tokens that have to stand side by side."""
+    pairs = lambda r: [r[i : i + 2] for i in range(len(r) - 1)] if len(r) > 1 and "\u4e00" <= r[0] <= "\u9fff" else [r]
+    return [[t for r in runs for t in pairs(r)] for runs in phrases(query)]
+
+
 def search_index(index: DataFrame, query: str, limit: int, key: str = "doc_id") -> DataFrame:
     """(key): the first ``limit`` pages, by key, that ``search`` would find, from a ``token_table``; only the query's tokens are read."""
-    pairs = lambda r: [r[i : i + 2] for i in range(len(r) - 1)] if len(r) > 1 and "\u4e00" <= r[0] <= "\u9fff" else [r]
-    wanted = [[t for r in runs for t in pairs(r)] for runs in phrases(query)]
+    wanted = query_tokens(query)
     if not wanted:
         return index.select(key).limit(0)
     every = sorted({t for words in wanted for t in words})

@@ -50,6 +50,11 @@ def objects_with_status(wanted: DataFrame, objects: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.coalesce(status, F.lit("malformed")))
 
 
+def clean_mime(mime: Column) -> Column:
+    """The media type, or that of plain bytes where it hasn't the shape of one."""
+    return F.when(mime.rlike(MIME), mime).otherwise("application/octet-stream")
+
+
 def project(log: DataFrame, objects: DataFrame) -> dict[str, DataFrame]:
     """source_file, document, ocr_result, imaging_instance and deferred from a verified log.
 
@@ -60,7 +65,7 @@ def project(log: DataFrame, objects: DataFrame) -> dict[str, DataFrame]:
     of = lambda kind: log.where(F.col("type") == kind)
     gone = of("DocumentDeleted").select("source_file_hash").distinct()
     files = first_wins(of("FileImported").where(F.col("content_hash").rlike(HASH)), ["content_hash"])
-    files = files.withColumn("mime_type", F.when(F.col("mime_type").rlike(MIME), F.col("mime_type")).otherwise("application/octet-stream"))
+    files = files.withColumn("mime_type", clean_mime(F.col("mime_type")))
     have = files.select(F.col("content_hash").alias("source_file_hash"))
     adds = without_tombstones(of("DocumentAdded"), gone, "source_file_hash")
     documents = first_wins(adds.join(have, "source_file_hash", "left_semi"), ["source_file_hash"])
@@ -119,7 +124,7 @@ def settle(pending_events: DataFrame, files: DataFrame, documents: DataFrame, ob
     tombstones of the whole log.  An event whose file, document or text isn't
     there yet stops its device: later events of the device in the merge order
     are left for another pass, and its watermark (device_id, applied) stays below
-    it.  What a stopped device would have brought stops others in turn, so stops
+    it and them, so whatever lies at or below a watermark has been applied.  What a stopped device would have brought stops others in turn, so stops
     are sought again until none moves; each round is distributed.
     """
     order = F.struct(*ORDER)
@@ -159,7 +164,7 @@ def settle(pending_events: DataFrame, files: DataFrame, documents: DataFrame, ob
     applied = both.where(F.col("_stop").isNull() | (F.col("_o") < F.col("_stop"))).select(*columns)
     deferred = both.where(F.col("_o") == F.col("_stop")).select(*columns)
     marks = watermarks.select("device_id", "applied").union(advanced(applied)).groupBy("device_id").agg(F.max("applied").alias("applied"))
-    caps = deferred.groupBy("device_id").agg((F.min("seq") - 1).alias("_cap"))
+    caps = both.where(F.col("_o") >= F.col("_stop")).groupBy("device_id").agg((F.min("seq") - 1).alias("_cap"))
     marks = marks.join(caps, "device_id", "full").select("device_id", F.coalesce(F.least(F.coalesce("applied", F.lit(0)), "_cap"), "applied").alias("applied"))
     return applied, deferred, marks
 

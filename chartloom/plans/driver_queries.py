@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import blocks
 from chartloom.functions import text as T
-from chartloom.operators import clinical, ordering, records, replay, share, terms
+from chartloom.operators import clinical, ordering, records, replay, search_table, share, terms
+from chartloom.session import remove, scratch
 from chartloom.sources import files, vault
 from chartloom.sources import log as L
 
@@ -115,6 +116,17 @@ def search_index(t):
     return records.search_index(records.token_table(t("documents"), "doc_id", ["text"]), "the THAT", 50)
 
 
+@query(r"""SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'the')
+    AND list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'that') ORDER BY doc_id LIMIT 50""")
+def search_kept_index(t):
+    documents = t("documents")
+    folder = scratch(documents.sparkSession)
+    search_table.add(documents, folder, "doc_id", ["text"], 1000)
+    found = search_table.Index(documents.sparkSession, folder).search("the THAT", 50)
+    remove(documents.sparkSession, folder)
+    return found
+
+
 @query("SELECT doc_id, length(text) AS n_chars, contains(lower(text), 'token') AS hit FROM documents WHERE contains(text, 'token =') ORDER BY doc_id LIMIT 20")
 def search_snippet(t):
     found = t("documents").where(F.col("text").contains("token =")).orderBy("doc_id").limit(20)
@@ -546,6 +558,26 @@ def lab_tables(t):
     return found.select("l_orderkey", F.col("first_line").cast("long").alias("first_line"), F.size("rows").cast("long").alias("n_rows"), most.alias("most"))
 
 
+#: A line of a made report: laboratory row, row of cells, both, blank, heading or text, by a quantity.
+LINE = {40: ("X", "glucose  7  mg"), 25: ("L", "glucose 7 mg 1-2"), 15: ("T", "a  b  7"), 8: ("B", " "), 4: ("S", "Plan:"), 0: ("P", "plain text")}
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, CASE {' '.join(f"WHEN l_quantity > {q} THEN '{k}'" for q, (k, _) in LINE.items())} END AS k FROM lineitem),
+    r AS (SELECT l_orderkey, 1 AS first_line, string_agg(k, '' ORDER BY i) AS rest, 0 AS took, '' AS kind FROM l GROUP BY l_orderkey
+        UNION ALL SELECT l_orderkey, first_line + took, rest[took + 1:], CASE kind WHEN 'labtable' THEN length(regexp_extract(rest[took + 1:], '^[LX](B?[LX])+B?')) WHEN 'table' THEN length(regexp_extract(rest[took + 1:], '^[TX]+')) ELSE 1 END, kind
+        FROM (SELECT *, CASE WHEN regexp_matches(rest[took + 1:], '^[LX](B?[LX]){{2}}') THEN 'labtable' WHEN regexp_matches(rest[took + 1:], '^[TX]{{2}}') THEN 'table' WHEN rest[took + 1:] LIKE 'B%' THEN 'blank' WHEN rest[took + 1:] LIKE 'S%' THEN 'section' ELSE 'para' END AS kind
+              FROM (SELECT l_orderkey, first_line, rest, took FROM r) WHERE length(rest) > took))
+    SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_line) AS place, kind, first_line, first_line + length(rtrim(rest[1:took], 'B')) - 1 AS last_line, CASE WHEN kind IN ('labtable', 'table') THEN length(replace(rest[1:took], 'B', '')) ELSE 0 END AS n_rows
+    FROM r WHERE took > 0 AND kind <> 'blank'""")
+def report_blocks(t):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = F.lit(None).cast("string")
+    for q, (_, text) in reversed(LINE.items()):
+        line = F.when(F.col("l_quantity") > q, text).otherwise(line)
+    found = blocks.report_blocks(t("lineitem").select("l_orderkey", F.row_number().over(w).alias("line_no"), line.alias("line")), "l_orderkey")
+    return found.select("l_orderkey", "place", "kind", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"), F.size("rows").cast("long").alias("n_rows"))
+
+
 @query("""SELECT o_custkey, count(*) AS n_meds, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS names FROM orders GROUP BY 1""")
 def prescription_blocks(t):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey", "_p")

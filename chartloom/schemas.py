@@ -23,4 +23,5 @@ GENESIS = "0" * 64
 DOC_TYPES = ("discharge_summary", "prescription", "surgery", "pathology", "lab_report", "clinical_note", "imaging_report", "other", "unknown")
 ENCOUNTER_KINDS = ("outpatient", "emergency", "inpatient", "exam")
 HASH = "^[0-9a-f]{64}$"
-MIME = r"^[A-Za-z0-9][A-Za-z0-9.+_-]*/[A-Za-z0-9][A-Za-z0-9.+_-]*$"
+# fixed value: the shape of a media type
+MIME = r"^[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]*/[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]*$"

@@ -4,6 +4,8 @@ import glob
 import gzip
 import base64
 import json
+import random
+import re
 import struct
 
 from pyspark.sql import functions as F
@@ -26,9 +28,9 @@ LAB = "化验单\n项目 结果 单位 参考\n\n血糖 6.8 mmol/L 3.9-6.1 ↑\n
 def test_laboratory_tables(spark):
     (t,) = blocks.lab_tables(lines(spark, LAB, "血糖 6.8 mmol/L\n文字\n钾 3.4 mmol/L\n钠 1 x"), "doc").collect()
     assert (t.doc, t.first_line, t.last_line, t.header) == (0, 2, 7, "项目 结果 单位 参考")
-    assert [tuple(r) for r in t.rows] == [("血糖", "6.8", "mmol/L", "3.9-6.1 ↑", "high"), ("总胆固醇 TC", "5.2", "mmol/L", "0-5.2", None), ("钾", "3.4", "", "3.5-5.3 偏低", "low")]
-    row = {r.l: r.r for r in spark.createDataFrame([("6.8 x",), ("血糖 6.8",), ("血糖 <6.8 - 3",), ("字",)], "l string").select("l", blocks.lab_row(F.col("l")).alias("r")).collect()}
-    assert row["6.8 x"] is None and row["血糖 6.8"] is None and row["字"] is None and tuple(row["血糖 <6.8 - 3"]) == ("血糖", "<6.8", "", "- 3", None)
+    assert [tuple(r) for r in t.rows] == [("血糖", "6.8", "mmol/L", "3.9-6.1 ↑", "high"), ("总胆固醇 TC", "5.2", "mmol/L", "0-5.2", None), ("钾", "3.4", "3.5-5.3", "偏低", "low")]
+    row = {r.l: r.r for r in spark.createDataFrame([("6.8 x",), ("血糖 6.8",), ("血糖 <6.8 - 3",), ("血糖 <6.8 -3 - 9",), ("字",)], "l string").select("l", blocks.lab_row(F.col("l")).alias("r")).collect()}
+    assert row["6.8 x"] is None and row["血糖 6.8"] is None and row["字"] is None and row["血糖 <6.8 - 3"] is None and tuple(row["血糖 <6.8 -3 - 9"]) == ("血糖 <6.8", "-3", "", "- 9", None)
 
 
 def test_tables_and_heads(spark):
@@ -38,6 +40,62 @@ def test_tables_and_heads(spark):
     assert sorted((r.line_no, r.text) for r in blocks.section_heads(rows, "doc").collect()) == [(6, "【诊断】"), (7, "主诉:")]
 
 
+def ordered(text):
+    """The blocks of a report by reading it line by line."""
+    words = blocks.HEADER_WORDS
+    all_lines = text.split("\n")
+    number = re.compile(r"-?[0-9]+(\.[0-9]+)?")
+
+    def lab(line):
+        w = line.split()
+        at = next((i for i, x in enumerate(w) if number.fullmatch(x)), 0)
+        return 0 < at < len(w) - 1
+
+    n_words = lambda line: sum(x in line for x in words)
+    split = lambda line: [c for c in re.split(r"\s{2,}|\t", line.strip()) if c]
+    data = lambda line: len(split(line)) >= 3 and any(c.isdigit() for c in line)
+    skip = lambda k: k + 1 if k < len(all_lines) and not all_lines[k].strip() else k
+    out, i = [], 0
+    while i < len(all_lines):
+        line = all_lines[i].strip()
+        if not line:
+            i += 1
+            continue
+        j = skip(i + 1) if n_words(line) >= 2 and not any(c.isdigit() for c in line) else i
+        rows, last = 0, i
+        while j < len(all_lines) and all_lines[j].strip() and lab(all_lines[j]):
+            rows, last, j = rows + 1, j, skip(j + 1)
+        if rows >= 3:
+            out.append(("labtable", i + 1, last + 1, rows))
+            i = j
+            continue
+        head = n_words(line) >= 2 and len(split(line)) >= 3
+        j = i + head
+        while j < len(all_lines) and all_lines[j].strip() and data(all_lines[j]):
+            j += 1
+        if j - i - head >= 2:
+            out.append(("table", i + 1, j, j - i - head))
+            i = j
+            continue
+        out.append(("section" if re.fullmatch(r"[【\[].+[】\]]", line) or len(line) <= 14 and line[-1] in ":：" else "para", i + 1, i + 1, 0))
+        i += 1
+    return out
+
+
+def test_blocks_of_a_report_in_order(spark):
+    (got,) = [blocks.report_blocks(lines(spark, "【检验】\n项目 结果 单位\n\n血糖 6.8 mmol/L 3.9 ↑\n\n钾 3.4 x\n钠 140 x 正常\n说明\n项目  结果  单位\na  b  1\nc  d  2 偏高\n尾"), "doc").orderBy("place").collect()]
+    assert [(r.kind, r.first_line, r.last_line) for r in got] == [("section", 1, 1), ("labtable", 2, 7), ("para", 8, 8), ("table", 9, 11), ("para", 12, 12)]
+    assert got[1].header == ["项目 结果 单位"] and got[1].rows[0] == ["血糖", "6.8", "mmol/L", "3.9 ↑"] and got[1].flags == ["high", None, "normal"]
+    assert got[3].header == ["项目", "结果", "单位"] and got[3].rows == [["a", "b", "1"], ["c", "d", "2 偏高"]] and got[3].flags == [None, "high"] and got[0].text == "【检验】"
+    rng = random.Random(6)
+    pool = ["", "", "a 1 x", "b 2 y", "a  b  7", "c  8  d", "e  9  f", "项目 结果", "项目  结果  单位", "项目  结果  3", "文字", "主诉:", "【x】", "7 8 9", " "]
+    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 25))) for _ in range(400)]
+    found = {}
+    for r in blocks.report_blocks(lines(spark, *texts), "doc").orderBy("doc", "place").collect():
+        found.setdefault(r.doc, []).append((r.kind, r.first_line, r.last_line, len(r.rows)))
+    assert {i: found.get(i, []) for i in range(len(texts))} == {i: ordered(t) for i, t in enumerate(texts)}
+
+
 def test_prescriptions(spark):
     text = "门诊处方笺\nRp.\n1. 阿司匹林片 100mg\n用法: 每日一次\n\n2、二甲双胍\n一次0.5g\n医师: 张\n复诊\n3) 钙片\n饭后"
     (r,) = blocks.prescription(lines(spark, text, "no items\nat all"), "doc").collect()
