@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 from chartloom.functions.columns import let
+from chartloom.operators import containment
 
 
 def timeline_order(date: str, key: str) -> list[Column]:
@@ -161,45 +165,48 @@ def search_results(pages: DataFrame, documents: DataFrame, query: str, limit: in
 
 #: So many phrases are broadcast, some 200 bytes each; with more, the openings are joined by a shuffle.
 BROADCAST_PHRASES = 100_000
+#: So many openings are looked up in the row before windows are made rows of, 8 bytes each.
+KNOWN_OPENINGS = 20_000
 
 
 def phrase_hits(documents: DataFrame, phrases: DataFrame, document: str, phrase: str, text: str = "text") -> DataFrame:
     """(document, phrase), each once: the documents whose text contains the phrase's, character by character.
 
     A text that has a phrase has all its inner words whole: up to six of them are
-    found by equality, then the whole phrase is looked for.  Phrases without inner
-    words are looked for in every text.
+    found by equality, then the whole phrase is looked for.  A phrase of one or two
+    words has none; it stands within so many words of the text, and the different
+    ones of those are joined with it by their grams.  An empty phrase hits nothing.
     """
     inner = lambda c: F.greatest(F.least(F.size(F.split(c, " ")) - 2, F.lit(6)), F.lit(0))
     items = phrases.where(F.col(text).isNotNull()).select(phrase, F.col(text).alias("_phrase"), inner(F.col(text)).alias("_n"))
     items = items.withColumn("_opening", F.array_join(F.slice(F.split("_phrase", " "), 2, F.greatest("_n", F.lit(1))), " "))
-    few = items.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
-    look = F.broadcast(items) if few else items
+    n = items.limit(BROADCAST_PHRASES + 1).count()
+    look = F.broadcast(items) if n <= BROADCAST_PHRASES else items
     docs = documents.select(document, F.col(text).alias("_text")).where("_text IS NOT NULL")
     sizes = sorted(r[0] for r in items.select("_n").distinct().collect())  # at most seven
 
-    def windows(w: Column, n: int) -> Column:
+    def windows(w: Column, n: int, keep: Callable[[Column], Column] | None = None) -> Column:
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
         # by places, as a slice copies the whole array first
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), F.concat_ws(" ", *(F.get(w, i + (k - 1)) for k in range(n))).alias("_opening")))
+        window = lambda i: F.concat_ws(" ", *(F.get(w, i + (k - 1)) for k in range(n)))
+        kept = starts if keep is None else F.filter(starts, lambda i: keep(F.xxhash64(window(i))))
+        return F.transform(kept, lambda i: F.struct(F.lit(n).alias("_n"), window(i).alias("_opening")))
 
-    found = None
+    found = [docs.select(document, F.explode(F.array().cast(items.select(F.array(phrase).alias("a")).schema["a"].dataType)).alias(phrase))]
     if 0 in sizes:
-        # no whole word to find them by: all texts are asked for each, in blocks of a checked size
-        whole = items.where("_n = 0").select(phrase, "_phrase")
-        blocks = whole.count() // BROADCAST_PHRASES + 1
-        for b in range(blocks):
-            part = whole.where(F.pmod(F.xxhash64(phrase), F.lit(blocks)) == b).collect()
-            asked = F.array(*(F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("p")) for r in part))
-            had = let(F.col("_text"), lambda t: F.transform(F.filter(asked, lambda p: t.contains(p["p"])), lambda p: p["id"]))  # noqa: B023
-            own = docs.select(document, F.explode(had).alias(phrase))
-            found = own if found is None else found.union(own)
+        whole = items.where("_n = 0 AND _phrase <> ''").select(phrase, "_phrase", F.size(F.split("_phrase", " ")).alias("_w"))
+        for k in (1, 2):
+            asked = whole.where(F.col("_w") == k)
+            said = docs.select(document, F.explode(F.array_distinct(let(F.split("_text", " "), lambda w: F.transform(windows(w, k), lambda x: x["_opening"])))).alias("_in"))  # noqa: B023
+            hits = containment.contained(said.select("_in"), asked.select("_phrase"), "_in", "_phrase")
+            found.append(said.join(hits, "_in").join(asked, "_phrase").select(document, phrase))
     if some := [n for n in sizes if n > 0]:
-        grams = docs.select(document, F.explode(let(F.split("_text", " "), lambda w: F.concat(*(windows(w, n) for n in some)))).alias("_g")).select(document, "_g.*")
+        known = items.where("_n > 0").select(F.xxhash64("_opening").alias("h")).distinct().limit(KNOWN_OPENINGS + 1).collect() if n <= BROADCAST_PHRASES else []
+        keep = (lambda h: h.isin([r.h for r in known])) if 0 < len(known) <= KNOWN_OPENINGS else None
+        grams = docs.select(document, F.explode(let(F.split("_text", " "), lambda w: F.concat(*(windows(w, n, keep) for n in some)))).alias("_g")).select(document, "_g.*")
         near = grams.join(look, ["_n", "_opening"]).select(document, phrase, "_phrase").distinct()
-        long = near.join(docs, document).where(F.col("_text").contains(F.col("_phrase"))).select(document, phrase)
-        found = long if found is None else found.union(long)
-    return docs.select(document, F.explode(F.array().cast(items.select(F.array(phrase).alias("a")).schema["a"].dataType)).alias(phrase)) if found is None else found.distinct()
+        found.append(near.join(docs, document).where(F.col("_text").contains(F.col("_phrase"))).select(document, phrase))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def page_texts(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
@@ -277,12 +284,35 @@ def inpatient_windows(documents: DataFrame, windows: DataFrame, group: str) -> D
 
     ``documents``: group, doc, date; ``windows``: group, window, window_order, start,
     end.  The earliest window wins, which is what claiming them one by one gives.
-    The interval join is within a group, and a minimum replaces a sort.
+    The days that a window covers whole are cut into whole months and the days at
+    its ends, of each of which only the first window is kept, so a document is
+    looked up by its month and by its day, however many windows overlap.  Where
+    times have hours, the first and last day of a window are compared by them.
     """
-    w = windows.select(F.col(group).alias("_g"), "window", "window_order", "start", "end")
-    inside = (F.col(group) == F.col("_g")) & (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))
-    claimed = documents.join(w, inside).groupBy(group, "doc").agg(F.min_by("window", F.struct("window_order", "window")).alias("window"))
-    return documents.join(claimed, [group, "doc"], "left")
+    w = windows.select(F.col(group).alias("_g"), F.struct("window_order", "window").alias("_w"), F.col("start").alias("_s"), F.col("end").alias("_e")).where("_s <= _e")
+    days = documents.schema["date"].dataType.simpleString() == windows.schema["start"].dataType.simpleString() == windows.schema["end"].dataType.simpleString() == "date"
+    first, last = (F.col("_s"), F.col("_e")) if days else (F.date_add(F.to_date("_s"), 1), F.date_sub(F.to_date("_e"), 1))
+    spans = w.withColumns({"_f": first, "_l": last}).where("_f <= _l")
+    spans = spans.withColumns({"_m": F.when(F.trunc("_f", "MM") == F.col("_f"), F.col("_f")).otherwise(F.add_months(F.trunc("_f", "MM"), 1)), "_n": F.add_months(F.trunc(F.date_add("_l", 1), "MM"), -1)})
+    none, day, month = F.array().cast("array<date>"), F.expr("INTERVAL 1 DAY"), F.expr("INTERVAL 1 MONTH")
+    whole = F.col("_m") <= F.col("_n")
+    ends = F.concat(
+        F.when(F.col("_f") < F.col("_m"), F.sequence("_f", F.date_sub("_m", 1), day)).otherwise(none),
+        F.when(F.last_day("_n") < F.col("_l"), F.sequence(F.date_add(F.last_day("_n"), 1), "_l", day)).otherwise(none),
+    )
+    cover = lambda bins: spans.select("_g", "_w", F.explode(bins).alias("_b")).groupBy("_g", "_b").agg(F.min("_w").alias("_w"))
+    months = cover(F.when(whole, F.sequence("_m", "_n", month)).otherwise(none))
+    edges = cover(F.when(whole, ends).otherwise(F.sequence("_f", "_l", day)))
+    looked = documents.join(months.withColumnRenamed("_w", "_w1"), (F.col(group) == F.col("_g")) & (F.trunc("date", "MM") == F.col("_b")), "left").drop("_g", "_b")
+    looked = looked.join(edges.withColumnRenamed("_w", "_w2"), (F.col(group) == F.col("_g")) & (F.to_date("date") == F.col("_b")), "left").drop("_g", "_b")
+    found = [F.col("_w1"), F.col("_w2")]
+    if not days:
+        borders = w.select("*", F.explode(F.array_distinct(F.array(F.to_date("_s"), F.to_date("_e")))).alias("_b"))
+        inside = (F.col(group) == F.col("_g")) & (F.to_date("date") == F.col("_b")) & (F.col("date") >= F.col("_s")) & (F.col("date") <= F.col("_e"))
+        at = documents.join(borders, inside).groupBy(group, "doc").agg(F.min("_w").alias("_w3"))
+        looked = looked.join(at, [group, "doc"], "left")
+        found.append(F.col("_w3"))
+    return looked.select(*documents.columns, F.array_min(F.array(*found))["window"].alias("window"))
 
 
 def same_day(documents: DataFrame, group: str, emergency: Column) -> DataFrame:

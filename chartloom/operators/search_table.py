@@ -61,11 +61,12 @@ class Index:
         return sorted(found)[:limit]
 
     def _first(self, at: str, directory: DataFrame, query: str, tokens: list[str], limit: int, read: list | None) -> list:
-        both = directory.where(F.col("token").isin(*tokens)).groupBy("rg").agg(F.count("*").alias("have"), F.min("n").alias("most"))
-        groups = both.where(F.col("have") == len(tokens)).select("rg", "most").orderBy("rg")
+        # a row for each token of the query and group: one task, so that nothing is shuffled
+        said = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
+        groups = f"SELECT rg, min(n) AS most FROM (SELECT /*+ COALESCE(1) */ rg, n FROM {{directory}} WHERE token IN ({said}) AND rg > {{after}}) GROUP BY rg HAVING count(*) = {len(tokens)} ORDER BY rg LIMIT {{size}}"
         found, after, size = [], -1, 64
         while len(found) < limit:
-            listed = groups.where(F.col("rg") > after).limit(size).collect()
+            listed = self.spark.sql(groups, directory=directory, after=after, size=size).collect()
             more = len(listed) == size
             while listed and len(found) < limit:
                 # as many groups as may fill the page, were every posting of the rarest token a hit
@@ -77,6 +78,9 @@ class Index:
                 if read is not None:
                     read += [(at, g) for g in some]
                 postings = self.spark.read.schema(self.posting).option("basePath", f"{at}/postings").parquet(*(f"{at}/postings/rg={g}" for g in some))
+                postings = postings.where(F.col("token").isin(*tokens))
+                # a group is what one task may hold
+                postings = postings.coalesce(1) if len(some) == 1 else postings
                 found += [r[0] for r in records.search_index(postings, query, limit - len(found), self.key).collect()]
                 after = some[-1]
             if not more:

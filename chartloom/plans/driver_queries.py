@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import blocks
 from chartloom.functions import text as T
-from chartloom.operators import clinical, ordering, records, replay, search_table, share, terms
+from chartloom.operators import clinical, containment, ordering, records, replay, search_table, share, terms
 from chartloom.session import remove, scratch
 from chartloom.sources import files, vault
 from chartloom.sources import log as L
@@ -518,6 +518,16 @@ def condition_dedup(t):
     return clinical.conditions(rows, ["p_brand"], "p_name", "p_size", "icd", ["p_partkey"]).select("p_brand", "p_name", "onset", "icd_code", F.size("sources").cast("long").alias("n"))
 
 
+@query("""WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL), t AS (SELECT DISTINCT array_to_string(w[i:i + 1], ' ') AS condition FROM w, unnest(range(1, len(w))) AS r(i)), n AS (SELECT DISTINCT unnest(w) AS name FROM w)
+    SELECT condition, min(name) AS disease FROM (SELECT condition, name FROM t JOIN n ON contains(condition, name) AND length(name) > 5
+        UNION ALL SELECT condition, name FROM t JOIN n ON contains(name, trim(condition)) AND length(name) > 5) WHERE trim(condition) <> '' GROUP BY condition""")
+def contained_names(t):
+    words = t("benchmark").where("text IS NOT NULL").select(F.split("text", " ").alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p")).where("p.b IS NOT NULL").select(F.concat_ws(" ", "p.a", "p.b").alias("condition"))
+    names = words.select(F.explode("w").alias("disease")).where("length(disease) > 5").distinct()
+    return containment.first_match(pairs, names.withColumn("place", F.col("disease")), "condition", "disease", "place")
+
+
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'cold') THEN 'cold' WHEN contains('widget gear', p_name) OR contains(p_name, 'widget gear') THEN 'widget gear' WHEN contains(p_name, 'widget') THEN 'widget' END AS disease FROM part""")
 def match_disease(t):
     return t("part").select("p_partkey", clinical.matched_disease(F.col("p_name"), ["cold", "widget gear", "widget"]).alias("disease"))

@@ -1,8 +1,10 @@
 import datetime
+import random
+import time
 
 from pyspark.sql import functions as F
 
-from chartloom.operators import records
+from chartloom.operators import containment, records
 
 D = datetime.date
 
@@ -93,3 +95,63 @@ def test_labels_and_audit(spark):
     log = frame(spark, [("FileImported", "a.txt", "h", None, None, None, None, None), ("ExportPerformed", None, None, "timeline_html", 3, "s", None, None), ("ShareCreated", None, None, None, 2, "t", "2024-05-01", None), ("DocumentDeleted", None, None, None, None, None, None, "g"), ("OcrAdded", None, None, None, None, None, None, None)],
                 "type string, original_name string, content_hash string, kind string, record_count long, sha256 string, expires string, source_file_hash string").selectExpr("*", "'t' ts", "'d' device_id", "1L seq")
     assert sorted((r.action, r.detail, r.sha256) for r in records.audit(log).collect()) == sorted([("导入", "a.txt", "h"), ("导出", "timeline_html · 3 条记录", "s"), ("分享", "2 条记录 · 有效期至 2024-05-01", "t"), ("删除", "移除一份文档", "g")])
+
+
+def test_names_and_texts_that_contain_each_other(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("高血压糖尿病ab ", k=n))
+    texts = [word(rng.randrange(0, 7)) for _ in range(400)] + [None, "", " ", "高"]
+    names = [(word(rng.randrange(0, 5)), i) for i in range(150)] + [("病", 3), ("", 0), (None, 1)]
+    frame, known = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(names, "n string, place int")
+    got = sorted(map(tuple, containment.contained(frame, known, "t", "n").collect()))
+    assert got == sorted({(t, n) for t in texts if t for n, _ in names if n and n in t})
+    first = {r.t: r.n for r in containment.first_match(frame, known, "t", "n", "place").collect()}
+    want = {}
+    for t in texts:
+        if t and t.strip(" "):
+            hits = [(p, n) for n, p in names if n and (n in t.strip(" ") or t.strip(" ") in n)]
+            if hits:
+                want[t] = min(hits)[1]
+    assert first == want
+
+
+def test_many_names_against_many_texts_without_a_nested_loop(spark):
+    names = spark.range(20_000).selectExpr("concat('n', hex(id * 7919 + 1000003), 'x') AS n", "id AS place")
+    texts = spark.range(200_000).selectExpr("concat('term ', IF(id % 4 = 0, concat('n', hex((id DIV 4 % 20000) * 7919 + 1000003), 'x'), hex(id)), ' end ', id) AS t")
+    found = containment.first_match(texts, names, "t", "n", "place")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert found.count() == 50_000
+
+
+def test_short_phrases_are_found_within_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abc", k=rng.randrange(0, 4)))
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 15))) for _ in range(120)] + [None]
+    asked = [" ".join(word() for _ in range(rng.randrange(1, 6))) for _ in range(60)] + [None, "", " ", "a", " b"]
+    docs, phrases = spark.createDataFrame(list(enumerate(texts)), "doc int, text string"), spark.createDataFrame(list(enumerate(asked)), "item int, text string")
+    got = sorted(map(tuple, records.phrase_hits(docs, phrases, "doc", "item").collect()))
+    assert got == sorted((i, j) for i, t in enumerate(texts) if t is not None for j, p in enumerate(asked) if p and p in t)
+
+
+def test_windows_claim_documents_of_a_hot_patient_without_comparing_all_pairs(spark):
+    rng = random.Random(8)
+    day = lambda: datetime.date(2000, 1, 1) + datetime.timedelta(days=rng.randrange(2500))
+    docs = [(p, i, day() if rng.random() < 0.95 else None, None) for p in (1, 2, None) for i in range(150)]
+    windows = [(p, 1000 + i, rng.randrange(40), s, s + datetime.timedelta(days=rng.choice([-3, 0, 1, 5, 30, 31, 62, 400, 1500]))) for p in (1, 2, 3) for i, s in enumerate(day() for _ in range(60))]
+    frame, known = spark.createDataFrame(docs, "patient int, doc int, date date, title string"), spark.createDataFrame(windows, "patient int, window int, window_order int, start date, end date")
+
+    def first(p, d):
+        return min(((o, w) for q, w, o, s, e in windows if q == p and d is not None and s <= d <= e), default=(None, None))[1]
+
+    assert {(r.patient, r.doc): r.window for r in records.inpatient_windows(frame, known, "patient").collect()} == {(p, i): first(p, d) for p, i, d, _ in docs}
+    times = frame.withColumn("date", F.col("date").cast("timestamp") + F.make_interval(hours=F.col("doc") % 24)), known.withColumns({"start": F.col("start").cast("timestamp") + F.expr("INTERVAL 7 HOURS"), "end": F.col("end").cast("timestamp") + F.expr("INTERVAL 19 HOURS")})
+    hour = lambda d, h: datetime.datetime(d.year, d.month, d.day, h)
+
+    def first_at(p, d, h):
+        return min(((o, w) for q, w, o, s, e in windows if q == p and d is not None and hour(s, 7) <= hour(d, h) <= hour(e, 19)), default=(None, None))[1]
+
+    assert {(r.patient, r.doc): r.window for r in records.inpatient_windows(*times, "patient").collect()} == {(p, i): first_at(p, d, i % 24) for p, i, d, _ in docs}
+    many = spark.range(100_000).selectExpr("1 AS patient", "CAST(id AS int) AS doc", "date_add(DATE'2000-01-01', CAST(id % 9000 AS int)) AS date", "CAST(NULL AS string) AS title")
+    long = spark.range(10_000).selectExpr("1 AS patient", "CAST(id AS int) AS window", "CAST(id AS int) AS window_order", "date_add(DATE'2000-01-01', CAST(9000 - id % 9000 AS int)) AS start", "DATE'2024-08-23' AS end")
+    began = time.time()
+    assert records.inpatient_windows(many, long, "patient").where("window IS NOT NULL").count() > 90_000 and time.time() - began < 60
