@@ -45,6 +45,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move(spark: SparkSession, path: str, below: str) -> None:
+    """Move a file to the same path below another folder; one that is there is replaced."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = make(path)
+    to = make(f"{below}/{at.toUri().getPath().lstrip('/')}")
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(to.getParent())
+    store.delete(to, False)
+    if not store.rename(at, to):
+        raise OSError(f"{path} could not be moved")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chartloom.operators import replay
 from chartloom.schemas import EVENT_FIELDS
-from chartloom.session import exists, folders, remove
+from chartloom.session import exists, folders, move, remove
 from chartloom.sources import log as L
 
 Derived = Callable[[dict[str, DataFrame], int], None]
@@ -146,16 +146,86 @@ def start(spark: SparkSession, folder: str, table: str, checkpoint: str, objects
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-def watch(spark: SparkSession, inbox: str, archive: str, checkpoint: str, ingested: Callable[[DataFrame, int], None], most_files: int = 1000, **trigger) -> StreamingQuery:
+LETTER = "path string, modificationTime timestamp, status string, reason string"
+Ingested = Callable[[DataFrame, int], DataFrame | None]
+
+
+def _isolated(contents: Callable[[list[str]], DataFrame], paths: list[str], ingested: Ingested, number: int) -> dict[str, tuple[str, str | None]]:
+    """{path: (status, reason)} of files handed to ``ingested``; where that fails, of each half, down to the file that is the reason."""
+    if not paths:
+        return {}
+    try:
+        told = ingested(contents(paths), number)
+        found = {} if told is None else {r.path: (r.status, None) for r in told.select("path", "status").collect()}
+        return {p: found.get(p, ("ingested", None)) for p in paths}
+    except Exception as wrong:  # noqa: BLE001 - whatever a file's content makes of the caller's functions
+        if len(paths) == 1:
+            return {paths[0]: ("failed", f"{type(wrong).__name__}: {wrong}"[:500])}
+    half = len(paths) // 2
+    return _isolated(contents, paths[:half], ingested, number) | _isolated(contents, paths[half:], ingested, number)
+
+
+def _taken(spark: SparkSession, names: list, ingested: Ingested, letters: str, number: int, archive: str) -> None:
+    """Ingest the files of ``names`` (path, modificationTime), write what became of each, move those that passed."""
+    read = lambda paths: spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(paths)
+    paths = [r.path for r in names]
+    # reading and hashing a content shows whether it can be read
+    whole = {r.path for r in read(paths).where(F.sha2("content", 256).isNotNull()).select("path").collect()} if paths else set()
+    found = _isolated(lambda some: read(some).select("path", "length", "content"), [p for p in paths if p in whole], ingested, number)
+    found |= {p: ("failed", "unreadable") for p in paths if p not in whole}
+    rows = [(r.path, r.modificationTime, *found[r.path]) for r in names]
+    spark.createDataFrame(rows, LETTER).coalesce(1).write.mode("overwrite").parquet(f"{letters}/batch={number}")
+    for path, (status, _) in found.items():
+        if status != "failed":
+            move(spark, path, archive)
+
+
+def letters_of(spark: SparkSession, letters: str) -> DataFrame:
+    """(path, modificationTime, status, reason, batch): the last thing that became of each file as it was at a time."""
+    if not folders(spark, letters, "batch"):
+        return spark.createDataFrame([], f"{LETTER}, batch long")
+    every = spark.read.schema(f"{LETTER}, batch long").option("basePath", letters).parquet(letters)
+    return every.groupBy("path", "modificationTime").agg(F.max_by(F.struct("status", "reason", "batch"), "batch").alias("_l")).select("path", "modificationTime", "_l.*")
+
+
+def watch(spark: SparkSession, inbox: str, archive: str, checkpoint: str, ingested: Ingested, letters: str, most_files: int = 1000, **trigger) -> StreamingQuery:
     """Files dropped into a folder, each once: (path, length, content) to ``ingested``, then moved below ``archive``.
 
-    Dot files, partial downloads and folders below are left alone.  A batch that
-    fails is tried again with the same files, which stay where they are until it
-    has passed; names are kept, as the archive repeats the path.
+    Dot files, partial downloads and folders below are left alone; names are kept,
+    as the archive repeats the path.  ``ingested`` may return (path, status).  A
+    batch that fails is handed over again in halves, so it has to be repeatable; a
+    file that fails alone, can't be read or has the status failed stays where it is,
+    with a row in the table ``letters`` for ``retry``, and the others pass.
     """
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-        .option("maxFilesPerTrigger", most_files).option("pathGlobFilter", "[!.]*").option("cleanSource", "archive").option("sourceArchiveDir", archive).load(inbox)
+        .option("maxFilesPerTrigger", most_files).option("pathGlobFilter", "[!.]*").load(inbox)
     )
-    kept = files.where(~F.lower("path").rlike(r"(/[.][^/]*|[.](tmp|part|crdownload))$")).select("path", "length", "content")
-    return kept.writeStream.foreachBatch(ingested).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    kept = files.where(~F.lower("path").rlike(r"(/[.][^/]*|[.](tmp|part|crdownload))$")).select("path", "modificationTime")
+
+    def batch(df: DataFrame, number: int) -> None:
+        # a batch that runs again has moved some of its files already
+        names = [r for r in df.collect() if exists(spark, r.path)]  # most_files at most
+        if names and number not in folders(spark, letters, "batch"):
+            _taken(spark, names, ingested, letters, number, archive)
+
+    return kept.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def retry(spark: SparkSession, inbox: str, archive: str, ingested: Ingested, letters: str, most_files: int = 1000) -> int:
+    """Hand over again the files of the ``inbox`` that failed, and those that came under the path of one that passed; their number.
+
+    A failed file that is as it was is tried anew, too: what it lacked may be there by now.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*").load(inbox).select("path", "modificationTime")
+    known = letters_of(spark, letters)
+    paths = known.select("path").distinct()
+    names = listed.join(paths, "path", "left_semi").orderBy("path").limit(most_files).collect()
+    last = max(folders(spark, letters, "batch"), default=-1)
+    if names:
+        _taken(spark, names, ingested, letters, max(last + 1, RETRIES), archive)
+    return len(names)
+
+
+#: Batches of retries are numbered from here, those of the stream below.
+RETRIES = 1 << 40

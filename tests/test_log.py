@@ -231,9 +231,36 @@ def test_watched_folders_take_each_file_once(spark, tmp_path):
         (inbox / name).write_text(name)
     take = lambda df, n: seen.extend(r.path.split("/")[-1] for r in df.collect())
     for _ in range(2):
-        ingest.watch(spark, str(inbox), str(tmp_path / "done"), str(tmp_path / "checkpoint"), take).awaitTermination()
+        ingest.watch(spark, str(inbox), str(tmp_path / "done"), str(tmp_path / "checkpoint"), take, str(tmp_path / "letters")).awaitTermination()
         (inbox / "d.txt").write_text("d")
-    assert sorted(seen) == ["a.txt", "d.txt"]
+    assert sorted(seen) == ["a.txt", "d.txt"] and sorted(p.name for p in inbox.iterdir()) == [".b.txt", "c.part", "d.txt"]
+
+
+def test_one_bad_file_leaves_the_others_ingested(spark, tmp_path):
+    inbox, done, letters = tmp_path / "inbox", str(tmp_path / "done"), str(tmp_path / "letters")
+    inbox.mkdir()
+    for i in range(40):
+        (inbox / f"{i:02}.txt").write_text("bad" if i == 17 else f"good {i}")
+    seen = []
+
+    def take(df, number):
+        checked = df.select("path", F.when(F.col("content").cast("string") == "bad", F.raise_error(F.lit("no good"))).otherwise("ingested").alias("status"), F.col("content").cast("string").alias("text"))
+        found = checked.collect()
+        seen.extend(r.text for r in found)
+        return spark.createDataFrame([(r.path, "failed" if r.text == "good 3" else "ingested") for r in found], "path string, status string")
+
+    run = lambda: ingest.watch(spark, str(inbox), done, str(tmp_path / "checkpoint"), take, letters).awaitTermination()
+    run()
+    told = {r.path.split("/")[-1]: (r.status, r.reason) for r in ingest.letters_of(spark, letters).collect()}
+    assert [n for n, (s, _) in told.items() if s == "ingested"] and sorted(n for n, (s, _) in told.items() if s == "failed") == ["03.txt", "17.txt"] and "no good" in told["17.txt"][1]
+    assert len(told) == 40 and set(seen) == {f"good {i}" for i in range(40) if i != 17} and sorted(p.name for p in inbox.iterdir()) == ["03.txt", "17.txt"]
+    (inbox / "17.txt").write_text("mended")
+    (inbox / "40.txt").write_text("new")
+    assert ingest.retry(spark, str(inbox), done, take, letters) == 2 and "mended" in seen and "new" not in seen
+    run()
+    assert "new" in seen and sorted(p.name for p in inbox.iterdir()) == ["03.txt"]
+    last = {r.path.split("/")[-1]: r.status for r in ingest.letters_of(spark, letters).orderBy("batch").collect()}
+    assert last["17.txt"] == "ingested" and last["03.txt"] == "failed" and last["40.txt"] == "ingested"
 
 
 def test_written_segments_read_back_whole_and_in_order(spark, tmp_path):
