@@ -81,7 +81,7 @@ class Vocabulary:
         self.together[(a * (len(known) + 1) + b)[(a > 0) & (b > 0)]] = True
         self.width = len(known) + 1
         spelt = {i: bytes([b]) for b, i in self.byte_id.items()}
-        self.raw = [spelt.get(i, b"" if i in skipped else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
+        self.raw = pa.array([spelt.get(i, b"" if i in skipped else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)], pa.large_binary())
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code points of all texts with spaces marked, start of each unit, number of units in each text)."""
@@ -101,7 +101,11 @@ class Vocabulary:
         return [self.byte_id[b] for b in (SPACE if character == OWN_SPACE else character).encode("utf-8", "replace")]
 
     def decode(self, ids) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+        """The text of a list or array of ids."""
+        if not len(ids):
+            return ""
+        # the values of what is taken lie one behind the other
+        return self.raw.take(pa.array(np.asarray(ids, np.int64))).buffers()[2].to_pybytes().decode("utf-8", "replace")[1:]
 
 
 @lru_cache(2)
@@ -400,7 +404,7 @@ def encode(documents: DataFrame, k: int = 2, seed: int = 0, path: str | None = N
                 for r, s in enumerate(found):
                     kept = {c: s[c] for c in ("log_prob", "perturbed", "inclusion", "ids")}
                     if restore:
-                        kept["restored"] = lattices.vocabulary.decode(s["ids"].tolist()) == (texts[i] or "")
+                        kept["restored"] = lattices.vocabulary.decode(s["ids"]) == (texts[i] or "")
                     rows.append((ids[i], r, kept))
                 size += sum(len(s["ids"]) for s in found)
                 if size > 1 << 20 or i == len(texts) - 1:
