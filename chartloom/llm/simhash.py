@@ -91,7 +91,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, similar_sh
     component has no other, it is null).  Null, empty and wordless texts have the
     fingerprint 0 and so share a component.  Repeated rows come back repeated.
     With ``similar_shingle``, texts whose shingles of so many words have a Jaccard
-    similarity of 0.8 or more are linked as well (``similar``).
+    similarity of 0.8 or more are linked as well (``similar``).  Texts are read
+    whole, whatever their length; an empty table gives no rows.
     """
     rows = cut(fingerprints(documents))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
@@ -109,7 +110,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, similar_sh
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The columns that the contract of op7 fixes."""
+    """The columns that the contract of op7 fixes, for texts of any length; an empty table gives no rows."""
     found = near_duplicates(documents)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

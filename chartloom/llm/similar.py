@@ -6,7 +6,7 @@ order puts shingles that are common in a sample of the texts last: what the
 sample has decides only how long the lists of a shingle are.  The members of a
 list are first compared with one of them, whose links join most of a group of
 near copies; after that only pairs across components are compared, by their
-whole sets.  Before their texts are fetched, pairs are dropped whose parity
+whole sets, and a long list is first split by further shingles.  Before their texts are fetched, pairs are dropped whose parity
 sketches differ in more bits than their sets may differ in shingles, which no
 pair of 0.8 does.
 """
@@ -14,6 +14,7 @@ pair of 0.8 does.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ SEED = 42
 SHINGLE = 5
 #: Texts of the sample that the order is taken from, and how many of them have a shingle that comes last.
 SAMPLE, COMMON = 20_000, 20
+#: Of the shingles of more than COMMON texts so many are told to every task, 8 bytes each; the others keep their places in the order.
+MOST_COMMON = 1_000_000
+#: Members of a list that are compared in pairs; a longer list is split by the next shingle that two of them share, so many times at most.
+LIST, LEVELS = 256, 4
 #: Bits of a parity sketch; it tells sets of up to some 2,000 shingles apart.
 SKETCH = 1024
 
@@ -67,12 +72,15 @@ def _common(texts: DataFrame, rows: int, shingle: int) -> np.ndarray:
 
     one_in = max(1, rows // SAMPLE)
     tokens = texts.where(F.pmod("h", F.lit(one_in)) == 0).mapInArrow(run, "token long, h long").distinct()
-    often = tokens.groupBy("token").count().where(F.col("count") > COMMON).select("token")
-    return np.array(sorted(r[0] for r in often.collect()), np.int64)  # bounded by the sample
+    often = tokens.groupBy("token").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
+    return np.array(sorted(r[0] for r in often.collect()), np.int64)
 
 
-def _prefixes(texts: DataFrame, common, shingle: int) -> DataFrame:
-    """(token, h, n, at, cold): the prefix of each text's set, each token's place in it, and the number of tokens that aren't common."""
+def _prefixes(texts: DataFrame, common, shingle: int, share: int = 1) -> DataFrame:
+    """(token, h, n, at, cold): the prefix of each text's set, each token's place in it, and the number of tokens that aren't common.
+
+    Of the prefixes of two sets with a similarity of 0.8 at least ``share`` tokens are the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
@@ -82,7 +90,7 @@ def _prefixes(texts: DataFrame, common, shingle: int) -> DataFrame:
                 found = shingle_set(text, shingle)
                 if n := len(found):
                     late = np.isin(found, last, assume_unique=True)
-                    first = np.concatenate((found[~late], found[late]))[: n - (4 * n + 4) // 5 + 1]
+                    first = np.concatenate((found[~late], found[late]))[: n - (4 * n + 4) // 5 + share]
                     k = len(first)
                     parts.append((first, np.full(k, h), np.full(k, n), np.arange(k), np.full(k, n - int(late.sum()))))
             if parts:
@@ -149,10 +157,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: in
     return scratch.store(pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
 
 
-def links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): the pairs across components of lists that their sizes and places allow."""
+    l, r = rows.alias("l"), rows.alias("r")  # noqa: E741
+    across = (F.col("l.h") < F.col("r.h")) & (F.col("l.root") != F.col("r.root"))
+    for k in keys:
+        across = (F.col(f"l.{k}") == F.col(f"r.{k}")) & across
+    return l.join(r, across & _may(F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at"))).select(F.col("l.h").alias("a"), F.col("r.h").alias("b"))
+
+
+def _across(rows: DataFrame, texts: DataFrame, common, shingle: int, scratch: Scratch, most: int, levels: int) -> DataFrame:
+    """(a, b): pairs of texts of different components, such that every similar one is among them, from ``rows`` (token, h, n, at, root).
+
+    A list of more than ``most`` texts is not compared in pairs: two sets that are
+    alike share a second shingle soon behind their first, in prefixes that are
+    longer by one, so a list is split by that, and its parts by a third.  Texts
+    that have little but a frequent shingle in common part at once; only lists that
+    are still long after ``levels`` splits, of sets alike in so many shingles, are
+    compared whole.
+    """
+    keys, found = ["token"], []
+    rows = rows.select("token", "h", "n", "at", "root", F.col("at").alias("last"))
+    for level in range(1, levels + 1):
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys, "m")
+        rows = scratch.store(rows.join(sizes, keys))
+        long = rows.where(F.col("m") > most)
+        if level == levels or long.isEmpty():
+            found.append(_pairs(rows, keys))
+            break
+        found.append(_pairs(rows.where(F.col("m") <= most), keys))
+        wanted = scratch.store(long.select("h").distinct())
+        name = f"token{level + 1}"
+        more = _prefixes(texts.join(wanted, "h", "left_semi").select("id", "h", "text").dropDuplicates(["h"]), common, shingle, level + 1)
+        more = more.select("h", F.col("token").alias(name), F.col("at").alias("next"))
+        rows = long.drop("m").join(more, "h").where(F.col("next") > F.col("last")).drop("last").withColumnRenamed("next", "last")
+        keys = [*keys, name]
+    return reduce(DataFrame.union, found)
+
+
+def links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int = SHINGLE, most: int | None = None, levels: int | None = None) -> DataFrame:
     """(u, v): links of fingerprints that, with ``known`` (u, v), connect all texts with a similarity of 0.8 or more.
 
-    ``rows``: (doc_id, text_hash, fp) of each row of ``documents``; rows of one fingerprint count as connected.
+    ``rows``: (doc_id, text_hash, fp) of each row of ``documents``; rows of one
+    fingerprint count as connected, so repeated rows and texts need no link.  Null,
+    empty and wordless texts have no shingle and are linked with nothing here; a
+    text of fewer words than a shingle is one.  Texts are read whole, whatever
+    their length; ``most`` and ``levels`` decide the way (see ``_across``), not the
+    links; an empty table gives none.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -171,12 +222,8 @@ def links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int
     roots = components(known.unionByName(first))
     labelled = members.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     labelled = scratch.store(labelled)
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    open_ = scratch.store(labelled.join(mixed, "token"))
-    l, r = open_.alias("l"), open_.alias("r")  # noqa: E741
-    across = (F.col("l.token") == F.col("r.token")) & (F.col("l.h") < F.col("r.h")) & (F.col("l.root") != F.col("r.root"))
-    rest = l.join(r, across & _may(F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at")))
-    second = _verified(scratch.store(_plausible(rest.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct(), sketches)), texts, owners, shingle, scratch)
+    rest = _across(labelled, texts, common, shingle, scratch, most or LIST, levels or LEVELS)
+    second = _verified(scratch.store(_plausible(rest.distinct(), sketches)), texts, owners, shingle, scratch)
     found = cut(first.unionByName(second))
     scratch.drop()
     return found

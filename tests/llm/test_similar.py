@@ -33,9 +33,11 @@ def brute(rows):
     return {i: find(i) for i in range(len(rows))}, wide
 
 
-@pytest.mark.parametrize("common", [20, 3])
-def test_pairs_of_five_words_are_those_of_brute_force(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "most", "levels"), [(20, 256, 4), (3, 256, 4), (3, 1, 3), (10**6, 4, 2)])
+def test_pairs_of_five_words_are_those_of_brute_force(spark, monkeypatch, common, most, levels):
     monkeypatch.setattr(similar, "COMMON", common)
+    monkeypatch.setattr(similar, "LIST", most)
+    monkeypatch.setattr(similar, "LEVELS", levels)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
     line = " ".join(rng.choices(vocabulary, k=12))
@@ -64,3 +66,23 @@ def test_sketches_differ_in_no_more_bits_than_the_sets():
         for x, y in ((a, b), (a, a[: len(a) // 2]), (a, a)):
             bits = sum(bin((int(p) ^ int(q)) & (2**64 - 1)).count("1") for p, q in zip(similar.sketch(x), similar.sketch(y), strict=True))
             assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_a_long_list_is_not_compared_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "COMMON", 10**9)  # no shingle counts as frequent, so one list has all texts
+    made = []
+
+    def counted(rows, keys, f=similar._pairs):
+        found = f(rows, keys)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(similar, "_pairs", counted)
+    rng = random.Random(5)
+    # five words whose hash comes first in every prefix
+    line = next(x for x in (f"the same five words {i}" for i in range(10**6)) if similar.shingle_set(x)[0] < -(1 << 63) + (1 << 52))
+    rows = [f"{line} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(4000)]
+    rows.append(rows[7] + " end")
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    assert simhash.keep_first(documents, similar_shingle=5).count() == 4000
+    assert len(made) > 1 and sum(made) < 4000
