@@ -14,6 +14,7 @@ windows by a shuffle instead (``_by_join``), with the same result.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,20 +58,21 @@ def _constants(rows: list, n: int) -> str:
 
 
 def _by_constants(words: Column, rows: list, buckets: int) -> Column:
-    """The verified hits of a row, as HIT."""
-    table = F.from_json(F.lit(_constants(rows, buckets)), "array<array<struct<w:array<string>,items:array<string>>>>")
-    hits = []
-    for size in sorted({len(r["words"]) for r in rows}):
-        heads = sorted({r["words"][0] for r in rows if len(r["words"]) == size})
-        found = lambda w, i, size=size: let(
-            _window(w, i, size), lambda g: F.filter(F.element_at(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int") + 1), lambda e: e["w"] == g)
-        )
-        starts = lambda w, size=size: F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
-        at = lambda w, size=size, heads=heads, found=found, starts=starts: F.transform(
-            F.filter(starts(w), lambda i: F.element_at(w, i).isin(heads) & (F.size(found(w, i)) > 0)),
-            lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), found(w, i)[0]["items"].alias("items")),
-        )
-        hits.append(at)
+    """The verified hits of a row, as HIT; each window stands once among the constants, in the table of its size."""
+
+    def of_size(size: int) -> Callable[[Column], Column]:
+        own = [r for r in rows if len(r["words"]) == size]
+        heads = sorted({r["words"][0] for r in own})
+        table = F.from_json(F.lit(_constants(own, buckets)), "array<array<struct<w:array<string>,items:array<string>>>>")
+
+        def found(w: Column, i: Column) -> Column:
+            same = lambda g: F.filter(F.element_at(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int") + 1), lambda e: e["w"] == g)
+            return F.struct(i.alias("start"), F.lit(size).alias("size"), F.get(let(_window(w, i, size), same), 0)["items"].alias("items"))
+
+        starts = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return lambda w: F.filter(F.transform(F.filter(starts(w), lambda i: F.element_at(w, i).isin(heads)), lambda i: found(w, i)), lambda x: x["items"].isNotNull())
+
+    hits = [of_size(size) for size in sorted({len(r["words"]) for r in rows})]
     return let(words, lambda w: F.concat(F.array().cast(HIT), *(at(w) for at in hits)))
 
 
@@ -118,7 +120,10 @@ def _judged(documents: DataFrame, benchmark: DataFrame, name: str, window: int,
         keyed = documents.withColumn(key, F.sha2(text, 256))
         # stored, so that the join below reads it anew and a text with very many copies can be split
         matched = cut(_by_join(keyed.where(text.isNotNull()).select(text.alias("text"), F.col(key).alias("key")), windows))
-        documents = keyed.join(matched.select(F.col("key").alias(key), F.col("hits").alias(hits)), key, "left")
+        matched = matched.select(F.col("key").alias(key), F.col("hits").alias(hits))
+        # null texts have no key to be dealt by
+        null = keyed.where(text.isNull()).withColumn(hits, F.lit(None).cast(matched.schema[hits].dataType))
+        documents = keyed.where(text.isNotNull()).join(matched, key, "left").select(*keyed.columns, hits).unionByName(null)
         found = F.struct(F.size(words_of(text)).alias("n"), F.coalesce(F.col(hits), F.array().cast(HIT)).alias("hits"))
 
     def counted(x: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -97,3 +98,16 @@ def test_empty_tables(spark):
         got = decontaminate.match(documents, nothing, max_windows=most).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got) == [(1, 3, 0, False), (2, 0, 0, False)]
     assert decontaminate.match(documents.limit(0), spark.createDataFrame([(1, "one two")], "item_id long, text string")).collect() == []
+
+
+def test_each_window_stands_once_in_the_plan(spark):
+    items = spark.range(13_000).selectExpr("id AS item_id", "array_join(transform(sequence(1, CAST(id % 13 AS int) + 1), i -> concat('w', hex(id * 31 + i * 7919))), ' ') AS text")
+    first = items.where("item_id = 12").first().text
+    documents = spark.createDataFrame([(1, "x " * 30), (2, None), (3, "a " + first + " b")], "doc_id long, text string")
+    began = time.time()
+    found = decontaminate.digest(documents, items)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.n_hit, r.contaminated) for r in found.collect()}
+    assert got == {1: (0, False), 2: (0, False), 3: (13, True)} and time.time() - began < 60
+    # a word stands in one table of constants, a window's first one also in the list of first words
+    assert all(len(re.findall(rf"\b{w}\b", plan)) <= 2 for w in first.split())
