@@ -20,6 +20,14 @@ def series(points: DataFrame, group: list[str], date: str, value: str, position:
     )
 
 
+def named(rows: DataFrame, group: list[str], raw: str, canonical: str, key: str, position: list[str], codes: list[str]) -> DataFrame:
+    """(group, name, codes): canonical name and codes of the first row that has a key, else the first row's raw name and no codes."""
+    order = F.struct(*position)
+    first = F.min_by(F.struct(F.coalesce(canonical, raw).alias("name"), *codes), F.when(F.col(key).isNotNull(), order))
+    found = rows.groupBy(*group).agg(first.alias("_f"), F.min_by(raw, order).alias("_raw"))
+    return found.select(*group, F.coalesce("_f.name", "_raw").alias("name"), *(F.col(f"_f.{c}").alias(c) for c in codes))
+
+
 def any_abnormal(points: DataFrame, group: list[str], flag: str = "flag") -> DataFrame:
     """(group, any_abnormal): whether any point is high or low."""
     return points.groupBy(*group).agg(F.coalesce(F.bool_or(F.col(flag).isin("H", "L")), F.lit(False)).alias("any_abnormal"))
@@ -50,9 +58,19 @@ def conditions(found: DataFrame, group: list[str], text: str, date: str, icd: st
     return rows.groupBy(*group, text).agg(F.min(date).alias("onset"), first_code, F.array_sort(F.collect_set(position[0])).alias("sources"))
 
 
-def merge_problems(conditions: DataFrame, key: Column, term: str, onset: str, source: str) -> DataFrame:
-    """(key, term, onset, sources): the shortest mention, then the least, stands for the group."""
-    return conditions.groupBy(key.alias("key")).agg(F.min_by(term, F.struct(F.length(term), term)).alias("term"), F.min(onset).alias("onset"), F.array_sort(F.collect_set(source)).alias("sources"))
+def merge_problems(conditions: DataFrame, key: Column, term: str, onset: str, source: str, group: list[str] | None = None, icd: str | None = None) -> DataFrame:
+    """(group, key, term, onset, sources, icd_code): the shortest mention, then the least, stands for the problem.
+
+    ``source`` may be an array of sources.  With ``icd`` the code of the earliest
+    mention that has one is the problem's.
+    """
+    group, rows = group or [], conditions
+    if conditions.schema[source].dataType.typeName() != "array":
+        rows = rows.withColumn(source, F.when(F.col(source).isNotNull(), F.array(source)))
+    parts = [F.min_by(term, F.struct(F.length(term), term)).alias("term"), F.min(onset).alias("onset"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(source)))).alias("sources")]
+    if icd:
+        parts.append(F.min_by(icd, F.when(F.col(icd).isNotNull(), F.struct(F.col(onset).isNull(), onset, term))).alias("icd_code"))
+    return rows.groupBy(*group, key.alias("key")).agg(*parts)
 
 
 def matched_disease(condition: Column, diseases: list[str]) -> Column:
@@ -74,13 +92,25 @@ def attach_by_prefix(codes: DataFrame, prefixes: DataFrame, code: str, prefix: s
     return found.join(clean, F.col("_begin") == F.col("_prefix")).drop("_begin", "_prefix")
 
 
-def notable(points: DataFrame, group: list[str], series_key: str, date: str, value: str, position: str, k: int = 4) -> DataFrame:
-    """The k series of each group with the greatest relative change between their first and last dated points."""
-    dated = points.where(F.col(date).isNotNull())
-    ends = dated.groupBy(*group, series_key).agg(F.min_by(value, F.struct(date, position)).alias("first"), F.max_by(value, F.struct(date, position)).alias("last"), F.count("*").alias("n"))
-    change = F.abs(F.col("last") - F.col("first"))
-    ranked = ends.where("n >= 2").withColumn("change", F.when(F.col("first") == 0, change).otherwise(change / F.abs("first")))
-    return top_k(ranked, group, [F.desc("change"), F.asc(series_key)], k)
+def ends(points: DataFrame, group: list[str], date: str, position: list[str], values: list[str]) -> DataFrame:
+    """(group, first, last, n): the values of the first and last dated points, or of the first and last where none is dated."""
+    at = F.struct(*position)
+    first, last = F.struct(F.col(date).isNull(), date, at), F.struct(F.col(date).isNotNull(), date, at)
+    return points.groupBy(*group).agg(F.min_by(F.struct(*values), first).alias("first"), F.max_by(F.struct(*values), last).alias("last"), F.count("*").alias("n"))
+
+
+def notable(points: DataFrame, group: list[str], series_key: str, date: str, value: str, position: str | list[str], k: int = 4, flag: str | None = None) -> DataFrame:
+    """The k series of each group, of two points or more, that change most between their first and last points, with ``first``, ``last`` and ``rank``.
+
+    With a ``flag`` those come first of which one end is high or low and the other
+    isn't; then the relative change decides, then the key.
+    """
+    found = ends(points, [*group, series_key], date, [position] if isinstance(position, str) else position, [value, *([flag] if flag else [])]).where("n >= 2")
+    off = lambda c: F.coalesce(F.col(f"{c}.{flag}").isin("H", "L"), F.lit(False)) if flag else F.lit(False)
+    first, last = F.col(f"first.{value}"), F.col(f"last.{value}")
+    change = F.abs(last - first)
+    ranked = found.select(*group, series_key, first.alias("first"), last.alias("last"), "n", (off("first") != off("last")).alias("crossed"), F.when(first == 0, change).otherwise(change / F.abs(first)).alias("change"))
+    return top_k(ranked, group, [F.desc("crossed"), F.desc("change"), F.asc(series_key)], k)
 
 
 def share_tiers(studies: DataFrame, group: str, position: list[str], size: str, study_cap: int, total_cap: int) -> DataFrame:

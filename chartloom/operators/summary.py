@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chartloom.functions import lines as L
 from chartloom.functions import sections as S
 from chartloom.functions import text as T
-from chartloom.operators import clinical, records, terms
+from chartloom.operators import clinical, containment, records, terms
+from chartloom.session import cut
 
 # fixed values: stems under which variants of a disease are one problem
 STEMS = "脑梗死 脑梗塞 脑出血 脑卒中".split()
@@ -44,64 +45,74 @@ def observations(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame)
     return labs, meds.join(names, "key", "left").join(about, "doc")
 
 
-def condition_key(raw: Column, diseases: list[str]) -> Column:
+def condition_key(raw: Column, disease: Column) -> Column:
+    """What a mention is merged by: the disease of the map that it matches, else a stem in it, else itself."""
     found = F.trim(raw)
     for stem in reversed(STEMS):
         found = F.when(raw.contains(stem), stem).otherwise(found)
-    return F.coalesce(clinical.matched_disease(raw, diseases), found)
+    return F.coalesce(disease, found)
 
 
-def summarise(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame, problem_labs: DataFrame, problem_drugs: DataFrame, diseases: list[str]) -> DataFrame:
+def with_disease(rows: DataFrame, column: str, diseases: DataFrame) -> DataFrame:
+    """``rows`` with ``disease``: the first of ``diseases`` (disease, place) that contains the text or is contained in it."""
+    found = containment.first_match(rows.select(column), diseases, column, "disease", "place")
+    return rows.join(found, column, "left")
+
+
+def summarise(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame, problem_labs: DataFrame, problem_drugs: DataFrame, diseases: list[str] | DataFrame) -> DataFrame:
     """(patient, problems, allergies, notable_changes, imaging, pathology); absent parts are null.
 
     ``docs``: patient, doc (rising in record order), date, doc_type, title, text;
     ``problem_labs``: disease, loinc; ``problem_drugs``: disease, atc (a prefix, * at
-    its end ignored).  Series and spans that no problem claims come under 其他.
+    its end ignored); ``diseases``: names in their order, or (disease, place).
+    Series and spans that no problem claims come under 其他.
     """
-    labs, meds = observations(docs, dictionary, conversions)
+    spark = docs.sparkSession
+    if not isinstance(diseases, DataFrame):
+        diseases = spark.createDataFrame(list(zip(diseases, range(len(diseases)), strict=True)), "disease string, place int")
+    # what several parts are made of is written once
+    labs, meds = map(cut, observations(docs, dictionary, conversions))
     # analytes group by their key, or by their raw name in a space of its own
     group = F.coalesce(F.concat(F.lit("k:"), "key"), F.concat(F.lit("r:"), "raw_name"))
-    value = labs.withColumns({"grp": group, "name": F.coalesce("canonical_name", "raw_name"), "shown": F.coalesce("canonical", "value"), "pos": F.struct("doc", "line_no")})
-    point = F.struct(F.date_format("date", "yyyy-MM").alias("month"), F.col("shown").alias("value"))
-    order = F.struct(F.col("date").isNull(), "date", "pos")
-    dated = F.col("date").isNotNull()
-    series = value.groupBy("patient", "grp").agg(
-        F.min_by("name", order).alias("name"), F.max("loinc").alias("loinc"), F.max_by("unit", order).alias("unit"), F.count("*").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.when(dated, F.struct("date", "pos", point.alias("p"))))), lambda x: x["p"]).alias("points"),
-        F.coalesce(F.bool_or(F.col("flag").isin("H", "L")), F.lit(False)).alias("abnormal"),
-        F.min_by(F.struct("shown", "flag"), order).alias("first"), F.max_by(F.struct("shown", "flag"), F.when(dated, F.struct("date", "pos"))).alias("last"),
-    )
-    taken = meds.withColumns({"grp": group, "name": F.coalesce("canonical_name", "raw_name"), "dose_text": T.dose_text(F.col("dose"), F.col("dose_unit"), F.col("frequency"))})
-    spans = clinical.spans(taken, ["patient", "grp"], "date", ["doc", "line_no"], "dose_text", "doc")
-    spans = spans.join(taken.groupBy("patient", "grp").agg(F.min("name").alias("name"), F.max("atc").alias("atc")), ["patient", "grp"])
+    one = ["patient", "grp"]
+    points = labs.withColumns({"grp": group, "shown": F.coalesce("canonical", "value")})
+    place = ["doc", "line_no"]
+    series = clinical.series(points, one, "date", "shown", place).join(clinical.named(points, one, "raw_name", "canonical_name", "key", place, ["loinc"]), one)
+    series = series.join(clinical.latest(points, one, "date", place, ["ref_low", "ref_high"], F.col("ref_low").isNotNull() | F.col("ref_high").isNotNull()), one, "left")
+    last = F.max_by(F.struct("unit"), F.struct(F.col("date").isNull(), "date", *place))
+    series = series.join(points.groupBy(*one).agg(last["unit"].alias("unit"), F.array_sort(F.collect_set("doc")).alias("evidence")), one)
+    dated = F.filter("points", lambda p: p["date"].isNotNull())
+    series = series.withColumn("points", F.transform(dated, lambda p: F.struct(F.date_format(p["date"], "yyyy-MM").alias("month"), p["value"].alias("value")))).withColumnRenamed("any_abnormal", "abnormal")
+    series = cut(series)
+    taken = meds.withColumns({"grp": group, "dose_text": T.dose_text(F.col("dose"), F.col("dose_unit"), F.col("frequency"))})
+    spans = clinical.spans(taken, one, "date", place, "dose_text", "doc").withColumnRenamed("dose_text", "dose")
+    spans = cut(spans.join(clinical.named(taken, one, "raw_name", "canonical_name", "key", place, ["atc"]), one))
 
     found = S.conditions(records.line_rows(docs, "doc"), "doc").join(docs.select("doc", "patient", "date"), "doc")
-    keyed = found.withColumn("ckey", condition_key(F.col("raw_text"), diseases))
-    problems = keyed.groupBy("patient", "ckey").agg(
-        F.min_by("raw_text", F.struct(F.length("raw_text"), "raw_text")).alias("term"), F.min("date").alias("onset"), F.array_sort(F.collect_set("doc")).alias("evidence")
-    ).withColumn("disease", clinical.matched_disease(F.col("term"), diseases))
+    mentions = with_disease(clinical.conditions(found, ["patient"], "raw_text", "date", "icd_code", ["doc", "line_no", "position"]), "raw_text", diseases)
+    problems = clinical.merge_problems(mentions, condition_key(F.col("raw_text"), F.col("disease")), "raw_text", "onset", "sources", ["patient"], "icd_code").withColumnsRenamed({"key": "ckey", "sources": "evidence"})
+    problems = cut(with_disease(problems, "term", diseases))
     owned = problems.where("disease IS NOT NULL").select("patient", "ckey", "disease")
-    lab_links = series.join(problem_labs.distinct(), "loinc").join(owned, ["patient", "disease"])
+    lab_links = series.join(problem_labs.distinct(), "loinc").join(owned, ["patient", "disease"]).dropDuplicates(["patient", "ckey", "grp"])
     med_links = clinical.attach_by_prefix(spans.where("atc IS NOT NULL").withColumnRenamed("atc", "code"), problem_drugs.distinct(), "code", "atc").drop("atc").withColumnRenamed("code", "atc")
     med_links = med_links.join(owned, ["patient", "disease"]).dropDuplicates(["patient", "ckey", "grp"])
-    lab_fields, med_fields = ["name", "unit", "points", "abnormal"], ["name", "start", "end", "dose", "sources"]
+    lab_fields, med_fields = ["name", "unit", "ref_low", "ref_high", "points", "abnormal", "evidence"], ["name", "start", "end", "dose", "sources"]
     lab_lists = _listed(lab_links, ["patient", "ckey"], "labs", ["name", "grp"], lab_fields)
     med_lists = _listed(med_links, ["patient", "ckey"], "meds", ["name", "grp"], med_fields)
     rows = problems.join(lab_lists, ["patient", "ckey"], "left").join(med_lists, ["patient", "ckey"], "left")
     warn = F.exists(F.coalesce("labs", F.array().cast(lab_lists.schema["labs"].dataType)), lambda s: s["abnormal"])
-    rows = rows.select("patient", F.lit(0).alias("late"), "term", "onset", warn.alias("warn"), "evidence", "labs", "meds")
-    left_labs = _listed(series.join(lab_links.select("patient", "grp").distinct(), ["patient", "grp"], "left_anti"), ["patient"], "labs", ["name", "grp"], lab_fields)
-    left_meds = _listed(spans.join(med_links.select("patient", "grp").distinct(), ["patient", "grp"], "left_anti"), ["patient"], "meds", ["name", "grp"], med_fields)
-    other = left_labs.join(left_meds, "patient", "full").select("patient", F.lit(1).alias("late"), F.lit("其他").alias("term"), F.lit(None).cast("date").alias("onset"), warn.alias("warn"), F.lit(None).cast(problems.schema["evidence"].dataType).alias("evidence"), "labs", "meds")
+    rows = rows.select("patient", F.lit(0).alias("late"), "term", "onset", "icd_code", warn.alias("warn"), "evidence", "labs", "meds")
+    left_labs = _listed(clinical.unattached(series, lab_links, one), ["patient"], "labs", ["name", "grp"], lab_fields)
+    left_meds = _listed(clinical.unattached(spans, med_links, one), ["patient"], "meds", ["name", "grp"], med_fields)
+    none = lambda name: F.lit(None).cast(problems.schema[name].dataType).alias(name)
+    other = left_labs.join(left_meds, "patient", "full").select("patient", F.lit(1).alias("late"), F.lit("其他").alias("term"), none("onset"), none("icd_code"), warn.alias("warn"), none("evidence"), "labs", "meds")
     every = rows.unionByName(other).withColumns({"undated": F.col("onset").isNull(), "status": F.when(F.col("late") == 1, "其他").when(F.col("warn"), "需关注").otherwise("在管")})
-    out = _listed(every, ["patient"], "problems", ["late", "undated", "onset", "term"], ["term", "onset", "status", "warn", "evidence", "labs", "meds"])
-
-    changed = lab_links.where("abnormal AND n >= 2").dropDuplicates(["patient", "grp"])
-    off = lambda c: F.coalesce(F.col(f"{c}.flag").isin("H", "L"), F.lit(False))
-    size = F.abs(F.col("last.shown") - F.col("first.shown"))
-    ranked = changed.withColumns({"crossed": (off("first") != off("last")).cast("int"), "size": F.when(F.col("first.shown") == 0, size).otherwise(size / F.abs("first.shown"))})
-    ranked = records.top_k(ranked, ["patient"], [F.desc("crossed"), F.desc("size"), F.asc("name")], 4)
-    text = F.concat("name", F.lit(" "), T.plain_number(F.col("first.shown")), F.lit("→"), T.plain_number(F.col("last.shown")), F.coalesce("unit", F.lit("")))
+    out = _listed(every, ["patient"], "problems", ["late", "undated", "onset", "term"], ["term", "onset", "icd_code", "status", "warn", "evidence", "labs", "meds"])
+
+    # a series that several problems have counts once; its name decides between equals
+    watched = lab_links.where("abnormal").select(*one, "name", "unit").distinct().withColumn("series", F.struct("name", "grp"))
+    ranked = clinical.notable(points.select(*one, "date", "shown", "flag", *place).join(watched, one), ["patient"], "series", "date", "shown", place, 4, "flag").join(watched.select("patient", "series", "unit"), ["patient", "series"])
+    text = F.concat("series.name", F.lit(" "), T.plain_number(F.col("first")), F.lit("→"), T.plain_number(F.col("last")), F.coalesce("unit", F.lit("")))
     notable = _listed(ranked.withColumn("text", text), ["patient"], "notable_changes", ["rank"], ["text"]).withColumn("notable_changes", F.col("notable_changes.text"))
 
     reactions = L.allergies(records.line_rows(docs, "doc"), "doc").join(docs.select("doc", "patient"), "doc")
@@ -132,10 +143,10 @@ def trim(summary: DataFrame, problems: int = 6, labs: int = 2, points: int = 4,
     """
     tail = lambda a, n: F.slice(a, F.greatest(F.size(a) - (n - 1), F.lit(1)), n)
     problem = summary.schema["problems"].dataType.elementType
-    ends, medication = "end" in problem.names, problem["meds"].dataType.elementType
+    ends, medication, measured = "end" in problem.names, problem["meds"].dataType.elementType, problem["labs"].dataType.elementType.names
     healed = lambda p: p["end"].isNotNull() if ends else F.lit(False)
     active = lambda m: F.coalesce(m["on"], F.lit(False)) if active_only and "on" in medication.names else F.lit(True)
-    lab = lambda s: F.struct(s["name"].alias("name"), s["unit"].alias("unit"), tail(s["points"], points).alias("points"), s["abnormal"].alias("abnormal"))
+    lab = lambda s: F.struct(*(s[f].alias(f) for f in ("name", "unit", "ref_low", "ref_high") if f in measured), tail(s["points"], points).alias("points"), s["abnormal"].alias("abnormal"))
     one = lambda p: F.struct(
         *(p[f].alias(f) for f in problem.names if f not in ("labs", "meds", "evidence")),
         F.transform(F.slice(p["labs"], 1, labs), lab).alias("labs"), F.slice(F.filter(p["meds"], active), 1, meds).alias("meds"),

@@ -49,6 +49,7 @@ DOCS = [
     (7, 1, D(2023, 1, 5), "lab_report", None, "血糖 8.1 mmol/L 3.9-6.1\n肌酐 80 umol/L 59-104\n怪指标 5 U/L 1-3"),
     (7, 2, D(2024, 1, 5), "lab_report", None, "血糖 5.9 mmol/L 3.9-6.1"),
     (7, 3, D(2023, 2, 1), "discharge_summary", None, "出院诊断:2型糖尿病、慢性胃炎\n过敏史:青霉素(皮疹)\n出院带药\n二甲双胍 0.5g bid\n奥美拉唑 20mg qd"),
+    (7, 9, D(2022, 12, 1), "discharge_summary", None, "出院诊断:2型糖尿病(E11.9)"),
     (7, 4, None, "imaging_report", "胸部CT", "结论:未见异常"), (7, 5, D(2023, 3, 1), "pathology", None, "病理诊断:慢性炎症"),
     (8, 6, None, "other", None, "nothing"),
 ]
@@ -73,7 +74,8 @@ def test_summary(summaries):
     diabetes, gastritis, other = one.problems
     assert diabetes.warn and diabetes.status == "需关注" and [s.name for s in diabetes.labs] == ["血糖"] and [m.name for m in diabetes.meds] == ["二甲双胍"]
     assert [(p.month, p.value) for p in diabetes.labs[0].points] == [("2023-01", 8.1), ("2024-01", 5.9)]
-    assert diabetes.meds[0].dose == "0.5g bid" and diabetes.onset == D(2023, 2, 1) and diabetes.evidence == [3]
+    assert diabetes.meds[0].dose == "0.5g bid" and diabetes.onset == D(2022, 12, 1) and diabetes.evidence == [3, 9] and diabetes.icd_code == "E11.9"
+    assert (diabetes.labs[0].ref_low, diabetes.labs[0].ref_high, diabetes.labs[0].evidence) == (3.9, 6.1, [1, 2])
     assert gastritis.labs is None and {s.name for s in other.labs} == {"怪指标", "肌酐"} and [m.name for m in other.meds] == ["奥美拉唑"] and other.warn
     assert one.notable_changes == ["血糖 8.1→5.9mmol/L"]
     assert [(a.substance, a.reaction) for a in one.allergies] == [("青霉素", "皮疹")]
