@@ -34,14 +34,14 @@ def observations(docs: DataFrame, dictionary: DataFrame, conversions: DataFrame)
     about = lines.select("doc", "patient", "date").distinct()
     row_id = F.concat_ws(":", "doc", "line_no")
     labs = L.lab_rows(lines.where(whole("lab") | (F.col("section") == "labs")), "doc").withColumn("row", row_id)
-    labs = terms.resolve(labs, index, "row", "raw_name", conversions, "unit").where("has_evidence OR key IS NOT NULL")
+    labs = terms.resolve(labs, index, "raw_name", conversions, "unit").where("has_evidence OR key IS NOT NULL")
     labs = terms.convert(labs, conversions, "value", "unit").join(names, "key", "left").join(about, "doc")
     # a list of medications within a section is taken apart first
     parts = F.when(whole("prescription"), F.array("line")).otherwise(T.medication_lines(F.col("line")))
     said = lines.where(whole("prescription") | (F.col("section") == "meds")).select("doc", "line_no", F.posexplode(parts).alias("_part", "line"))
     said = said.select(F.struct("doc", "line_no", "_part").alias("_at"), "line_no", "line")
     meds = L.medication_rows(said, "_at").withColumn("row", F.concat_ws(":", "_at.doc", "line_no", "_at._part")).withColumn("doc", F.col("_at.doc")).drop("_at")
-    meds = terms.resolve(meds, index, "row", "raw_name", drugs_only=True).where("has_evidence OR key IS NOT NULL")
+    meds = terms.resolve(meds, index, "raw_name", drugs_only=True).where("has_evidence OR key IS NOT NULL")
     return labs, meds.join(names, "key", "left").join(about, "doc")
 
 

@@ -79,32 +79,35 @@ def drug_stems(norm: Column) -> Column:
     return F.filter(every, lambda c: c.isNotNull() & (F.length(c) > 1) & (c != norm))
 
 
-def resolve(rows: DataFrame, index: DataFrame, row: str, term: str, accepted: DataFrame | None = None, unit: str | None = None, drugs_only: bool = False) -> DataFrame:
+def resolve(rows: DataFrame, index: DataFrame, term: str, accepted: DataFrame | None = None, unit: str | None = None, drugs_only: bool = False) -> DataFrame:
     """``rows`` with key and confidence of the best candidate, null where none is known.
 
     A candidate stands for its exact alias, else its known misreading, else (at
     0.8) the first of its ``drug_stems`` that is a drug's alias.  Better among
     candidates: its unit is accepted, then the confidence, then a longer alias,
-    then an earlier candidate.  The index is broadcast only below BROADCAST_ALIASES.
+    then an earlier candidate.  Each different term (and unit) is resolved once.
+    The index and the units are broadcast only below BROADCAST_ALIASES rows.
     """
-    small = index.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
-    look = F.broadcast(index) if small else index
-    cased = rows.select(row, *([unit] if unit else []), F.posexplode(candidates(F.col(term))).alias("_pos", "_cand")).withColumn("_norm", T.normal_term(F.col("_cand")))
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES else df
+    said = F.col(unit) if unit else F.lit(None).cast("string")
+    asked = rows.where(F.col(term).isNotNull()).select(F.col(term).alias("_term"), said.alias("_said")).distinct()
+    cased = asked.select("*", F.posexplode(candidates(F.col("_term"))).alias("_pos", "_cand")).withColumn("_norm", T.normal_term(F.col("_cand")))
     first = F.array(F.struct(F.col("_norm").alias("norm"), F.lit("drug" if drugs_only else "any").alias("space")))
     stems = F.transform(drug_stems(F.col("_norm")), lambda s: F.struct(s.alias("norm"), F.lit("drug").alias("space")))
-    forms = cased.where("_norm <> ''").select(row, *([unit] if unit else []), "_pos", F.posexplode(F.concat(first, stems)).alias("_tier", "_f"))
-    hits = forms.join(look, (F.col("_f.norm") == F.col("alias_norm")) & (F.col("_f.space") == F.col("space"))).where((F.col("_tier") == 0) | (F.col("confidence") == 1))
+    forms = cased.where("_norm <> ''").select("_term", "_said", "_pos", F.posexplode(F.concat(first, stems)).alias("_tier", "_f"))
+    hits = forms.join(few(index), (F.col("_f.norm") == F.col("alias_norm")) & (F.col("_f.space") == F.col("space"))).where((F.col("_tier") == 0) | (F.col("confidence") == 1))
     good = F.lit(0)
     if accepted is not None and unit is not None:
         known = accepted.select(F.col("key").alias("_key"), F.col("unit_norm").alias("_unit")).distinct().withColumn("_ok", F.lit(1))
-        hits = hits.join(F.broadcast(known) if small else known, (F.col("key") == F.col("_key")) & (T.normal_unit(F.col(unit)) == F.col("_unit")), "left")
+        hits = hits.join(few(known), (F.col("key") == F.col("_key")) & (T.normal_unit(F.col("_said")) == F.col("_unit")), "left")
         good = F.coalesce("_ok", F.lit(0))
     confidence = F.when(F.col("_tier") > 0, STRIPPED).otherwise(F.col("confidence"))
     hit = F.struct(good.alias("a"), F.floor(confidence * 100).alias("b"), F.col("alias_length").alias("c"), (-F.col("_pos")).alias("d"), (-F.col("_tier")).alias("tier"), "key", confidence.alias("confidence"))
-    # the hits of a row are as few as its candidates; of each candidate the first form counts
+    # the hits of a term are as few as its candidates; of each candidate the first form counts
     best = lambda h: F.array_max(F.filter(h, lambda x: ~F.exists(h, lambda y: (y["d"] == x["d"]) & (y["tier"] > x["tier"]))))
-    found = hits.groupBy(row).agg(F.collect_list(hit).alias("_h")).select(row, best(F.col("_h")).alias("_b"))
-    return rows.join(found.select(row, "_b.key", "_b.confidence"), row, "left")
+    found = hits.groupBy("_term", "_said").agg(F.collect_list(hit).alias("_h")).select("_term", "_said", best(F.col("_h")).alias("_b"))
+    found = found.select("_term", "_said", F.col("_b.key").alias("key"), F.col("_b.confidence").alias("confidence"))
+    return rows.join(found, (F.col(term) == F.col("_term")) & said.eqNullSafe(F.col("_said")), "left").drop("_term", "_said")
 
 
 def convert(rows: DataFrame, conversions: DataFrame, value: str, unit: str) -> DataFrame:

@@ -318,7 +318,7 @@ def dict_resolve(t):
     brands = part.groupBy("p_brand").agg(F.min("p_partkey").alias("key")).select("key", F.lit("lab").alias("category"), F.array("p_brand").alias("aliases"), none.alias("confusions"))
     types = part.select("p_type").distinct().select(F.lit(-1).cast("long").alias("key"), F.lit("drug").alias("category"), F.array("p_type").alias("aliases"), none.alias("confusions"))
     rows = part.select("p_partkey", F.concat(F.col("p_brand"), F.lit(" ("), F.col("p_type"), F.lit(")")).alias("term"))
-    return terms.resolve(rows, terms.alias_index(brands.union(types)), "p_partkey", "term").select("p_partkey", "key")
+    return terms.resolve(rows, terms.alias_index(brands.union(types)), "term").select("p_partkey", "key")
 
 
 @query("""SELECT o_custkey, count(*) AS n_points, string_agg(strftime(o_orderdate, '%Y-%m') || '=' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ';' ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_quantity) AS points, bool_or(l_returnflag = 'R') AS any_abnormal

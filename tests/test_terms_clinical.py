@@ -15,7 +15,7 @@ def test_resolution_prefers_units_then_confidence_then_length(spark):
     index = terms.alias_index(spark.createDataFrame(entries, "key string, category string, aliases array<string>, confusions array<string>"))
     rows = [(1, "血糖(GLU)", "mmol/L"), (2, "血塘", None), (3, "盐酸二甲双胍", None), (4, "二甲双胍缓释片0.5g", None), (5, "葡萄糖", "mg"), (6, "unknown", None), (7, "糖化血红蛋白 血糖", "mmol/L")]
     accepted = spark.createDataFrame([("glucose", "mmol/L")], "key string, unit_norm string")
-    got = {r.i: (r.key, r.confidence) for r in terms.resolve(spark.createDataFrame(rows, "i int, t string, u string"), index, "i", "t", accepted, "u").collect()}
+    got = {r.i: (r.key, r.confidence) for r in terms.resolve(spark.createDataFrame(rows, "i int, t string, u string"), index, "t", accepted, "u").collect()}
     assert got == {1: ("glucose", 1.0), 2: ("glucose", 0.5), 3: ("metformin", 0.8), 4: ("metformin", 0.8), 5: ("glucose_urine", 1.0), 6: (None, None), 7: ("glucose", 1.0)}
 
 
@@ -43,9 +43,9 @@ def test_a_confusion_comes_before_a_stem_and_drugs_have_a_space_of_their_own(spa
     entries = [("a", "lab", [], ["药片"]), ("b", "drug", ["药物", "叶酸", "药x"], []), ("c", "lab", ["叶酸"], []), ("d", "drug", ["药"], [])]
     index = terms.alias_index(spark.createDataFrame(entries, "key string, category string, aliases array<string>, confusions array<string>"))
     rows = spark.createDataFrame([(1, "药物片"), (2, "叶酸"), (3, "叶酸片"), (4, "药片")], "i int, t string")
-    got = {r.i: (r.key, r.confidence) for r in terms.resolve(rows, index, "i", "t").collect()}
+    got = {r.i: (r.key, r.confidence) for r in terms.resolve(rows, index, "t").collect()}
     assert got == {1: ("b", 0.8), 2: ("c", 1.0), 3: ("b", 0.8), 4: ("a", 0.5)}
-    assert {r.i: r.key for r in terms.resolve(rows, index, "i", "t", drugs_only=True).collect()} == {1: "b", 2: "b", 3: "b", 4: None}
+    assert {r.i: r.key for r in terms.resolve(rows, index, "t", drugs_only=True).collect()} == {1: "b", 2: "b", 3: "b", 4: None}
 
 
 def test_coverage_and_enumeration(spark):
