@@ -32,7 +32,7 @@ SAMPLE, COMMON = 20_000, 20
 #: Of the shingles of more than COMMON texts so many are told to every task, 8 bytes each; the others keep their places in the order.
 MOST_COMMON = 1_000_000
 #: Members of a list that are compared in pairs; a longer list is split by the next shingle that two of them share, so many times at most.
-LIST, LEVELS = 256, 4
+LIST, LEVELS = 4096, 4
 #: Bits of a parity sketch; it tells sets of up to some 2,000 shingles apart.
 SKETCH = 1024
 

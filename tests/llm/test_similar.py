@@ -70,6 +70,7 @@ def test_sketches_differ_in_no_more_bits_than_the_sets():
 
 def test_a_long_list_is_not_compared_in_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "COMMON", 10**9)  # no shingle counts as frequent, so one list has all texts
+    monkeypatch.setattr(similar, "LIST", 256)
     made = []
 
     def counted(rows, keys, f=similar._pairs):
