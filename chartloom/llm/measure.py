@@ -2,7 +2,11 @@
 
 op2 and op4: their own held-out rows.  op6: trees without every fifth id, judged
 on those.  op8 and op10: spans that the models add, planted into the table's own
-texts by generators and identifiers that training didn't use.
+texts.  op10's random strings and identifiers are of other sources than those of
+training.  op8 has two parts: ``personal`` and ``other`` are samples of the makers
+that training used, in sentences that it didn't, so they show the fit; ``abroad``,
+``spelt`` and ``harmless`` are of makers and sentences that neither training nor
+calibration has seen.
 """
 
 from __future__ import annotations
@@ -85,6 +89,50 @@ def _caught(spark: SparkSession, rows: list, scan, column: str, kinds: tuple[str
     return round(len(caught) / max(1, len(rows)), 4), other
 
 
+#: Personal data of countries that no maker of the training samples has, by sentences that it doesn't have.
+ABROAD = {
+    "british insurance number": (lambda d, c: f"{c(2)} {d(2)} {d(2)} {d(2)} {c(1)}", ("her NI number, {}, was on the payslip", "National Insurance: {}")),
+    "brazilian tax number": (lambda d, c: f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", ("CPF {}", "o CPF dele é {}")),
+    "italian tax code": (lambda d, c: f"{c(6)}{d(2)}{c(1)}{d(2)}{c(1)}{d(3)}{c(1)}", ("codice fiscale {}", "il suo codice è {}")),
+    "indian identity number": (lambda d, c: f"{d(4)} {d(4)} {d(4)}", ("Aadhaar {}", "aadhaar no {} verified")),
+    "dutch service number": (lambda d, c: d(9), ("BSN {}", "burgerservicenummer: {}")),
+    "polish identity number": (lambda d, c: d(11), ("PESEL {}", "numer PESEL: {}")),
+    "japanese telephone": (lambda d, c: f"0{d(1)}-{d(4)}-{d(4)}", ("電話 {}", "denwa: {}")),
+    "swedish identity number": (lambda d, c: f"{d(6)}-{d(4)}", ("personnummer {}", "hennes personnummer är {}")),
+}
+SPELT = {
+    "address in capitals": (lambda d, c: f"{c(6).lower()} AT {c(7).lower()} DOT org", ("drop a line: {}", "skriv til {}")),
+    "address with brackets": (lambda d, c: f"{c(6).lower()} {{at}} {c(7).lower()}.net", ("kontakt {}", "ping {}")),
+    "birthday in words": (lambda d, c: f"{1 + int(d(1))} March 19{d(2)}", ("she came into the world on {}", "narozen {}")),
+    "telephone by twos": (lambda d, c: " ".join(d(2) for _ in range(4)), ("ring us: {}", "tlf. {}")),
+}
+HARMLESS = {
+    "measure": (lambda d, c: f"{d(3)} {d(3)} km", ("some {} away", "etwa {} weit")),
+    "time span": (lambda d, c: f"18{d(2)}-19{d(2)}", ("the railway ({})", "(anni {})")),
+    "coordinates": (lambda d, c: f"{d(2)}.{d(4)} {d(2)}.{d(4)}", ("at {} on the chart", "position {}")),
+    "standard": (lambda d, c: f"ISO {d(4)}-{d(1)}:20{d(2)}", ("conforms to {}", "norme {}")),
+    "score": (lambda d, c: f"{d(1)}-{d(1)} {d(1)}-{d(1)} {d(1)}-{d(1)}", ("won {}", "vann {}")),
+    "price list": (lambda d, c: f"{d(2)}.{d(2)} {d(3)}.{d(2)} {d(2)}.{d(2)}", ("rates {}", "prijzen {}")),
+}
+
+
+def unseen(spark: SparkSession, folder: str, n: int) -> dict:
+    """The share found of each of ABROAD, SPELT and HARMLESS, planted into the table's texts."""
+    out = {}
+    for name, kinds in (("abroad", ABROAD), ("spelt", SPELT), ("harmless", HARMLESS)):
+        each = {}
+        for kind, (make, said) in kinds.items():
+
+            def insert(rng, make=make, said=said):
+                d, c = (lambda k: "".join(rng.choices("0123456789", k=k))), (lambda k: "".join(rng.choices("ABCDEFGHJKLMNPRSTUVW", k=k)))
+                before = rng.choice(said).split("{}")[0]
+                return before, make(d, c)
+
+            each[kind], _ = _caught(spark, _planted(spark, folder, n, insert), pii.scan, "personal", tuple(pii.GENERATORS))
+        out |= {f"{name}_found": round(sum(each.values()) / len(each), 4), name: each}
+    return out
+
+
 def op8(spark: SparkSession, folder: str, n: int = 1000) -> dict:
     out = {}
     for kind, said in (("personal", pii.PERSONAL), ("other", pii.OTHER)):
@@ -93,7 +141,7 @@ def op8(spark: SparkSession, folder: str, n: int = 1000) -> dict:
         rows = _planted(spark, folder, n, lambda _: next(chosen)[::-1])  # noqa: B023
         share, other = _caught(spark, rows, pii.scan, "personal", tuple(pii.GENERATORS))
         out |= {f"{kind}_planted": len(rows), f"{kind}_found": share, f"{kind}_spans_elsewhere": other}
-    return out
+    return out | unseen(spark, folder, n // 5)
 
 
 def ordinary_identifiers() -> list[str]:
