@@ -127,11 +127,13 @@ def search_kept_index(t):
     return found
 
 
-@query("SELECT doc_id, length(text) AS n_chars, contains(lower(text), 'token') AS hit FROM documents WHERE contains(text, 'token =') ORDER BY doc_id LIMIT 20")
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, string_split_regex(text, '[\p{L}\p{N}]+') AS g FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT *, len(w) AS n, greatest(coalesce(list_position(list_transform(w, lambda x: lower(x)), 'token'), 1) - 1, 0) AS before FROM t),
+    s AS (SELECT *, greatest(least(before - 3, n - 12), 0) AS s FROM h)
+    SELECT doc_id, CASE WHEN n = 0 THEN '' ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(s + 1, least(n, s + 12) + 1), lambda j: CASE WHEN j > s + 1 THEN g[j] ELSE '' END
+        || CASE WHEN lower(w[j]) = 'token' THEN '[' || w[j] || ']' ELSE w[j] END), '') || CASE WHEN s + 12 < n THEN '…' ELSE '' END END AS snippet FROM s""")
 def search_snippet(t):
-    found = t("documents").where(F.col("text").contains("token =")).orderBy("doc_id").limit(20)
-    shown = found.withColumn("s", records.snippet(F.col("text"), "token"))
-    return shown.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.lower("s").contains("[token]").alias("hit"))
+    return t("documents").where("text IS NOT NULL").select("doc_id", records.snippet(F.col("text"), "token").alias("snippet"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
