@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 from chartloom.operators.ordering import numbered
+from chartloom.sources import dicom
 
 MOST_BYTES = 200 * 1024 * 1024
 SKIPPED = r"(^|/)\.|\.(tmp|part|crdownload)$"
@@ -87,3 +88,49 @@ def ingest_texts(captures: DataFrame, known: DataFrame) -> DataFrame:
         "name", "content_hash", T.mime_of(F.col("name")).alias("mime_type"), "status", F.when(mine, F.col("text")).alias("text"), F.when(mine & F.col("text").isNotNull(), F.col("confidence")).alias("confidence"),
         F.when(mine, T.classify(about)).alias("doc_type"), F.when(mine, T.date_range(about)).alias("dates"), F.when(mine, T.language(F.col("text"))).alias("language"), F.when(mine, T.demographics(F.col("text"))["name"]).alias("detected_name"),
     )
+
+
+def ingest_all(files: DataFrame, known: DataFrame, studies: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """(path, content_hash, mime_type, status, document, doc_type, title, text, confidence, dates, language) of files of any kind, from ``read_files``.
+
+    ``known``: content_hash, has_document (as a document or a slice of one);
+    ``studies``: study_uid, document; ``captures``: path, text, confidence of images and
+    PDF that the caller has recognised.  An image study has one document, that of
+    its least path or the one it had; its other files are slices of it.
+
+    status: left_out or failed (see ``ingest``; an image header that can't be read, too), deduped
+    (content known with a document, or of a lesser path here), instance_attached,
+    backfilled (known without a document), new, or stored_no_text.  ``document`` is the
+    path or name of the document that a file belongs to, null where it makes none.
+    """
+    rows = files if "left_out" in files.columns else files.withColumn("left_out", F.lit(None).cast("string"))
+    name = F.element_at(F.split("path", "/"), -1)
+    first = rows.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("path").alias("_first"))
+    have = known.groupBy("content_hash").agg(F.bool_or("has_document").alias("_doc"))
+    rows = rows.join(first, "content_hash", "left").join(have, "content_hash", "left")
+    early = F.when(F.col("left_out").isNotNull(), "left_out").when(F.col("content").isNull() | (F.col("length") > MOST_BYTES), "failed").when(F.col("_doc") | (F.col("path") != F.col("_first")), "deduped")
+    rows = rows.withColumn("_early", early)
+    image = F.col("_early").isNull() & (F.col("mime_type") == "application/dicom")
+    tags = dicom.headers(rows.where(image))
+    placed = dicom.studies(tags, studies).select("path", "document", F.col("title").alias("_title"), F.col("summary").alias("_summary"))
+    dates = tags.select("path", T.study_date(F.col("study_date")).cast("date").alias("_day"))
+    rows = rows.join(placed, "path", "left").join(dates, "path", "left")
+    if captures is not None:
+        said = captures.where(T.trimmed(F.col("text")) != "").groupBy("path").agg(F.min_by(F.struct("text", "confidence"), F.struct("text", "confidence")).alias("_said"))
+        rows = rows.join(said, "path", "left")
+    said = F.col("_said") if captures is not None else F.lit(None).cast("struct<text:string,confidence:double>")
+    layer = F.when(F.col("mime_type") == "text/plain", T.fold_radicals(F.try_validate_utf8(F.col("content").cast("string"))))
+    slice = image & F.col("document").isNotNull() & (F.col("document") != F.col("path"))
+    status = F.when(F.col("_early").isNotNull(), F.col("_early")).when(image & F.col("document").isNull(), "failed").when(slice, "instance_attached")
+    text = F.when(image, F.col("_summary")).otherwise(F.coalesce(layer, said["text"]))
+    rows = rows.withColumns({"_text": text, "_late": status, "_image": image})
+    status = F.coalesce("_late", F.when(F.col("_text").isNull(), "stored_no_text").when(F.col("_doc").isNotNull() & ~F.col("_image"), "backfilled").otherwise("new"))
+    rows = rows.withColumn("status", status).withColumn("_own", F.col("status").isin("new", "backfilled", "stored_no_text"))
+    about = F.coalesce("_text", name)
+    own = lambda c: F.when(F.col("_own"), c)
+    dated = F.when(F.col("_image"), F.struct(F.col("_day").alias("start"), F.lit(None).cast("date").alias("end"))).otherwise(T.date_range(about))
+    return rows.select(
+        "path", "content_hash", "mime_type", "status", F.when(F.col("status") == "instance_attached", F.col("document")).otherwise(own(F.col("path"))).alias("document"),
+        own(F.when(F.col("_image"), "imaging_report").otherwise(T.classify(about))).alias("doc_type"), own(F.coalesce("_title", name)).alias("title"), own(F.col("_text")).alias("text"),
+        own(F.when(~F.col("_image") & layer.isNull(), said["confidence"])).alias("confidence"), own(dated).alias("dates"), own(F.when(~F.col("_image"), T.language(F.col("_text")))).alias("language"),
+    )

@@ -3,6 +3,7 @@ import datetime
 import glob
 import gzip
 import base64
+import hashlib
 import json
 import random
 import re
@@ -241,3 +242,49 @@ def test_vaults_and_captures(spark):
     got = {r.name: r for r in files.ingest_texts(captures, known).collect()}
     assert {n: r.status for n, r in got.items()} == {"report.jpg": "backfilled", "y.png": "stored_no_text", "z.png": "failed", "w.png": "deduped"}
     assert (got["report.jpg"].doc_type, got["report.jpg"].detected_name, got["report.jpg"].dates.start, got["w.png"].text) == ("lab_report", "张三", D(2024, 2, 3), None)
+
+
+def test_objects_are_kept_by_prefix_and_copies_are_checked(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    contents = [f"content {i}".encode() for i in range(60)]
+    hashed = [(hashlib.sha256(c).hexdigest(), bytearray(c)) for c in contents]
+    frame = lambda rows: spark.createDataFrame(rows, "hash string, content binary")
+    vault.put(frame(hashed[:40] + hashed[:5] + [("a" * 64, bytearray(b"other"))]), one)
+    vault.put(frame(hashed[30:]), one)
+    assert vault.manifest(spark, one).count() == 60 == spark.read.parquet(one).count()
+    wanted = frame(hashed[7:9] + [("b" * 64, bytearray())]).select("hash")
+    assert sorted((r.hash, bytes(r.content)) for r in vault.get(spark, one, wanted).collect()) == sorted((h, bytes(c)) for h, c in hashed[7:9])
+    vault.put(frame(hashed[:10]), two)
+    assert {r.status for r in vault.move_objects(spark, one, two).collect()} == {"ok"} and spark.read.parquet(two).count() == 60
+    part = next((tmp_path / "two" / f"prefix={hashed[3][0][:2]}").glob("*.parquet"))
+    part.unlink()
+    gone = {h for h, _ in hashed if h[:2] == hashed[3][0][:2]} - {r.hash for r in vault.manifest(spark, two).collect()}
+    spark.createDataFrame([(hashed[50][0], bytearray(b"poison"), 6, hashed[50][0][:2])], vault.OBJECT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(two)
+    told = {r.hash: r.status for r in vault.check(spark, two, vault.manifest(spark, one)).collect()}
+    assert {h for h, s in told.items() if s == "missing"} >= gone and told[hashed[50][0]] == "changed" and gone
+    assert {r.status for r in vault.move_objects(spark, one, str(tmp_path / "three")).collect()} == {"ok"}
+
+
+def test_one_entry_for_files_of_any_kind(spark, tmp_path):
+    head = b"\0" * 128 + b"DICM"
+    image = lambda study, n, day="20240203": head + element(8, 0x20, b"DA", day.encode()) + element(8, 0x60, b"CS", b"MR") + element(0x20, 0x0D, b"UI", study) + element(0x20, 0x13, b"IS", str(n).encode())
+    made = {
+        "a.txt": "检验报告 报告日期:2024-02-03 血糖 6.8".encode(), "b.txt": b"\xff\xfe", "c.png": b"png", "d.png": b"png2", "e.pdf": b"%PDF", "s1.dcm": image(b"1.2", 1), "s2.dcm": image(b"1.2", 2),
+        "t1.dcm": image(b"9.9", 1), "bad.dcm": b"none", "again.txt": "检验报告 报告日期:2024-02-03 血糖 6.8".encode(), "old.png": b"old", "back.txt": "处方 2024-03-04 阿司匹林".encode(),
+    }
+    for name, body in made.items():
+        (tmp_path / name).write_bytes(body)
+    sha = lambda name: hashlib.sha256(made[name]).hexdigest()
+    known = spark.createDataFrame([(sha("old.png"), True), (sha("back.txt"), False)], "content_hash string, has_document boolean")
+    studies = spark.createDataFrame([("9.9", "elsewhere")], "study_uid string, document string")
+    found = files.read_files(spark, str(tmp_path))
+    base = found.first().path.rsplit("/", 1)[0]
+    captures = spark.createDataFrame([(f"{base}/c.png", "病理报告 2024-05-06", 0.7), (f"{base}/d.png", " ", 0.1)], "path string, text string, confidence double")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.ingest_all(found, known, studies, captures).collect()}
+    assert {n: r.status for n, r in got.items()} == {
+        "a.txt": "new", "again.txt": "deduped", "b.txt": "stored_no_text", "c.png": "new", "d.png": "stored_no_text", "e.pdf": "stored_no_text", "s1.dcm": "new", "s2.dcm": "instance_attached",
+        "t1.dcm": "instance_attached", "bad.dcm": "failed", "old.png": "deduped", "back.txt": "backfilled",
+    }
+    assert got["s2.dcm"].document == got["s1.dcm"].path and got["t1.dcm"].document == "elsewhere" and got["old.png"].document is None
+    assert (got["s1.dcm"].doc_type, got["s1.dcm"].title, got["s1.dcm"].dates.start, "检查类型:MRI(MR)" in got["s1.dcm"].text) == ("imaging_report", "MR", D(2024, 2, 3), True)
+    assert (got["c.png"].confidence, got["c.png"].dates.start, got["a.txt"].doc_type, got["a.txt"].confidence, got["d.png"].title) == (0.7, D(2024, 5, 6), "lab_report", None, "d.png")
