@@ -341,11 +341,23 @@ def discharge_windows(documents: DataFrame, group: str) -> DataFrame:
     return some.select(group, F.col("doc").alias("window"), order.alias("window_order"), F.col("date").alias("start"), F.col("date_end").alias("end"))
 
 
-def encounters(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+def _commonest(said: Column) -> Column:
+    """struct(provider, n_kinds) of an array of struct(provider, at): the commonest, of equals the first seen."""
+    kinds = F.array_distinct(F.transform(said, lambda x: x["provider"]))
+
+    def ranked(x: Column) -> Column:
+        of = lambda k: F.filter(x["said"], lambda y: y["provider"] == k)
+        best = F.transform(x["kinds"], lambda k: let(of(k), lambda own: F.struct((-F.size(own)).alias("n"), F.array_min(F.transform(own, lambda y: y["at"])).alias("at"), k.alias("provider"))))
+        return F.struct(F.array_min(best)["provider"].alias("provider"), F.size(x["kinds"]).alias("n_kinds"))
+
+    return let(F.struct(said.alias("said"), kinds.alias("kinds")), ranked)
+
+
+def encounters(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None, providers: DataFrame | str | None = None) -> DataFrame:
     """(group, encounter, kind, provider, transferred, start, end, title, n_docs, docs) of inpatient stays and of days, for many patients at once.
 
-    ``documents``: group, doc, date; ``providers``: group, doc, provider, at.
-    Encounters are numbered from 1: stays in the order of their windows, then days.
+    ``documents``: group, doc, date; ``providers``: group, doc, provider, at, or the
+    column of ``documents`` that names one, seen in the order of documents.  Encounters are numbered from 1: stays in the order of their windows, then days.
     ``docs`` are in the timeline's order.  The provider is the commonest, of equals
     the first seen; two or more make a transfer.  A stay without documents stays.
     """
@@ -353,28 +365,32 @@ def encounters(documents: DataFrame, group: str, emergency: Column, windows: Dat
     day = F.when(F.col("window").isNull(), F.to_date("date"))
     placed = claimed.withColumn("_enc", F.coalesce(F.concat(F.lit("w"), F.col("window").cast("string")), F.concat(F.lit("d"), day.cast("string")))).where("_enc IS NOT NULL")
     newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("date", "doc")))), lambda d: d["doc"])
-    members = placed.groupBy(group, "_enc").agg(F.count("*").alias("n_docs"), newest.alias("docs"), F.bool_or(emergency).alias("_em"), F.min(F.to_date("date")).alias("_day"))
+    own = isinstance(providers, str)
+    said = _commonest(F.collect_list(F.when(F.col(providers).isNotNull(), F.struct(F.col(providers).alias("provider"), F.col("doc").alias("at"))))) if own else F.lit(None).cast("struct<provider:string,n_kinds:int>")
+    members = placed.groupBy(group, "_enc").agg(F.count("*").alias("n_docs"), newest.alias("docs"), F.bool_or(emergency).alias("_em"), F.min(F.to_date("date")).alias("_day"), said.alias("_said"))
     named = F.col("_em").isNotNull() & F.col("_em")
     kind, label = F.when(named, "emergency").otherwise("outpatient"), F.when(named, "急诊 · ").otherwise("门诊 · ")
     none = F.lit(None).cast("date")
     rows = members.where("_enc LIKE 'd%'").select(
-        group, "_enc", F.lit(1).alias("_late"), F.lit(0).alias("_order"), kind.alias("kind"), F.col("_day").alias("start"), none.alias("end"), F.concat(label, F.date_format("_day", "yyyy-MM-dd")).alias("title"), "n_docs", "docs"
+        group, "_enc", F.lit(1).alias("_late"), F.lit(0).alias("_order"), kind.alias("kind"), F.col("_day").alias("start"), none.alias("end"), F.concat(label, F.date_format("_day", "yyyy-MM-dd")).alias("title"), "n_docs", "docs", "_said"
     )
     if windows is not None:
         text = F.concat(F.lit("住院 · "), F.date_format("start", "yyyy-MM-dd"), F.lit(" → "), F.date_format("end", "yyyy-MM-dd"))
         named_windows = windows.withColumn("_enc", F.concat(F.lit("w"), F.col("window").cast("string")))
         stays = named_windows.join(members.drop("_em", "_day"), [group, "_enc"], "left").select(
             group, "_enc", F.lit(0).alias("_late"), F.col("window_order").alias("_order"), F.lit("inpatient").alias("kind"), F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"),
-            text.alias("title"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs", F.array().cast(members.schema["docs"].dataType)).alias("docs"),
+            text.alias("title"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs", F.array().cast(members.schema["docs"].dataType)).alias("docs"), "_said",
         )
         rows = stays.unionByName(rows)
     if providers is None:
         rows = rows.withColumns({"provider": F.lit(None).cast("string"), "transferred": F.lit(False)})
+    elif own:
+        rows = rows.withColumns({"provider": F.col("_said.provider"), "transferred": F.coalesce(F.col("_said.n_kinds") >= 2, F.lit(False))})
     else:
         said = providers.join(placed.select(group, "doc", "_enc"), [group, "doc"])
         mode = mode_of(said, [group, "_enc"], "provider", "at").select(group, "_enc", "provider", (F.col("n_kinds") >= 2).alias("transferred"))
         rows = rows.join(mode, [group, "_enc"], "left").withColumn("transferred", F.coalesce("transferred", F.lit(False)))
-        rows = rows.withColumn("title", F.when(F.col("transferred"), F.concat("title", F.lit(" · 转院"))).otherwise(F.col("title")))
+    rows = rows.withColumn("title", F.when(F.col("transferred"), F.concat("title", F.lit(" · 转院"))).otherwise(F.col("title")))
     number = F.row_number().over(Window.partitionBy(group).orderBy("_late", "_order", "start")).cast("long")
     return rows.withColumn("encounter", number).select(group, "encounter", "kind", "provider", "transferred", "start", "end", "title", "n_docs", "docs")
 
@@ -384,7 +400,7 @@ def standalone(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("date").isNull())
 
 
-def grouped_timeline(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+def grouped_timeline(documents: DataFrame, group: str, emergency: Column, windows: DataFrame | None = None, providers: DataFrame | str | None = None) -> DataFrame:
     """Encounters and standalone documents of each patient, newest first: ``place`` from 1, the encounter's columns, or one document in ``docs``.
 
     Of equal dates encounters come first, later ones before earlier ones; what has no date comes last.

@@ -153,7 +153,7 @@ def ocr_confidence(t):
 
 def _stays(t):
     """Orders as documents; an urgent one opens a window of 60 days."""
-    orders = t("orders").select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("doc"), F.col("o_orderdate").alias("date"), "o_orderpriority")
+    orders = t("orders").select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("doc"), F.col("o_orderdate").alias("date"), "o_orderpriority", "o_orderstatus")
     order = F.row_number().over(Window.partitionBy("patient").orderBy("date", "doc"))
     windows = orders.where("o_orderpriority = '1-URGENT'").select("patient", F.col("doc").alias("window"), order.alias("window_order"), F.col("date").alias("start"), (F.col("date") + F.expr("INTERVAL 60 DAYS")).alias("end"))
     return orders, windows
@@ -210,10 +210,8 @@ def standalone(t):
     SELECT patient, encounter, kind, provider, transferred, start, "end", title, n_docs, docs, row_number() OVER (PARTITION BY patient ORDER BY start DESC NULLS LAST, encounter IS NULL, encounter DESC, alone DESC) AS place FROM every""")
 def grouped_timeline(t):
     orders, windows = _stays(t)
-    status = t("orders").select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("doc"), "o_orderstatus")
-    documents = orders.join(status, ["patient", "doc"]).withColumn("date", F.when(F.col("o_orderstatus") != "P", F.col("date")))
-    said = status.select("patient", "doc", F.col("o_orderstatus").alias("provider"), F.col("doc").alias("at"))
-    found = records.grouped_timeline(documents, "patient", F.col("o_orderpriority") == "1-URGENT", windows, said)
+    documents = orders.withColumn("date", F.when(F.col("o_orderstatus") != "P", F.col("date")))
+    found = records.grouped_timeline(documents, "patient", F.col("o_orderpriority") == "1-URGENT", windows, "o_orderstatus")
     return found.withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 
 

@@ -155,3 +155,13 @@ def test_windows_claim_documents_of_a_hot_patient_without_comparing_all_pairs(sp
     long = spark.range(10_000).selectExpr("1 AS patient", "CAST(id AS int) AS window", "CAST(id AS int) AS window_order", "date_add(DATE'2000-01-01', CAST(9000 - id % 9000 AS int)) AS start", "DATE'2024-08-23' AS end")
     began = time.time()
     assert records.inpatient_windows(many, long, "patient").where("window IS NOT NULL").count() > 90_000 and time.time() - began < 60
+
+
+def test_providers_as_a_column_are_those_of_a_table(spark):
+    rng = random.Random(11)
+    rows = [(p, i, datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(6)), rng.choice(["A", "B", "C", None])) for p in range(8) for i in range(20)]
+    docs = spark.createDataFrame(rows, "patient int, doc int, date date, who string")
+    windows = spark.createDataFrame([(p, 100 + p, 1, datetime.date(2024, 1, 2), datetime.date(2024, 1, 3)) for p in range(9)], "patient int, window int, window_order int, start date, end date")
+    said = docs.where("who IS NOT NULL").select("patient", "doc", F.col("who").alias("provider"), F.col("doc").alias("at"))
+    both = [sorted(map(str, map(tuple, records.encounters(docs, "patient", F.col("doc") % 7 == 0, windows, x).collect()))) for x in ("who", said)]
+    assert both[0] == both[1] and any("转院" in r for r in both[0])
