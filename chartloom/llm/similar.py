@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.base import Scratch, cut, small
+from chartloom.llm.base import Scratch, cut, small, small_batches
 from chartloom.llm.components import components
 
 SEED = 42
@@ -136,10 +136,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
-        for batch in small(batches, 64):
+        for batch in small(batches, 16):
             links = []
             for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(known) > 64:
+                if len(known) > 16:
                     known.clear()
                 for t in (a, b):
                     if t not in known:
@@ -154,7 +154,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: in
     own = scratch.store(texts.join(keys, ["id", "h"]).dropDuplicates(["id", "h"]).select("h", "fp", "text"))
     left = own.select(F.col("h").alias("a"), F.col("fp").alias("u"), F.col("text").alias("s"))
     right = own.select(F.col("h").alias("b"), F.col("fp").alias("v"), F.col("text").alias("t"))
-    return scratch.store(pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
+    with small_batches(pairs.sparkSession):
+        return scratch.store(pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
