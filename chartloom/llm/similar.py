@@ -154,8 +154,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: in
     own = scratch.store(texts.join(keys, ["id", "h"]).dropDuplicates(["id", "h"]).select("h", "fp", "text"))
     left = own.select(F.col("h").alias("a"), F.col("fp").alias("u"), F.col("text").alias("s"))
     right = own.select(F.col("h").alias("b"), F.col("fp").alias("v"), F.col("text").alias("t"))
-    with small_batches(pairs.sparkSession):
-        return scratch.store(pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
+    return scratch.store(pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,6 +205,11 @@ def links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int
     their length; ``most`` and ``levels`` decide the way (see ``_across``), not the
     links; an empty table gives none.
     """
+    with small_batches(documents.sparkSession):  # every job below hands whole texts or long lists to Python workers
+        return _links(documents, rows, known, shingle, most or LIST, levels or LEVELS)
+
+
+def _links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int, most: int, levels: int) -> DataFrame:
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     text = F.col("text").cast("string")
@@ -223,7 +227,7 @@ def links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int
     roots = components(known.unionByName(first))
     labelled = members.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     labelled = scratch.store(labelled)
-    rest = _across(labelled, texts, common, shingle, scratch, most or LIST, levels or LEVELS)
+    rest = _across(labelled, texts, common, shingle, scratch, most, levels)
     second = _verified(scratch.store(_plausible(rest.distinct(), sketches)), texts, owners, shingle, scratch)
     found = cut(first.unionByName(second))
     scratch.drop()
