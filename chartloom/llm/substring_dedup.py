@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import suffix_array
-from chartloom.llm.base import HOT, Scratch, small
+from chartloom.llm.base import HOT, Scratch, small, small_batches
 from chartloom.llm.ngrams import INVERSE, MULTIPLIER, _powers
 
 LENGTH = 200
@@ -47,7 +48,10 @@ MOST = 3000
 #: Buckets to be split that are broadcast, 8 bytes each.
 MOST_HOT = 1_000_000
 #: Bytes hashed at a time; a longer text is cut into pieces that overlap by length - 1.
-PIECE = 1 << 20
+#: A piece's arrays take some 90 bytes for each of its bytes: 6 MB.
+PIECE = 1 << 16
+#: Bytes of small buckets that are ordered together, at some 110 bytes for each; a larger bucket is ordered alone.
+GROUP = 1 << 16
 NO_ID = -(1 << 63)
 
 
@@ -204,6 +208,28 @@ def split_hot(texts: DataFrame, length: int, most: int, scratch: Scratch) -> tup
     return texts, repeated
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by bucket, as tables of whole buckets: of GROUP bytes at most, or a single bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        bucket = table.column("bucket").to_numpy()
+        total = np.cumsum(pc.binary_length(table.column("bytes")).to_numpy(), dtype=np.int64)
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
+        begin = 0
+        for s, e in zip(starts[1:-1].tolist(), starts[2:].tolist(), strict=True):  # the last bucket may go on
+            if total[e - 1] - (total[begin - 1] if begin else 0) > GROUP and s > begin:
+                yield table.slice(begin, s - begin)
+                begin = s
+        if len(starts) > 1 and starts[-1] > begin:
+            yield table.slice(begin, int(starts[-1]) - begin)
+            begin = int(starts[-1])
+        held = table.slice(begin).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, context, lo, hi): the runs of windows of each context that begin elsewhere in its bucket too."""
 
@@ -224,25 +250,8 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*ids, pa.array(relative[first].astype(np.int32)), pa.array(relative[last].astype(np.int32))], ["anchor", "context", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole buckets of about MOST bytes together; a partition is sorted by bucket."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            bucket = table.column("bucket").to_numpy()
-            total = np.cumsum([len(b) for b in table.column("bytes").to_pylist()])
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
-            begin = 0
-            for s, e in zip(starts[1:-1].tolist(), starts[2:].tolist(), strict=True):  # the last bucket may go on
-                if total[e - 1] - (total[begin - 1] if begin else 0) > suffix_array.MOST and s > begin:
-                    yield order(table.slice(begin, s - begin))
-                    begin = s
-            if len(starts) > 1 and starts[-1] > begin:
-                yield order(table.slice(begin, int(starts[-1]) - begin))
-                begin = int(starts[-1])
-            held = table.slice(begin).combine_chunks().to_batches()
-        if held:
-            yield order(pa.Table.from_batches(held))
+        for table in _whole_buckets(batches):
+            yield order(table)
 
     dealt = texts.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "anchor long, context long, lo int, hi int")
@@ -270,6 +279,11 @@ def find(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFr
     ``packed`` is the text's bytes, compressed; a run is its first start << 16 and
     the number of starts that follow.
     """
+    with small_batches(documents.sparkSession):  # the jobs below hand whole texts to Python workers
+        return _find(documents, length, most)
+
+
+def _find(documents: DataFrame, length: int, most: int) -> DataFrame:
     rows, spark = _rows(documents), documents.sparkSession
     second, third, last = (Scratch(spark) for _ in range(3))
     stats = occurrences(rows, length).groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))

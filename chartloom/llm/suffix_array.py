@@ -12,14 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols and ranks below 2**21 fit three to a 64-bit key.
-MOST = 1 << 20
-
 
 def ranks(symbols: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     """The rank of each suffix of ``symbols`` (positive integers), at least by its first ``depth`` base symbols.
 
-    ``span``: the base symbols that one symbol stands for.
+    ``span``: the base symbols that one symbol stands for.  Fewer than 2**21
+    symbols, so that three ranks fit a 64-bit key.
     """
     n = len(symbols)
     if n < 3:

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chartloom.llm import substring_dedup, suffix_array
@@ -119,3 +121,37 @@ def test_hot_anchors_are_split_without_loss(spark):
     for most in (4, 20):
         got = substring_dedup.remove(documents, most=most).drop("kept").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_a_worker_holds_little_whatever_the_size_of_its_rows():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in [2_000_000, *[3000] * 512]]
+    tracemalloc.start()
+    windows = 0
+    for _, data, ends in substring_dedup._pieces(texts, 200):
+        _, _, first, last = substring_dedup.contexts(np.frombuffer(data, np.uint8), ends, 200)
+        windows += int((last - first + 1).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == sum(len(t) - 199 for t in texts)
+    assert peak < 32 << 20
+
+
+def test_buckets_are_ordered_whole_in_small_groups():
+    rng = np.random.default_rng(6)
+    sizes = [1, 2000, *rng.integers(1, 40, 300).tolist(), 700, 3]
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    data = [rng.integers(97, 101, 300).astype(np.uint8).tobytes() for _ in bucket]
+    rows = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(data, pa.binary())], ["bucket", "bytes"])
+    for step in (137, 10_000):
+        tables = list(substring_dedup._whole_buckets(rows.slice(i, step) for i in range(0, len(rows), step)))
+        assert pa.concat_tables(tables).to_pylist() == rows.to_pylist()
+        held = [set(t.column("bucket").to_pylist()) for t in tables]
+        assert sum(map(len, held)) == len(sizes)  # no bucket is in two of them
+        assert all(len(h) == 1 or t.num_rows * 300 <= substring_dedup.GROUP for h, t in zip(held, tables, strict=True))
+    text = np.frombuffer(b"".join(data[2001 : 2001 + substring_dedup.GROUP // 300]), np.uint8)
+    tracemalloc.start()
+    suffix_array.repeated_starts(text, np.arange(len(text) - 199), 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
