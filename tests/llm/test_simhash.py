@@ -98,6 +98,15 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, hot):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_replicas_are_not_broadcast(spark):
+    rng = random.Random(4)
+    nodes = base.cut(spark.createDataFrame([(rng.getrandbits(63),) for _ in range(2000)] + [(8,), (9,)], "fp long"))
+    edges = simhash.links(nodes)
+    assert [tuple(r) for r in edges.collect()] == [(8, 9)]
+    plan = edges._jdf.queryExecution().executedPlan().toString()  # the one that ran
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_an_empty_table_has_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.digest(empty).collect() == [] and simhash.keep_first(empty).collect() == []
