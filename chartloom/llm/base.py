@@ -111,6 +111,16 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """The join of two tables by a shuffle and merge, however small Spark takes them to be.
+
+    It sizes a stored table by its file, in which repeated texts and numbers take
+    little, and what is made of each row by the rows: either may be many times
+    too low for a broadcast.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def join_hot(rows: DataFrame, values: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """The inner join of ``rows`` with ``values``, which has one row for each key and its number of rows ``n``.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import covering, similar
-from chartloom.llm.base import cut, fresh, join_hot, small
+from chartloom.llm.base import cut, fresh, join_hot, merged, small
 from chartloom.llm.components import components
 
 SEED = 42
@@ -81,8 +81,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     homes = dealt.mapInArrow(own, "anchor long, u long")
     visitors = dealt.mapInArrow(replicas, "anchor long, v long")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold)
-    # Spark sizes ``visitors`` by the rows of ``dealt``, some 60 times too low, so it would broadcast them: both sides are shuffled, whatever it thinks
-    return homes.hint("merge").join(visitors.hint("merge"), "anchor").where(near).select("u", "v")
+    # Spark sizes ``visitors`` by the rows of ``dealt``, some 60 times too low, and would broadcast them
+    return merged(homes, visitors, "anchor").where(near).select("u", "v")
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, similar_shingle: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.base import Scratch, cut, small, small_batches
+from chartloom.llm.base import Scratch, cut, merged, small, small_batches
 from chartloom.llm.components import components
 
 SEED = 42
@@ -122,7 +122,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     left = sketches.select(F.col("h").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
     right = sketches.select(F.col("h").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
     bits = F.aggregate(F.zip_with("_s", "_t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.join(left, "a").join(right, "b").where(9 * bits <= F.col("_n") + F.col("_m")).select("a", "b")
+    return merged(merged(pairs, left, "a"), right, "b").where(9 * bits <= F.col("_n") + F.col("_m")).select("a", "b")
 
 
 def _may(n: Column, at: Column, m: Column, to: Column) -> Column:
@@ -150,11 +150,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: in
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    keys = scratch.store(owners.join(wanted, "h").select("id", "h", "fp"))
-    own = scratch.store(texts.join(keys, ["id", "h"]).dropDuplicates(["id", "h"]).select("h", "fp", "text"))
+    keys = scratch.store(merged(owners, wanted, "h").select("id", "h", "fp"))
+    own = scratch.store(merged(texts, keys, ["id", "h"]).dropDuplicates(["id", "h"]).select("h", "fp", "text"))
     left = own.select(F.col("h").alias("a"), F.col("fp").alias("u"), F.col("text").alias("s"))
     right = own.select(F.col("h").alias("b"), F.col("fp").alias("v"), F.col("text").alias("t"))
-    return scratch.store(pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
+    return scratch.store(merged(merged(pairs, left, "a"), right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long"))
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,7 +163,7 @@ def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     across = (F.col("l.h") < F.col("r.h")) & (F.col("l.root") != F.col("r.root"))
     for k in keys:
         across = (F.col(f"l.{k}") == F.col(f"r.{k}")) & across
-    return l.join(r, across & _may(F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at"))).select(F.col("l.h").alias("a"), F.col("r.h").alias("b"))
+    return merged(l, r, across & _may(F.col("l.n"), F.col("l.at"), F.col("r.n"), F.col("r.at"))).select(F.col("l.h").alias("a"), F.col("r.h").alias("b"))
 
 
 def _across(rows: DataFrame, texts: DataFrame, common, shingle: int, scratch: Scratch, most: int, levels: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _across(rows: DataFrame, texts: DataFrame, common, shingle: int, scratch: Sc
     rows = rows.select("token", "h", "n", "at", "root", F.col("at").alias("last"))
     for level in range(1, levels + 1):
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys, "m")
-        rows = scratch.store(rows.join(sizes, keys))
+        rows = scratch.store(merged(rows, sizes, keys))
         long = rows.where(F.col("m") > most)
         if level == levels or long.isEmpty():
             found.append(_pairs(rows, keys))
@@ -188,9 +188,9 @@ def _across(rows: DataFrame, texts: DataFrame, common, shingle: int, scratch: Sc
         found.append(_pairs(rows.where(F.col("m") <= most), keys))
         wanted = scratch.store(long.select("h").distinct())
         name = f"token{level + 1}"
-        more = _prefixes(texts.join(wanted, "h", "left_semi").select("id", "h", "text").dropDuplicates(["h"]), common, shingle, level + 1)
+        more = _prefixes(merged(texts, wanted, "h", "left_semi").select("id", "h", "text").dropDuplicates(["h"]), common, shingle, level + 1)
         more = more.select("h", F.col("token").alias(name), F.col("at").alias("next"))
-        rows = long.drop("m").join(more, "h").where(F.col("next") > F.col("last")).drop("last").withColumnRenamed("next", "last")
+        rows = merged(long.drop("m"), more, "h").where(F.col("next") > F.col("last")).drop("last").withColumnRenamed("next", "last")
         keys = [*keys, name]
     return reduce(DataFrame.union, found)
 
@@ -218,14 +218,14 @@ def _links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int
     common = spark.sparkContext.broadcast(_common(texts, rows.count(), shingle))
     prefixes = _prefixes(texts, common, shingle)
     shared = scratch.store(prefixes.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("token"))
-    members = scratch.store(prefixes.join(shared, "token").distinct().join(owners.select("h", "fp"), "h"))
-    sketches = scratch.store(_sketches(texts, shingle).join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
+    members = scratch.store(merged(merged(prefixes, shared, "token").distinct(), owners.select("h", "fp"), "h"))
+    sketches = scratch.store(merged(_sketches(texts, shingle), members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
     pivots = members.groupBy("token").agg(F.min(F.struct("cold", "h", "n", "at", "fp")).alias("p"))
-    near = members.join(pivots, "token").where((F.col("fp") != F.col("p.fp")) & _may(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
+    near = merged(members, pivots, "token").where((F.col("fp") != F.col("p.fp")) & _may(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = _verified(scratch.store(_plausible(near.select(*pair(F.col("h"), F.col("p.h"))).distinct(), sketches)), texts, owners, shingle, scratch)
     roots = components(known.unionByName(first))
-    labelled = members.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    labelled = merged(members, roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     labelled = scratch.store(labelled)
     rest = _across(labelled, texts, common, shingle, scratch, most, levels)
     second = _verified(scratch.store(_plausible(rest.distinct(), sketches)), texts, owners, shingle, scratch)

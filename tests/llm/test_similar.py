@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chartloom.llm import similar, simhash
+from chartloom.llm import base, similar, simhash
 from tests.llm.test_simhash import brute_fingerprint
 
 
@@ -87,3 +87,22 @@ def test_a_long_list_is_not_compared_in_pairs(spark, monkeypatch):
     documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
     assert simhash.keep_first(documents, similar_shingle=5).count() == 4000
     assert len(made) > 1 and sum(made) < 4000
+
+
+def test_texts_and_shingles_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(self, df, f=base.Scratch.store):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(self, df)
+
+    monkeypatch.setattr(base.Scratch, "store", seen)
+    monkeypatch.setattr(similar, "COMMON", 10**9)
+    monkeypatch.setattr(similar, "LIST", 4)  # long lists are split, so all joins occur
+    rng = random.Random(7)
+    rows = [" ".join(f"w{rng.randrange(40)}" for _ in range(60)) for _ in range(20)]
+    rows += [" ".join([*r.split()[3:], "end"]) for r in rows]
+    rows += [f"{line} w{i}" for line in ("one and the same long line", "of six words") for i in range(12)]
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    simhash.keep_first(documents, similar_shingle=5).count()
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
