@@ -2,8 +2,9 @@
 
 Every such pair shares one of the first n - ceil(0.8 n) + 1 shingles of each of
 its sets in any common order (prefix filter), so nothing is left to chance.  The
-order puts shingles that are common in a sample of the texts last: what the
-sample has decides only how long the lists of a shingle are.  The members of a
+order puts shingles that are common in a sample of the texts late, the most
+frequent last: what the sample has decides only how long the lists of a shingle
+are.  The members of a
 list are first compared with one of them, whose links join most of a group of
 near copies; after that only pairs across components are compared, by their
 whole sets, and a long list is first split by further shingles.  Before their texts are fetched, pairs are dropped whose parity
@@ -27,9 +28,9 @@ from chartloom.llm.components import components
 
 SEED = 42
 SHINGLE = 5
-#: Texts of the sample that the order is taken from, and how many of them have a shingle that comes last.
-SAMPLE, COMMON = 20_000, 20
-#: Of the shingles of more than COMMON texts so many are told to every task, 8 bytes each; the others keep their places in the order.
+#: The order is taken from a sample of one text in SHARE, or of some SAMPLE texts where that is more; a shingle of more than COMMON texts of it comes late.
+SAMPLE, SHARE, COMMON = 20_000, 10, 2
+#: Of those shingles so many, the most frequent, are told to every task, 9 bytes each; the others keep their places in the order.
 MOST_COMMON = 1_000_000
 #: Members of a list that are compared in pairs; a longer list is split by the next shingle that two of them share, so many times at most.
 LIST, LEVELS = 4096, 4
@@ -61,8 +62,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _common(texts: DataFrame, rows: int, shingle: int) -> np.ndarray:
-    """The shingles of more than COMMON texts of a sample of about SAMPLE texts, sorted."""
+def _common(texts: DataFrame, rows: int, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that come late, sorted, and how late each comes: the number of bits of its count in the sample.
+
+    The sample grows with the texts, so the lists of the shingles that come first
+    stay as long as they are: with a sample of one size they would grow with the
+    texts, and pairs with their square.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -70,10 +76,25 @@ def _common(texts: DataFrame, rows: int, shingle: int) -> np.ndarray:
                 found = shingle_set(text, shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), h))], ["token", "h"])
 
-    one_in = max(1, rows // SAMPLE)
+    one_in = min(SHARE, max(1, rows // SAMPLE))
     tokens = texts.where(F.pmod("h", F.lit(one_in)) == 0).mapInArrow(run, "token long, h long").distinct()
-    often = tokens.groupBy("token").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
-    return np.array(sorted(r[0] for r in often.collect()), np.int64)
+    often = scratch.store(tokens.groupBy("token").count().where(F.col("count") > COMMON))
+    counts, least = sorted(often.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True), COMMON
+    if len(over := np.flatnonzero(np.cumsum([r.n for r in counts]) > MOST_COMMON)):
+        least = counts[over[0]]["count"]
+    late = often.where(F.col("count") > least).select("token", F.ceil(F.log2(F.col("count") + 1)).cast("byte").alias("bits")).toArrow()
+    token, bits = (np.asarray(c, t) for c, t in zip(late.columns, (np.int64, np.uint8), strict=True))
+    order = np.argsort(token)
+    return token[order], bits[order]
+
+
+def _late(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How late each shingle comes in the order; 0 for those that aren't common."""
+    token, bits = common
+    if not len(token):
+        return np.zeros(len(found), np.uint8)
+    at = np.minimum(np.searchsorted(token, found), len(token) - 1)
+    return np.where(token[at] == found, bits[at], 0)
 
 
 def _prefixes(texts: DataFrame, common, shingle: int, share: int = 1) -> DataFrame:
@@ -89,10 +110,10 @@ def _prefixes(texts: DataFrame, common, shingle: int, share: int = 1) -> DataFra
             for h, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = shingle_set(text, shingle)
                 if n := len(found):
-                    late = np.isin(found, last, assume_unique=True)
-                    first = np.concatenate((found[~late], found[late]))[: n - (4 * n + 4) // 5 + share]
+                    late = _late(found, last)
+                    first = found[np.argsort(late, kind="stable")][: n - (4 * n + 4) // 5 + share]
                     k = len(first)
-                    parts.append((first, np.full(k, h), np.full(k, n), np.arange(k), np.full(k, n - int(late.sum()))))
+                    parts.append((first, np.full(k, h), np.full(k, n), np.arange(k), np.full(k, n - np.count_nonzero(late))))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["token", "h", "n", "at", "cold"])
 
@@ -215,7 +236,7 @@ def _links(documents: DataFrame, rows: DataFrame, known: DataFrame, shingle: int
     text = F.col("text").cast("string")
     texts = documents.select(identity.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     owners = scratch.store(rows.groupBy(F.col("text_hash").alias("h"), "fp").agg(F.min(identity).alias("id")))
-    common = spark.sparkContext.broadcast(_common(texts, rows.count(), shingle))
+    common = spark.sparkContext.broadcast(_common(texts, rows.count(), shingle, scratch))
     prefixes = _prefixes(texts, common, shingle)
     shared = scratch.store(prefixes.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("token"))
     members = scratch.store(merged(merged(prefixes, shared, "token").distinct(), owners.select("h", "fp"), "h"))

@@ -106,3 +106,24 @@ def test_texts_and_shingles_are_not_broadcast(spark, monkeypatch):
     documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     simhash.keep_first(documents, similar_shingle=5).count()
     assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_the_sample_grows_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE", 20)
+    monkeypatch.setattr(similar, "COMMON", 2)
+    made = []
+
+    def counted(rows, keys, f=similar._pairs):
+        found = f(rows, keys)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(similar, "_pairs", counted)
+    rng = random.Random(9)
+    lines = [" ".join(f"v{i}w{j}" for j in range(10)) for i in range(20)]
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = [" ".join([*(f"{word()} {x} {word()}" for x in rng.sample(lines, 2)), *(word() for _ in range(20))]) for _ in range(1500)]
+    rows.append(rows[3] + " end")
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    assert simhash.keep_first(documents, similar_shingle=5).count() == 1500
+    assert sum(made) < 150  # a sample of 20 texts doesn't know the lines: 29,717 pairs
